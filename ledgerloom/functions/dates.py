@@ -45,21 +45,26 @@ def parse_date(text: Column, year: Column, end_month: Column | None = None) -> C
     # month, day, year ('' when absent), cut by a separator no statement prints
     parts = F.split(F.regexp_replace(F.regexp_replace(value, _NUMERIC, f"$1{_CUT}$3{_CUT}$4"),
                                      _NAMED, f"$1{_CUT}$2{_CUT}$3"), _CUT)
-    first, day, printed = (F.get(parts, F.lit(i)) for i in range(3))
-    named = month_number(first)
-    month = F.coalesce(named, first)
-    hint = year.cast("string")
-    full = (F.when(printed == "", hint).when(F.length(printed) == 2, F.concat(F.lit("20"), printed))
-            .when((printed == "1900") & named.isNotNull(), hint).otherwise(printed))
-    # A named, year-less 29 February never parses (the day is checked against a common year).
-    leap = (printed == "") & (day == "29") & (F.coalesce(named, F.lit("")) == "2")
-    parsed = F.when(~leap, _iso(full, month, day))
-    if end_month is None:
-        return parsed
-    late = ((F.coalesce(end_month, F.lit(0)) != 0) & (month.try_cast("int") > end_month)
-            & (full.try_cast("int") == year))
-    shifted = _iso((year - 1).cast("string"), month, day)
-    return F.when(F.coalesce(late, F.lit(False)), F.when(parsed.isNotNull(), shifted)).otherwise(parsed)
+
+    def build(cut: Column) -> Column:
+        first, day, printed = (F.get(cut, F.lit(i)) for i in range(3))
+        named = month_number(first)
+        month = F.coalesce(named, first)
+        hint = year.cast("string")
+        full = (F.when(printed == "", hint).when(F.length(printed) == 2, F.concat(F.lit("20"), printed))
+                .when((printed == "1900") & named.isNotNull(), hint).otherwise(printed))
+        # A named, year-less 29 February never parses (the day is checked against a common year).
+        leap = (printed == "") & (day == "29") & (F.coalesce(named, F.lit("")) == "2")
+        parsed = F.when(~leap, _iso(full, month, day))
+        if end_month is None:
+            return parsed
+        late = ((F.coalesce(end_month, F.lit(0)) != 0) & (month.try_cast("int") > end_month)
+                & (full.try_cast("int") == year))
+        shifted = _iso((year - 1).cast("string"), month, day)
+        return F.when(F.coalesce(late, F.lit(False)), F.when(parsed.isNotNull(), shifted)).otherwise(parsed)
+
+    # The one-element transform binds the parts once; inlined, the regexes would be repeated per use.
+    return F.element_at(F.transform(F.array(parts), build), 1)
 
 
 def month_key(date: Column) -> Column:
