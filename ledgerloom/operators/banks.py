@@ -66,8 +66,9 @@ def bank_coverage(files: DataFrame, sample: DataFrame) -> DataFrame:
                .groupBy("bank").agg(F.count(F.lit(1)).alias("fn")))
     by_text = (sample.select(F.explode(banks_in_text(F.col("text"))).alias("bank"))
                .groupBy("bank").agg(F.count(F.lit(1)).alias("txt")))
-    sizes = total.join(sampled, F.lit(True))  # two one-row aggregates
-    rows = by_name.join(by_text, "bank", "full_outer").join(F.broadcast(sizes), F.lit(True))
+    one = F.lit(1).alias("_one")  # both sizes are one-row aggregates, so broadcasting them is safe
+    rows = (by_name.join(by_text, "bank", "full_outer").select("*", one)
+            .join(F.broadcast(total.select("*", one)), "_one").join(F.broadcast(sampled.select("*", one)), "_one"))
     fn, txt = F.coalesce("fn", F.lit(0)), F.coalesce("txt", F.lit(0))
     guess = F.floor(txt / F.col("sampled") * F.col("total"))
     return (rows.select("bank", fn.alias("filename_count"), txt.alias("text_count"),
