@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables_queries", "summary_queries", "transaction_queries", "ingest_queries", "layout_queries"]
+MODULES = ["tables_queries", "summary_queries", "transaction_queries", "ingest_queries", "layout_queries", "label_queries"]
 
 
 def load():

@@ -177,7 +177,7 @@ def type_by_section(spark, folder):
 def hybrid_typing(spark, folder):
     txns = dv.statement_txns(spark, folder)
     sections = ly.section_of(txns, ly.page_sections(tokens(spark, folder)))
-    return tx.infer_types(txns, sections).select("k", "type")
+    return tx.infer_types(sections).select("k", "type")
 
 
 _ISDAY = "regexp_matches({0}, '^\\d{{1,2}},?$')"

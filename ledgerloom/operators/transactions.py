@@ -88,20 +88,18 @@ def infer_by_balance(txns: DataFrame) -> DataFrame:
             .drop("prev_balance"))
 
 
-def infer_types(txns: DataFrame, sections: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+def infer_types(txns: DataFrame) -> DataFrame:
     """Hybrid typing: sign, balance change, section heading, then model or keywords (TXN10).
 
-    ``sections`` holds ``stem, seq, section_type`` and ``model`` ``stem, seq, model_type``; each
+    Optional columns ``section_type`` and ``model_type`` hold what those methods found; each
     method only fills what the ones before left unknown.
     """
-    typed = infer_by_balance(txns)
-    steps = [F.nullif(F.col("type"), F.lit(UNKNOWN))]
-    for extra, column in ((sections, "section_type"), (model, "model_type")):
-        if extra is not None:
-            typed = typed.join(extra.select("stem", "seq", column), ["stem", "seq"], "left")
-            steps.append(F.col(column))
-    return (typed.withColumn("type", F.coalesce(*steps, type_by_words(F.col("description"))))
-            .drop("section_type", "model_type"))
+    known = F.nullif(F.col("type"), F.lit(UNKNOWN))
+    by_balance = type_by_balance(F.col("balance_after"), F.col("prev_balance"), F.col("amount"))
+    extra = [F.col(c) for c in ("section_type", "model_type") if c in txns.columns]
+    return (previous_balance(txns)
+            .withColumn("type", F.coalesce(known, by_balance, *extra, type_by_words(F.col("description"))))
+            .drop("prev_balance", "section_type", "model_type"))
 
 
 def is_nsf(description: Column, fallback: bool = False) -> Column:

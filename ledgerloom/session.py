@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Nothing here fixes a partition count for the cluster: AQE starts from a generous
 # number of shuffle partitions and coalesces them to the advisory size at run time.
@@ -46,3 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, cutting its lineage.
+
+    Unlike a cached frame the table survives the loss of executors.
+    """
+    target = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.parquet(target)

@@ -67,6 +67,11 @@ def _text(number: Column) -> Column:
 
 
 def statement_txns(spark: SparkSession, folder: str) -> DataFrame:
+    """Decoded transactions of the orders table."""
+    return txns_of_orders(table(spark, folder, "orders"))
+
+
+def txns_of_orders(orders: DataFrame) -> DataFrame:
     """Decoded transactions: a statement is a block of 100 order keys, a page is 20 of them."""
     k = F.col("o_orderkey")
     year = 2020 + F.year("o_orderdate") % 10
@@ -86,7 +91,7 @@ def statement_txns(spark: SparkSession, folder: str) -> DataFrame:
     cents = (F.when((k % 48).isin(*NO_AMOUNT) | (k % 96 == 16), F.lit(0))
              .otherwise(F.round(F.col("o_totalprice") * 100))).cast("long")
     d = F.floor(k / PER_STATEMENT)
-    base = table(spark, folder, "orders").select(
+    base = orders.select(
         k.alias("k"), F.col("o_custkey").alias("account"), d.alias("d"),
         F.concat(F.lit("stmt_"), _text(d)).alias("stem"),
         (k % PER_STATEMENT).alias("seq"), F.floor((k % PER_STATEMENT) / PER_PAGE).alias("page"),
