@@ -378,7 +378,12 @@ def salvaged_transactions(spark, folder):
     return rs.response_transactions(dv.responses(spark, folder))
 
 
-@query("jsn4_label_samples", fr.sql(fr.RESPONSES, _TXNS + "select 'c_' || conv_id stem, turn page_index, abs(amount) amount, description, type from rtx where confidence = 1.0"))
+_LABELS = _JSON + (", ly as (select conv_id, turn, body1, unnest(range(cast(json_array_length(body1, '$.transactions') as bigint))) idx from v where ok1), "
+                   "lt as (select conv_id, turn, idx, cast(json_extract(body1, '$.transactions[' || idx || '].amount') as double) amount, json_extract_string(body1, '$.transactions[' || idx || '].description') "
+                   "description, json_extract_string(body1, '$.transactions[' || idx || '].type') as type from ly) ")
+
+
+@query("jsn4_label_samples", fr.sql(fr.RESPONSES, _LABELS + "select 'c_' || conv_id stem, turn page_index, abs(amount) amount, description, type from lt"))
 def label_samples(spark, folder):
     pages = rs.parse_labels(dv.responses(spark, folder)).select(
         F.concat(F.lit("c_"), F.col("conv_id").cast("string")).alias("stem"), F.col("turn").alias("page_index"), "transactions")
@@ -415,7 +420,7 @@ def page_word_files(spark, folder):
     return read.withColumns({c: F.col(c).cast("long") for c in ("page_index", "pos")})
 
 
-@query("src2_label_files", fr.sql(fr.RESPONSES, _TXNS + "select conv_id, turn, count(*) n from rtx where confidence = 1.0 group by 1, 2"))
+@query("src2_label_files", fr.sql(fr.RESPONSES, _LABELS + "select conv_id, turn, count(*) n from lt group by 1, 2"))
 def label_files(spark, folder):
     """Label rows written as JSON lines and read with the fixed schema."""
     target = _written(spark, folder, "labels")

@@ -19,7 +19,12 @@ def response_body(text: Column, stop_at_close: bool = False) -> Column:
 
 
 def _valid(body: Column) -> Column:
-    return F.try_parse_json(body).isNotNull()
+    """One whole JSON value and nothing after it.
+
+    Spark's JSON functions stop after the first value, so the text is closed into an array with
+    a marker element: trailing text, or a second value, changes its length or breaks it.
+    """
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2, F.lit(False))
 
 
 def parse_labels(responses: DataFrame) -> DataFrame:
