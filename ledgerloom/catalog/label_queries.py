@@ -27,7 +27,7 @@ from ledgerloom.operators import tagging as tg
 from ledgerloom.operators import transactions as tx
 from ledgerloom.plans import labels as label_plan
 from ledgerloom.plans import spending as plan
-from ledgerloom.session import shared_dir
+from ledgerloom.session import materialise, shared_dir
 from ledgerloom.sources import derive as dv
 from ledgerloom.sources import files as fs
 from ledgerloom.sources.tables import table
@@ -222,7 +222,7 @@ _FILL = _PICKED + (", un as (select *, coalesce(sum(pages) over (order by md5('4
 
 @query("win3_fill_to_target", fr.sql(fr.FILES, _FILL + "select * from filled"))
 def fill_to_target(spark, folder):
-    banked = _banked(spark, folder)
+    banked = materialise(_banked(spark, folder), "banked")  # two passes follow, texts are read once
     picked = sp.quota_sample(banked, sp.default_quotas())
     return sp.fill_to_target(banked.filter(F.col("bank") == "Unknown"), picked, 400).select("bank", "stem", "pages")
 
@@ -233,7 +233,8 @@ def fill_to_target(spark, folder):
     "select bank, stem, pages from l where n <= lim or list_contains(list_transform(range(lim), lambda i: cast(floor(i * (n / lim)) as bigint)), rn) union all "
     "(select bank, stem, pages from banked where bank = 'Unknown' order by abs(pages - 4), md5(stem), stem limit 3)")))
 def evenly_spaced(spark, folder):
-    return sp.diverse_sample(_banked(spark, folder).select("bank", "stem", "pages"))
+    banked = materialise(_banked(spark, folder).select("bank", "stem", "pages"), "banked")
+    return sp.diverse_sample(banked)
 
 
 @query("win5_closest_pages", fr.sql(fr.FILES, _BANKED + "select stem, pages from banked where bank = 'Unknown' order by abs(pages - 4), md5(stem), stem limit 3"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.lexicon import MONTH_ALT, MONTHS
+from ledgerloom.functions.text import bind
 
 _SPACE = " \t\n\r\f\x0b"
 _NUMERIC = r"^(\d{1,2})([/-])(\d{1,2})(?:\2(\d{4}|\d{2}))?$"
@@ -19,6 +20,7 @@ NAMED_RANGE = (rf"(?i)(?:{MONTH_ALT})\w*\.?\s+\d{{0,2}},?\s*(?:20[2-3]\d)\s*(?:t
 CLOSING_YEAR = r"(?i)(?:through|ending|closing|thru)\s+.*?(20[2-3]\d)"
 DATED_YEAR = r"\d{1,2}[/-]\d{1,2}[/-](20[2-3]\d)"
 NAMED_YEAR = rf"(?i)(?:{MONTH_ALT})\w*\.?\s+(?:\d{{1,2}},?\s+)?(20[2-3]\d)"
+ANY_YEAR = "20[2-3][0-9]"
 CLOSING_WEIGHT = 5
 
 
@@ -63,8 +65,8 @@ def parse_date(text: Column, year: Column, end_month: Column | None = None) -> C
         shifted = _iso((year - 1).cast("string"), month, day)
         return F.when(F.coalesce(late, F.lit(False)), F.when(parsed.isNotNull(), shifted)).otherwise(parsed)
 
-    # The one-element transform binds the parts once; inlined, the regexes would be repeated per use.
-    return F.element_at(F.transform(F.array(parts), build), 1)
+    # Inlined, the regexes would be repeated per use.
+    return bind(parts, build)
 
 
 def month_key(date: Column) -> Column:
@@ -78,23 +80,31 @@ def year_in_name(name: Column) -> Column:
 
 
 def _range_end(text: Column) -> Column:
-    """struct(year, end_month) of the first statement period in the text, else null."""
-    y = F.regexp_extract(text, NUMERIC_RANGE, 3)
-    numeric = F.when(text.rlike(NUMERIC_RANGE), F.struct(
-        F.when(F.length(y) == 2, y.try_cast("int") + 2000).otherwise(y.try_cast("int")).alias("year"),
-        F.regexp_extract(text, NUMERIC_RANGE, 2).try_cast("int").alias("end_month")))
-    named = F.when(text.rlike(NAMED_RANGE), F.struct(
-        F.regexp_extract(text, NAMED_RANGE, 2).try_cast("int").alias("year"),
-        month_number(F.substring(F.regexp_extract(text, NAMED_RANGE, 1), 1, 3)).cast("int").alias("end_month")))
-    return F.coalesce(numeric, named)
+    """struct(year, end_month) of the first statement period in the text, else null.
+
+    The long text is searched once; the parts are read from the short match.
+    """
+    def numeric(hit: Column) -> Column:
+        y = F.regexp_extract(hit, NUMERIC_RANGE, 3)
+        return F.when(hit != "", F.struct(
+            F.when(F.length(y) == 2, y.try_cast("int") + 2000).otherwise(y.try_cast("int")).alias("year"),
+            F.regexp_extract(hit, NUMERIC_RANGE, 2).try_cast("int").alias("end_month")))
+
+    def named(hit: Column) -> Column:
+        return F.when(hit != "", F.struct(
+            F.regexp_extract(hit, NAMED_RANGE, 2).try_cast("int").alias("year"),
+            month_number(F.substring(F.regexp_extract(hit, NAMED_RANGE, 1), 1, 3)).cast("int").alias("end_month")))
+
+    return F.coalesce(bind(F.regexp_extract(text, NUMERIC_RANGE, 0), numeric),
+                      F.when(text.rlike(ANY_YEAR), bind(F.regexp_extract(text, NAMED_RANGE, 0), named)))
 
 
 def _votes(text: Column) -> Column:
-    closing = F.regexp_extract(text, CLOSING_YEAR, 1)
-    return F.concat(
-        F.when(closing != "", F.array_repeat(closing, CLOSING_WEIGHT)).otherwise(F.array().cast("array<string>")),
-        F.regexp_extract_all(text, F.lit(DATED_YEAR), 1),
-        F.regexp_extract_all(text, F.lit(NAMED_YEAR), 1))
+    none = F.array().cast("array<string>")
+    closing = bind(F.regexp_extract(text, CLOSING_YEAR, 1),
+                    lambda y: F.when(y != "", F.array_repeat(y, CLOSING_WEIGHT)).otherwise(none))
+    seen = F.concat(closing, F.regexp_extract_all(text, F.lit(DATED_YEAR), 1), F.regexp_extract_all(text, F.lit(NAMED_YEAR), 1))
+    return F.when(text.rlike(ANY_YEAR), seen).otherwise(none)
 
 
 def infer_period(first_page: Column, last_page: Column) -> Column:
@@ -105,12 +115,15 @@ def infer_period(first_page: Column, last_page: Column) -> Column:
     null for one-page statements.
     """
     first, last = F.coalesce(first_page, F.lit("")), F.coalesce(last_page, F.lit(""))
-    votes = F.concat(_votes(first), _votes(last))
-    ranked = F.transform(F.array_distinct(votes), lambda y, i: F.struct(
-        F.size(F.filter(votes, lambda v: v == y)).alias("n"), (-i).alias("order"), y.alias("year")))
-    winner = F.when(F.size(votes) > 0, F.struct(
-        F.array_max(ranked)["year"].try_cast("int").alias("year"), F.lit(None).cast("int").alias("end_month")))
-    return F.coalesce(_range_end(first), _range_end(last), winner)
+
+    def winner(votes: Column) -> Column:
+        ranked = F.transform(F.array_distinct(votes), lambda y, i: F.struct(
+            F.size(F.filter(votes, lambda v: v == y)).alias("n"), (-i).alias("order"), y.alias("year")))
+        return F.when(F.size(votes) > 0, F.struct(
+            F.array_max(ranked)["year"].try_cast("int").alias("year"), F.lit(None).cast("int").alias("end_month")))
+
+    voted = bind(F.concat(_votes(first), _votes(last)), winner)
+    return F.coalesce(_range_end(first), _range_end(last), voted)
 
 
 def date_variants(text: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,24 +20,58 @@ def alternation(words: Sequence[str]) -> str:
 
 
 def contains_any(col: Column, words: Sequence[str]) -> Column:
-    """True when any of the words is a substring."""
+    """True when any of the words is a substring (one pass, for short texts)."""
     return col.rlike(alternation(words))
 
 
-def first_label(col: Column, rules: Sequence[tuple[str, str]], default: str, prefix: str = "") -> Column:
-    """Ordered ``(regex, label)`` rules as one CASE: evaluation stops at the first hit."""
-    case = None
-    for pattern, label in rules:
-        test = col.rlike(prefix + pattern)
-        case = F.when(test, label) if case is None else case.when(test, label)
+def contains_any_long(col: Column, words: Sequence[str]) -> Column:
+    """Same for long texts: plain substring searches, stopping at the first hit."""
+    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
+
+
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
+def strip(col: Column) -> Column:
+    return F.btrim(col, F.lit(" \t\n\r\f\x0b"))
+
+
+def required_literal(pattern: str) -> str:
+    """Longest run of plain characters that every match of a simple pattern must contain ('' if none).
+
+    Top-level alternatives have none; groups, classes, escapes and repeated characters are cut out.
+    """
+    bare = re.sub(r"\([^()]*\)[?*]?", "\0", pattern)
+    if "|" in bare:
+        return ""
+    bare = re.sub(r"\[[^\]]*\][?*]?|\\.[?*+]?|.[?*]", "\0", bare)
+    return max(bare.split("\0"), key=len)
+
+
+def found(lower: Column, pattern: str) -> Column:
+    """Pattern search in lower-cased text; the regex only runs where its literal part occurs."""
+    lowered = pattern.lower()
+    literal = required_literal(lowered)
+    return lower.contains(literal) & lower.rlike(lowered) if literal else lower.rlike(lowered)
+
+
+def found_any(lower: Column, patterns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [found(lower, p) for p in patterns])
+
+
+def first_label(tests: Sequence[tuple[Column, str]], default: str | None) -> Column:
+    """Ordered ``(test, label)`` pairs as one CASE: evaluation stops at the first hit."""
+    case = F
+    for test, label in tests:
+        case = case.when(test, label)
     return case.otherwise(default)
 
 
-def all_labels(col: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Every label with at least one matching pattern, in rule order (no row explosion, no join)."""
-    hits = [F.when(col.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), label)
-            for label, patterns in rules if patterns]
-    return F.array_compact(F.array(*hits))
+def all_labels(lower: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """Every label with a matching pattern, in rule order (no row explosion, no join)."""
+    return F.array_compact(F.array(*[F.when(found_any(lower, patterns), label) for label, patterns in rules if patterns]))
 
 
 def path_name(url: Column) -> Column:

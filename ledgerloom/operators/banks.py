@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon as lx
-from ledgerloom.functions.text import all_labels, first_label, quote
+from ledgerloom.functions.text import all_labels, bind, first_label, found, found_any, strip
 
 SURVEY_SAMPLE = 200
 
 
 def bank_of_head(text: Column) -> Column:
     """First known substring in lower-cased head text, else 'unknown' (BNK1)."""
-    return first_label(text, [(quote(p), bank) for p, bank in lx.BANK_SUBSTRINGS], "unknown")
+    return first_label([(text.contains(p), bank) for p, bank in lx.BANK_SUBSTRINGS], "unknown")
 
 
 def detect_bank_format(tokens: DataFrame) -> DataFrame:
@@ -29,28 +29,29 @@ def detect_bank_format(tokens: DataFrame) -> DataFrame:
 
 def bank_of_text(text: Column) -> Column:
     """First matching bank of the sampling list, else 'Unknown' (BNK2)."""
-    rules = [("|".join(f"(?:{p})" for p in patterns), bank) for bank, patterns, _ in lx.SAMPLED_BANKS]
-    return first_label(text, rules, "Unknown", prefix="(?i)")
+    return bind(F.lower(text), lambda lower: first_label(
+        [(found_any(lower, patterns), bank) for bank, patterns, _ in lx.SAMPLED_BANKS], "Unknown"))
 
 
 def banks_in_name(name: Column) -> Column:
     """Every bank whose file-name patterns match (BNK3). 'WF' counts in either case."""
-    return all_labels(name, [(bank, names) for bank, names, _ in lx.SURVEYED_BANKS])
+    return all_labels(F.lower(name), [(bank, names) for bank, names, _ in lx.SURVEYED_BANKS])
 
 
 def banks_in_text(text: Column) -> Column:
     """Every bank whose first-page patterns match (BNK3, JOI4)."""
-    return all_labels(text, [(bank, texts) for bank, _, texts in lx.SURVEYED_BANKS])
+    return bind(F.lower(text), lambda lower: all_labels(lower, [(bank, texts) for bank, _, texts in lx.SURVEYED_BANKS]))
 
 
 def bank_of_header(text: Column) -> Column:
     """Bank from the first 3000 characters, or the 'bank' line of an FDIC member, else 'Unknown' (BNK4)."""
     head = F.lower(F.substring(text, 1, lx.HEADER_CHARS))
     lines = F.slice(F.split(F.substring(text, 1, lx.FDIC_CHARS), "\n"), 1, 5)
-    trimmed = F.transform(lines, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    trimmed = F.transform(lines, strip)
     named = F.filter(trimmed, lambda s: (F.length(s) > 3) & F.lower(s).contains("bank"))
     member = F.when(head.contains("fdic"), F.substring(F.get(named, F.lit(0)), 1, 50))
-    return F.coalesce(first_label(head, lx.HEADER_BANKS, None), member, F.lit("Unknown"))
+    known = bind(head, lambda lower: first_label([(found(lower, p), bank) for p, bank in lx.HEADER_BANKS], None))
+    return F.coalesce(known, member, F.lit("Unknown"))
 
 
 def survey_sample(files: DataFrame, size: int = SURVEY_SAMPLE, seed: int = 42) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as dt
 from ledgerloom.functions import lexicon as lx
-from ledgerloom.functions.text import alternation, first_label
+from ledgerloom.functions.text import contains_any, first_label
 
 
 def category_of(description: Column) -> Column:
     """First spending category with a keyword in the description (ENR1)."""
-    rules = [(alternation(words), name) for name, words in lx.CATEGORIES]
-    return first_label(F.lower(description), rules, lx.OTHER_CATEGORY)
+    lower = F.lower(description)
+    return first_label([(contains_any(lower, words), name) for name, words in lx.CATEGORIES], lx.OTHER_CATEGORY)
 
 
 def with_periods(txns: DataFrame, pages: DataFrame | None, default_year: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon as lx
-from ledgerloom.functions.text import contains_any, path_name
+from ledgerloom.functions.text import bind, contains_any, contains_any_long, path_name, strip
 
 
 def is_statement_name(url: Column) -> Column:
@@ -23,13 +23,15 @@ def is_statement_name(url: Column) -> Column:
 
 def statement_score(text: Column) -> Column:
     """Number of statement indicators in the text, 0-5; null for too little text (FLT2)."""
-    lower = F.lower(text)
-    hits = sum((lower.contains(w).cast("int") for w in lx.CONTENT_TXN), F.lit(0))
-    score = (contains_any(lower, lx.CONTENT_BANK).cast("int") + contains_any(lower, lx.CONTENT_ACCOUNT).cast("int")
-             + contains_any(lower, lx.CONTENT_PERIOD).cast("int") + (hits >= 3).cast("int")
-             + (F.regexp_count(text, F.lit(lx.DOLLARS)) >= 3).cast("int"))
-    bare = F.regexp_replace(lower, r"^\s+|\s+$", "")
-    return F.when(F.length(bare) >= lx.MIN_STATEMENT_TEXT, score)
+    dollars = text.contains("$") & (F.regexp_count(text, F.lit(lx.DOLLARS)) >= 3)
+
+    def score(lower: Column) -> Column:
+        hits = sum((lower.contains(w).cast("int") for w in lx.CONTENT_TXN), F.lit(0))
+        signs = [contains_any_long(lower, words) for words in (lx.CONTENT_BANK, lx.CONTENT_ACCOUNT, lx.CONTENT_PERIOD)]
+        total = sum((sign.cast("int") for sign in [*signs, hits >= 3, dollars]), F.lit(0))
+        return F.when(F.length(strip(lower)) >= lx.MIN_STATEMENT_TEXT, total)
+
+    return bind(F.lower(text), score)
 
 
 def is_statement_text(text: Column) -> Column:
@@ -39,7 +41,7 @@ def is_statement_text(text: Column) -> Column:
 def candidate_files(files: DataFrame, existing: DataFrame) -> DataFrame:
     """New files worth scanning: unknown name, big enough, plausible name, readable text (FLT3)."""
     name = F.lower("name")
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    text = strip(F.col("text"))
     return (files.filter((F.col("size") >= lx.MIN_PDF_BYTES) & ~contains_any(name, lx.NON_CANDIDATE_NAMES)
                          & (F.length(text) >= lx.MIN_CANDIDATE_TEXT))
             .join(existing.select("name"), "name", "left_anti"))
