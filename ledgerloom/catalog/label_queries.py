@@ -8,10 +8,12 @@ from ledgerloom.catalog import frames as fr
 from ledgerloom.catalog import sqlfn as sf
 from ledgerloom.catalog.frames import any_of, lit
 from ledgerloom.catalog.ingest_queries import _BNK2, _URLS
-from ledgerloom.catalog.layout_queries import DECODED, _CONF
+from ledgerloom.catalog.layout_queries import ROWED, SECTIONS, TAGGED, _DEC, _TRIM, section_sql
 from ledgerloom.catalog.registry import query
+from ledgerloom.catalog.transaction_queries import _BYBAL, _PREV, _SUMMARY, _WORDS, parse_sql
 from ledgerloom.catalog.summary_queries import _MONTHLY, YEAR, doubles, enriched, esql
 from ledgerloom.functions import lexicon as lx
+from ledgerloom.functions import money as mn
 from ledgerloom.functions.fuzzy import ratio
 from ledgerloom.operators import align as al
 from ledgerloom.operators import banks as bk
@@ -73,7 +75,7 @@ def flagged_by_bank(spark, folder):
 @query("agg9_flagged_members", fr.sql(fr.TOKENS, _LOWP + _FLAG + _BANKREC + (
     "select bank_format, n, bank_confidence, stem, flagged_transactions, total_transactions, avg_confidence from rec join br using (bank_format)")))
 def flagged_members(spark, folder):
-    return fb.flagged_members(_records(spark, folder))
+    return fb.flagged_members(materialise(_records(spark, folder), "flagged"))  # read twice
 
 
 @query("agg10_retrain_readiness", fr.sql(fr.TRAINING, (
@@ -509,26 +511,49 @@ def learned_tags(spark, folder):
 
 # --- whole flows -----------------------------------------------------------------------------------
 
-_FLOW = DECODED
-
-
-@query("flow_parsed_transactions")
+# The same chain in SQL: the token table is renamed, so that the tagger reads the trimmed pages.
+_FLOW = (fr.TOKENS.replace("tokens as (", "alltokens as (") + _TRIM.replace("from tokens", "from alltokens") + ", tokens as (select * from trimmed)"
+         + ROWED + TAGGED + ", src as (select stem, page_index, pos, text, tag, 1.0 conf from tagged)" + _DEC
+         + f", built as (select stem, page, seq, date_text date, coalesce(desc_text, '') description, {parse_sql('coalesce(amount_text, chr(48))')} v, "
+           f"case when balance_text <> '' then {parse_sql('balance_text')} end bal from decoded where coalesce(trim(amount_text), '0') <> ''), "
+           "cents0 as (select *, cast(round(abs(v) * 100) as bigint) c0, case when v < 0 then 'debit' else 'unknown' end t0, cast(round(bal * 100) as bigint) balance_cents, "
+           f"regexp_extract_all(description, '{mn.EMBEDDED}') m from built), "
+           "cents1 as (select *, case when c0 = 0 and len(m) > 0 then try_cast(replace(replace(replace(replace(m[len(m)], '$', ''), ',', ''), '−', '-'), '–', '-') as double) end e from cents0), "
+           "cents2 as (select stem, page, seq, date, balance_cents, case when e is null then description else trim(regexp_replace(list_reduce(m, lambda acc, x: replace(acc, x, ''), description), "
+           "'\\s+', ' ', 'g')) end description, case when e is null then c0 else cast(round(abs(e) * 100) as bigint) end cents, case when e < 0 then 'debit' else t0 end as type from cents1), "
+           f"clean as (select * from cents2 where (cents <> 0 or balance_cents is not null) and not ({_SUMMARY}))"
+         + SECTIONS.replace("from tokens", "from alltokens") + section_sql("clean") + _PREV.format(src="sectioned")
+         + f", flow as (select stem, page, seq, date, description, cents, case when type <> 'unknown' then type else coalesce({_BYBAL}, section_type, {_WORDS}) end as type, balance_cents from prev) ")
+
+
+@query("flow_parsed_transactions", "with recursive " + _FLOW + (
+    "select stem, page, seq, date, description, cents / 100.0 amount, type, balance_cents / 100.0 balance_after, 1.0::double confidence from flow"))
 def parsed_transactions(spark, folder):
     return doubles(plan.parse_statements(dv.statement_tokens(spark, folder)).select(
         "stem", "page", "seq", "date", "description", "amount", "type", "balance_after", "confidence"), "amount", "balance_after")
 
 
-@query("flow_monthly_from_tokens")
+@query("flow_monthly_from_tokens", "with recursive " + _FLOW + (
+    f", dated as (select *, strftime({sf.parse_date('date', str(YEAR))}, '%Y-%m') month_key from flow) select month_key, cast(sum(case when type = 'credit' then cents else 0 end) as bigint) / 100.0 income, "
+    "cast(sum(case when type <> 'credit' then cents else 0 end) as bigint) / 100.0 expenses, count(*) n, cast(sum(case when type = 'credit' then cents else -cents end) as bigint) / 100.0 net "
+    "from dated where month_key is not null group by 1"))
 def monthly_from_tokens(spark, folder):
     txns = plan.parse_statements(dv.statement_tokens(spark, folder)).withColumn("source_file", F.concat("stem", F.lit(".pdf")))
     return doubles(plan.spending_tables(txns, YEAR)["monthly"], "income", "expenses", "net")
 
 
-@query("flow_statement_results")
+@query("flow_statement_results", "with recursive " + _FLOW + _LOWP.replace("from tokens", "from alltokens") + (
+    ", wc as (select stem, count(*) word_count from alltokens group by 1), ft as (select stem, cast(sum(case when type = 'credit' then cents else 0 end) as bigint) dep, "
+    "cast(sum(case when type = 'debit' then cents else 0 end) as bigint) wd, cast(sum(balance_cents) as bigint) bs, count(balance_cents) bn, "
+    f"count(*) filter ({any_of('upper(description)', lx.NSF_WORDS)}) nsf_count, count(*) transactions from flow group by 1) "
+    "select stem, page_count, word_count, coalesce(dep, 0) / 100.0 total_deposits, coalesce(wd, 0) / 100.0 total_withdrawals, coalesce(nsf_count, 0) nsf_count, "
+    f"coalesce(transactions, 0) transactions, case when bs <> 0 then ({sf.half_even('bs', 'bn')}) / 100.0 end average_daily_balance, 'rules-1' model_version, "
+    "array_to_string(low, ',') low_pages from pg left join wc using (stem) left join ft using (stem)"))
 def statement_results(spark, folder):
     words = dv.statement_tokens(spark, folder)
     results = plan.parse_results(plan.parse_statements(words), words, words.withColumn("tag", F.col("pred_tag")), "rules-1")
-    return doubles(results, "total_deposits", "total_withdrawals", "average_daily_balance")
+    low = F.array_join(F.col("low_confidence_pages").cast("array<string>"), ",")
+    return doubles(results.withColumn("low_pages", low).drop("low_confidence_pages"), "total_deposits", "total_withdrawals", "average_daily_balance")
 
 
 # --- streams ------------------------------------------------------------------------------------------

@@ -99,14 +99,14 @@ def _gram(n):
 
 
 _TRIM = (f", grams as (select *, {_gram(2)} g2, {_gram(3)} g3, {_gram(4)} g4 from tokens window w as (partition by stem, page_index order by pos)), "
-         "st0 as (select stem, page_index, " + ", ".join(
+         "tst0 as (select stem, page_index, " + ", ".join(
              f"coalesce(min(pos) filter (g{len(h.split())} = {lit(h)}), 0) s{i}" for i, h in enumerate(lx.TXN_START_HEADERS))
-         + " from grams group by 1, 2), st as (select stem, page_index, case when greatest(" + ", ".join(
+         + " from grams group by 1, 2), tst as (select stem, page_index, case when greatest(" + ", ".join(
              f"s{i}" for i in range(len(lx.TXN_START_HEADERS))) + ") < 20 then 0 else greatest(" + ", ".join(
-             f"s{i}" for i in range(len(lx.TXN_START_HEADERS))) + ") end s from st0), "
-         "en as (select stem, page_index, min(pos) e from grams join st using (stem, page_index) where pos >= s and ("
+             f"s{i}" for i in range(len(lx.TXN_START_HEADERS))) + ") end s from tst0), "
+         "en as (select stem, page_index, min(pos) e from grams join tst using (stem, page_index) where pos >= s and ("
          + " or ".join(f"g{n} in ({', '.join(lit(h) for h in lx.TXN_END_HEADERS if len(h.split()) == n)})" for n in (2, 3, 4))
-         + ") group by 1, 2), trimmed as (select t.* from tokens t join st using (stem, page_index) left join en using (stem, page_index) "
+         + ") group by 1, 2), trimmed as (select t.* from tokens t join tst using (stem, page_index) left join en using (stem, page_index) "
          "where pos >= s and (e is null or pos < e)) ")
 
 

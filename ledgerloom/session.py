@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -57,3 +59,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     target = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.parquet(target)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, for code that runs there."""
+    if spark.conf.get("ledgerloom.shipped", "") != spark.sparkContext.applicationId:
+        here = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-zip-"), "ledgerloom")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+        spark.conf.set("ledgerloom.shipped", spark.sparkContext.applicationId)
