@@ -58,16 +58,16 @@ def entity_report(tokens: DataFrame, true: str, pred: str) -> DataFrame:
     by_type = entities.groupBy("type").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "support")])
     scored = by_type.select("type", "tp", "pred", "support", *[c.alias(n) for n, c in _scores(
         F.col("tp"), F.col("pred"), F.col("support")).items()])
-    totals = by_type.agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"), F.sum("support").alias("support"))
-    micro = totals.select(F.lit("micro avg").alias("type"), "support", *[c.alias(n) for n, c in _scores(
-        F.col("tp"), F.col("pred"), F.col("support")).items()])
-    macro = scored.agg(F.sum("support").alias("support"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
-    weighted = scored.agg(F.sum("support").alias("_s"), *[
-        (F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m) for m in ("precision", "recall", "f1")])
-    columns = ["type", "precision", "recall", "f1", "support"]
-    return (scored.select(*columns).union(micro.select(*columns))
-            .union(macro.withColumn("type", F.lit("macro avg")).select(*columns))
-            .union(weighted.withColumn("type", F.lit("weighted avg")).withColumnRenamed("_s", "support").select(*columns)))
+    # All averages come from one aggregate over the few type rows.
+    metrics = ("precision", "recall", "f1")
+    totals = scored.agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "support")], *[F.avg(m).alias(f"macro_{m}") for m in metrics],
+                        *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"weighted_{m}") for m in metrics])
+    micro = _scores(F.col("tp"), F.col("pred"), F.col("support"))
+    row = lambda name, parts: F.struct(F.lit(name).alias("type"), *[p.alias(m) for p, m in zip(parts, metrics)], F.col("support").alias("support"))
+    averages = totals.select(F.inline(F.array(
+        row("micro avg", [micro[m] for m in metrics]), row("macro avg", [F.col(f"macro_{m}") for m in metrics]),
+        row("weighted avg", [F.col(f"weighted_{m}") for m in metrics]))))
+    return scored.select("type", *metrics, "support").union(averages)
 
 
 def match_counts(predicted: DataFrame, truth: DataFrame) -> DataFrame:
