@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the data folder and ``BENCH_CPUS`` the local cores. Each query writes its
-whole result to the no-op sink; the best of two runs counts, so compilation is paid once.
+whole result to the no-op sink; the best of ``BENCH_RUNS`` (default 2) counts, so compilation is not timed.
 """
 
 from __future__ import annotations
