@@ -22,7 +22,7 @@ SCALE_CONF = {
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
-    """A local session for tests and the bench; on a cluster, bring your own."""
+    """A local session for tests and the bench, with a checkpoint folder of its own; on a cluster, bring your own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -33,6 +33,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     )
     for key, value in SCALE_CONF.items():
         builder = builder.config(key, value)
+    if SparkSession.getActiveSession() is None:
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        builder = builder.config("spark.checkpoint.dir", folder).config("spark.ledgerloom.local.dir", folder)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -41,13 +44,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a fresh temporary folder is made and remembered for the session.
+    It is the session's ``spark.checkpoint.dir``. Library code never makes up a folder: where the setting is
+    missing, or names a ``file:`` folder that was made for one machine while executors run elsewhere, this raises.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir is unset; name a folder that the driver and all executors share")
+    if path == spark.conf.get("spark.ledgerloom.local.dir", None) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{path} belongs to one machine; spark.checkpoint.dir must name a shared folder")
     return path.rstrip("/")
 
 
