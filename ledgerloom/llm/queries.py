@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import simhash, token_files
+from ledgerloom.llm import language, simhash, token_files
 from ledgerloom.llm.common import read
 
 
@@ -23,8 +23,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_files": op5_token_files,
+    "op7_language_id": op7_language_id,
 }
 ORACLES: dict[str, str] = {}
