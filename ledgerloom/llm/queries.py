@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import language, simhash, token_files
+from ledgerloom.llm import language, pieces, simhash, token_files
 from ledgerloom.llm.common import read
 
 
@@ -28,9 +28,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best piece segmentations of every document."""
+    import public_tokenizers
+
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
