@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise, shared_dir, ship_package
 
-__all__ = ["WORD", "fresh_dir", "hash_bin", "id_order", "materialise", "null_last", "read", "shared_dir", "ship_package",
+__all__ = ["WORD", "fresh_dir", "hash_bin", "id_order", "materialise", "null_last", "read", "running_sum", "shared_dir", "ship_package",
            "shuffle_parts", "store", "word_count"]
 
 #: A word: a run of characters that are neither the space nor one of U+0009 to U+000D.
@@ -48,6 +48,25 @@ def hash_bin(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits)
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], bins: Sequence[str], order: Sequence[Column], value: str,
+                out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same ``keys``, in the order of ``bins`` and then ``order``.
+
+    ``bins`` are leading sort columns without nulls that cut a key into parts of one task each; only sums per bin are
+    windowed over a whole key, so a key with a third of all rows is spread like the others.
+    """
+    group = [*keys, *bins]
+    whole = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*group).agg(F.sum(value).alias("_sum"))
+    base = sums.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(group)],
+                       F.coalesce(F.sum("_sum").over(whole), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = df.withColumn("_within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(group)]
+    joined = within.join(base, same)
+    return joined.withColumn(out, F.col("_base") + F.col("_within")).select(*df.columns, out)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder; nothing is created yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
