@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import language, lines, mixing, pieces, sharding, simhash, token_files
+from ledgerloom.llm import chat, language, lines, mixing, pieces, sharding, simhash, token_files
 from ledgerloom.llm.common import read
 
 
@@ -50,13 +50,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations."""
+    return chat.chat_report(spark, read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_files": op5_token_files,
+    "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_format": chat.ORACLE,
+}
