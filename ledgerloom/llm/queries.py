@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, language, lines, mixing, pieces, sharding, simhash, token_files
+from ledgerloom.llm import (chat, language, lines, mixing, pieces, projections, search, sharding, simhash,
+                            token_files)
 from ledgerloom.llm.common import read
 
 
@@ -55,8 +57,21 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(spark, read(spark, sf_dir, "conversations"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors of every fiftieth."""
+    rows = read(spark, sf_dir, "embeddings")
+    return search.search(rows, F.col("vec_id") % 50 == 0)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return projections.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk_search": op2_topk_search,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
@@ -66,5 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {
+    "op2_topk_search": search.ORACLE,
+    "op3_embedding_near_dedup": projections.ORACLE,
     "op6_chat_format": chat.ORACLE,
 }
