@@ -23,6 +23,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SAMPLE_TEXTS, TEXT_CHARS, SAMPLE_CHARS = 96, 1000, 24_000
 WINDOW = 1024
 BLANK = " "
 UNKNOWN = "und"
+#: Symbols a phrase needs on average for a text to count as written in a language.
+MIN_PHRASE = 1.5
 
 
 def symbols(text: str) -> str:
@@ -215,3 +218,24 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         predicted, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, phrase_chars double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_chars")
+
+
+def keep_known(docs: DataFrame, min_phrase: float = MIN_PHRASE, doc_id: str = "doc_id", text: str = "text",
+               lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in one of the learned languages.
+
+    Rejected are ``und`` and texts whose mean phrase is shorter than ``min_phrase`` symbols: parsed in the best
+    language, hardly any two of their symbols follow each other as they do there.
+    """
+    ship_package(docs.sparkSession)
+    learned = samples(docs, doc_id, text, lang)
+
+    @F.pandas_udf("double")
+    def phrase_chars(given: pd.Series) -> pd.Series:
+        if not learned:
+            return pd.Series(np.zeros(len(given)))
+        names, _, spans = parser_of(learned).predict(given.where(given.notna(), None).tolist())
+        return pd.Series(np.where(np.array(names, object) == UNKNOWN, 0.0, spans), dtype=float)
+
+    packed = docs.select(F.struct("*").alias("row"), phrase_chars(F.col(text)).alias("span"))
+    return packed.filter(F.col("span") >= min_phrase).select("row.*")

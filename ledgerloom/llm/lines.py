@@ -96,3 +96,11 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text`` (what stays), ``runs, n_lines, n_removed`` of every document."""
     return dedup_lines(docs, min_words).select(
         F.col("row.doc_id").alias("doc_id"), F.col("kept").alias("text"), "runs", "n_lines", "n_removed")
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with what stays of their texts; documents of which no word stays are left out."""
+    found = dedup_lines(docs, min_words, doc_id, text)
+    emptied = (F.col("n_removed") > 0) & ~F.col("kept").rlike(WORD)
+    return found.filter(~emptied).select(*[
+        (F.col("kept") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -22,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, ship_package, shuffle_parts, texts_of
+from ledgerloom.llm.common import id_order, materialise, ship_package, shuffle_parts, texts_of
 from ledgerloom.llm.graph import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
@@ -63,16 +63,16 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, fp)`` per row; ``fp`` is the fingerprint's bits as a signed long."""
+    """``(doc, mark, fp)`` per row: its id, a hash of its text, and the fingerprint's bits as a signed long."""
     ship_package(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_of(batches):
-            marks = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(marks.view(np.int64))], ["doc", "fp"])
+            bits = np.array([fingerprint(t or "") for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], ["doc", "mark", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(
-        hashed, "doc long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(
+        hashed, "doc long, mark long, fp long")
 
 
 def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -201,28 +201,30 @@ def links(marks: DataFrame, cell: int = CELL) -> DataFrame:
     return cells.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compared, "a long, b long")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id linked, directly or not) per row."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, mark, fp, root`` per row; rows linked, directly or not, have one ``root``."""
     table = materialise(fingerprints(docs, doc_id, text), "simhash")
-    marks = materialise(table.groupBy("fp").agg(F.min("doc").alias("least")), "simhash-marks")
-    roots = components(links(marks.select("fp")))
-    rooted = (marks.join(roots, marks.fp == roots.node, "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return table.join(named, "fp").select(F.col("doc").alias("doc_id"), hex16("fp").alias("fingerprint"), "component_id")
+    marks = materialise(table.select("fp").distinct(), "simhash-marks")
+    roots = components(links(marks))
+    named = marks.join(roots, marks.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return table.join(named, "fp")
 
 
-def hex16(column: str) -> Column:
-    return F.lpad(F.lower(F.hex(column)), 16, "0")
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id linked, directly or not) per row."""
+    rows = grouped(docs, doc_id, text)
+    smallest = rows.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return rows.join(smallest, "root").select(
+        F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group one document stays, that of the smallest id.
+    """The rows of ``docs`` without near-duplicates: of each group one row stays, that of the smallest id.
 
-    Rows that repeat that id stay too if their text is the same; rows with a null id stay only where no id is known.
+    Null ids come last; texts with the same id go by their hashes, and of rows equal in id and text any one stays.
     """
-    groups = near_groups(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("_doc"))
-    return packed.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
+    least = F.min(F.struct(id_order(F.col("doc")).alias("doc"), F.col("mark").alias("mark"))).alias("least")
+    kept = grouped(docs, doc_id, text).groupBy("root").agg(least).select(
+        F.col("least.doc").alias("_doc"), F.col("least.mark").alias("_mark")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), id_order(F.col(doc_id)).alias("_doc"), F.xxhash64(text).alias("_mark"))
+    return packed.join(kept, ["_doc", "_mark"], "left_semi").dropDuplicates(["_doc", "_mark"]).select("row.*")
