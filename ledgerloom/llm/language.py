@@ -79,7 +79,8 @@ class Parser:
     """Counts phrases of many texts against several languages at once.
 
     All automata lie in one table: the entry of a state and symbol is twice the next state's row start, plus one
-    where a phrase ends and the symbol starts the next phrase at the root.
+    where the symbol starts a new phrase. Each automaton's last row is for the place before a text and behind a symbol
+    that the language doesn't have, which is a phrase of its own: there every symbol starts a phrase.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
@@ -91,22 +92,23 @@ class Parser:
         self.codes = np.full(top + 2, self.width - 1, np.int32)
         for c, i in code.items():
             self.codes[ord(c)] = i
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for _, text in samples:
             edges, length = suffix_automaton(text)
             order = np.argsort(length, kind="stable")  # short contexts, the frequent ones, lie together
             row = np.empty(len(edges), np.int64)
             row[order] = (base + np.arange(len(edges))) * self.width
-            root = np.full(self.width, 2 * row[0] + 1, np.int64)
+            start = (base + len(edges)) * self.width
+            root = np.full(self.width, 2 * start + 1, np.int64)
             for c, target in edges[0].items():
                 root[code[c]] = 2 * row[target] + 1
-            table = np.tile(root, (len(edges), 1))
+            table = np.tile(root, (len(edges) + 1, 1))
             for place, state in enumerate(order.tolist()):
                 for c, target in edges[state].items():
                     table[place, code[c]] = 2 * row[target]
             tables.append(table)
-            self.roots.append(int(row[0]))
-            base += len(edges)
+            self.starts.append(start)
+            base += len(edges) + 1
         self.table = np.concatenate(tables).ravel()
         self.table = self.table.astype(np.int32 if self.table.max() < 2**31 else np.int64)
         self.bits = np.log2([max(2, len(text)) for _, text in samples])
@@ -128,8 +130,8 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         start, length, owner = (first + inner)[order], length[order], owner[order]
         flat = np.concatenate(texts) if len(owner) else np.empty(0, np.int32)
-        state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
+        state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(owner), axis=1)
+        count = np.zeros(state.shape, np.int32)
         lanes = np.searchsorted(-length, -np.arange(WINDOW), "left")  # windows longer than each step
         for step in range(int(length[0]) if len(length) else 0):
             n = lanes[step]
