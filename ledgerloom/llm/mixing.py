@@ -7,8 +7,8 @@ level ``t`` with target ``min(CAP * size, t * weight)``, found by ordering sourc
 The mix is cut into ``BLOCKS`` blocks of equal words (of at least one word each). Seat ``j`` of a source has the
 quotient ``target / (2 j - 1)``; the highest quotients win, and since a larger house only adds seats, consecutive
 stretches of the ranking are output shards, each with integer quotas per source. Every source's words lie in a seeded
-order of its documents, cut into blocks; shard after shard takes the source's next blocks, going round again at
-the end. So the mix is decided by sums, and a document's share by where its words lie.
+order of its documents; shard after shard takes the source's next blocks of them, going round at the end without a
+gap. So the mix is decided by sums, and a document's share by where its words lie.
 
 A source with a third of all rows is spread over hash bins of the seeded order; only bin sums meet per source.
 
@@ -79,12 +79,11 @@ def mix(rows: DataFrame, source: str = "source", doc_id: str = "doc_id", size: s
     seats, words = quotas(goals, blocks, shards)
     seated = seats.groupBy("place").agg(F.sum("seats").alias("seats"))
     plan = goals.join(seated, "place", "left").select(
-        F.col("source").alias("_source"), "source_size", "target", F.coalesce("seats", F.lit(0)).alias("seats"),
-        F.ceil(F.col("source_size") / words).alias("n"))
-    whole = F.when(F.col("n") > 0, F.least(F.floor(F.col("seats") / F.col("n")), F.lit(CAP))).otherwise(0)
-    cut = F.when((F.col("n") > 0) & (F.col("passes") < CAP),
-                 F.least((F.col("seats") - F.col("passes") * F.col("n")) * words, F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("passes", whole).withColumn("cut", cut).drop("seats", "n")
+        F.col("source").alias("_source"), "source_size", "target", (F.coalesce("seats", F.lit(0)) * words).alias("wanted"))
+    some = F.col("source_size") > 0
+    whole = F.when(some, F.least(F.floor(F.col("wanted") / F.col("source_size")), F.lit(CAP))).otherwise(0)
+    cut = F.when(some & (F.col("passes") < CAP), F.col("wanted") - F.col("passes") * F.col("source_size")).otherwise(0)
+    plan = plan.withColumn("passes", whole).withColumn("cut", cut).drop("wanted")
     placed = running_sum(packed, ["source"], ["bin"], [F.col("order"), F.col("doc").asc_nulls_last(), F.col("size")],
                          "size", "start")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("start")))
