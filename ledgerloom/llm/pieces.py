@@ -8,8 +8,8 @@ given. A character without a piece costs the dearest piece and 10 more. The best
 it isn't the merge order of byte-pair encoding, which has no N-best list.
 
 The forward pass stores the least cost to every place (Viterbi). A* then runs backward from the end: the forward
-costs are its exact heuristic, so complete paths leave the agenda best first. Equal costs are ordered by the ids
-read from the end. Pieces have the blank mark only in front and never a line feed inside, so every segmentation has
+costs are its exact heuristic, so complete paths leave the agenda best first. Of equal costs the one with the smaller
+ids, read from the end, is the best, and the others come in the order found. Pieces have the blank mark only in front and never a line feed inside, so every segmentation has
 cuts before a run of blank marks and around line feeds, and inside such a unit wherever no piece holds the two
 characters next to each other: the lattice is a chain of small ones, each solved once per distinct part and worker.
 A text's N best are found on the chain from the units where leaving the best costs least.
@@ -40,7 +40,7 @@ from ledgerloom.llm.common import ship_package, single_thread, texts_of
 BLANK = "▁"
 NBEST = 4
 #: Distinct units a worker remembers (a full memory is emptied) and the longest of them.
-CACHE, LONG_UNIT = 500_000, 48
+CACHE, LONG_UNIT = 1_000_000, 48
 #: Units whose N-best lists a worker remembers.
 WAYS = 20_000
 NEVER = 1 << 62
@@ -65,7 +65,13 @@ class PieceModel:
         ids = range(sp.vocab_size())
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.vocabulary = {sp.id_to_piece(i): (i, c) for i, c in zip(plain, costs([sp.get_score(i) for i in plain]))}
-        self.edges: dict[str, tuple] = {p[:k]: () for p in self.vocabulary for k in range(1, len(p))} | self.vocabulary
+        self.trie: dict = {}
+        for text, (piece, price) in self.vocabulary.items():
+            children = self.trie
+            for k, symbol in enumerate(text, 1):
+                known = children.get(symbol) or ({}, -1, 0)
+                children[symbol] = (known[0], piece, price) if k == len(text) else known
+                children = known[0]
         self.neighbours = {p[k:k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
         self.longest = max(map(len, self.vocabulary))
         self.unknown_cost = max(c for _, c in self.vocabulary.values()) + 10_000_000
@@ -96,55 +102,90 @@ class PieceModel:
             return tuple(self.bytes[b] for b in reversed(raw))
         return (self.unknown,)
 
-    def lattice(self, unit: str) -> tuple[list[int], int, list[list]]:
-        """Least cost to every place, second least to the end, and the edges (start, id, cost) into every place."""
-        size, known, longest = len(unit), self.edges, self.longest
-        least, second = [0] + [NEVER] * size, [NEVER] * (size + 1)
-        into: list[list] = [[] for _ in range(size + 1)]
+    def forward(self, unit: str) -> tuple[list[int], int, list[int]]:
+        """Viterbi: least cost to every place, second least to the end, and the ids of the best segmentation.
+
+        Of equal costs the segmentation with the smaller ids, read from the end, is the best.
+        """
+        size, root, longest = len(unit), self.trie, self.longest
+        least, second, back = [0] + [NEVER] * size, [NEVER] * (size + 1), [(0, 0)] * (size + 1)
         for i in range(size):
-            base, other = least[i], second[i]
-            for j in range(i + 1, min(size, i + longest) + 1):
-                found = known.get(unit[i:j])
-                if not found:
-                    if found is None:
-                        break  # no piece begins like this
+            base, other, children, j = least[i], second[i], root, i
+            for symbol in unit[i:i + longest]:
+                node = children.get(symbol)
+                if node is None:
+                    break
+                children, piece, cost = node
+                j += 1
+                if piece < 0:
                     continue
-                piece, cost = found
-                into[j].append((i, piece, cost))
                 done, best = base + cost, least[j]
                 if done < best:
-                    least[j] = done
+                    least[j], back[j] = done, (piece, i)
                     second[j] = best if best < other + cost else other + cost
-                elif done < second[j]:
+                elif done <= best or done < second[j]:
                     second[j] = done
-            if not known.get(unit[i]):
+                    if done == best and piece < back[j][0]:
+                        back[j] = (piece, i)
+            if not self.vocabulary.get(unit[i]):
                 cost, best = self.unknown_cost, least[i + 1]
-                into[i + 1].append((i, None, cost))
+                if base + cost < best:
+                    back[i + 1] = (-1, i)
                 least[i + 1], second[i + 1] = sorted((base + cost, best, other + cost, second[i + 1]))[:2]
-        return least, second[size], into
+        ids, place = [], size
+        while place:
+            piece, start = back[place]
+            if piece < 0:
+                ids.extend(self.spelt(unit[start]))
+            else:
+                ids.append(piece)
+            place = start
+        ids.reverse()
+        return least, second[size], ids
+
+    def lattice(self, unit: str) -> list[list]:
+        """Edges (start, id, cost) into every place; the id is null for a character without a piece."""
+        into: list[list] = [[] for _ in range(len(unit) + 1)]
+        for i in range(len(unit)):
+            for j in range(i + 1, min(len(unit), i + self.longest) + 1):
+                found = self.vocabulary.get(unit[i:j])
+                if found:
+                    into[j].append((i, *found))
+            if not self.vocabulary.get(unit[i]):
+                into[i + 1].append((i, None, self.unknown_cost))
+        return into
 
     def backward(self, unit: str, least: list[int], into: list[list], n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest paths of a lattice as (cost, ids), best first, by A* from the end."""
-        agenda, out = [(least[-1], (), len(unit), 0)], []
+        """The ``n`` cheapest paths of a lattice as (cost, ids), best first, by A* from the end.
+
+        Of equal totals the newest is followed first, so every path asked for takes one pop a piece.
+        """
+        agenda, out, pushed = [(least[-1], 0, len(unit), 0, None)], [], 0
         while agenda:
-            total, path, place, behind = heapq.heappop(agenda)
+            total, _, place, behind, path = heapq.heappop(agenda)
             if not place:
-                out.append((total, path[::-1]))
+                ids = []
+                while path:
+                    ids.extend(reversed(path[0]))
+                    path = path[1]
+                out.append((total, tuple(ids)))
                 if len(out) == n:
                     break
                 continue
             for start, piece, cost in into[place]:
-                done = behind + cost
+                done, pushed = behind + cost, pushed - 1
                 step = self.spelt(unit[start]) if piece is None else (piece,)
-                heapq.heappush(agenda, (done + least[start], path + step, start, done))
+                heapq.heappush(agenda, (done + least[start], pushed, start, done, (step, path)))
         return out
 
     def segmentations(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest segmentations of a text as (cost, ids), best first."""
+        """The ``n`` cheapest segmentations of a text as (cost, ids), the forward pass's best first."""
         found = self.ways.get((unit, n))
         if found is None:
-            least, _, into = self.lattice(unit)
-            found = self.backward(unit, least, into, n)
+            least, _, ids = self.forward(unit)
+            best = tuple(ids)
+            others = [f for f in self.backward(unit, least, self.lattice(unit), n) if f[1] != best]
+            found = [(least[-1], best), *others][:n]
             if len(unit) <= LONG_UNIT:
                 if len(self.ways) >= WAYS:
                     self.ways.clear()
@@ -159,16 +200,8 @@ class PieceModel:
         return found
 
     def part(self, unit: str) -> tuple[bytes, int, int]:
-        least, second, into = self.lattice(unit)
-        ids, place = [], len(unit)
-        while place:  # A* with an exact heuristic and one path asked for never leaves this one
-            step, start = min([(self.spelt(unit[start]) if piece is None else (piece,), start)
-                               for start, piece, cost in into[place] if least[start] + cost == least[place]])
-            ids.extend(step)
-            place = start
-        ids.reverse()
-        gap = second - least[-1] if second < NEVER else NEVER
-        return self.keep(unit, (array(self.code, ids).tobytes(), least[-1], gap))
+        least, second, ids = self.forward(unit)
+        return self.keep(unit, (array(self.code, ids).tobytes(), least[-1], second - least[-1] if second < NEVER else NEVER))
 
     def solved(self, unit: str) -> tuple[bytes, int, int]:
         """Ids of the best segmentation as bytes, its cost, and what the second best costs more."""
@@ -192,11 +225,9 @@ class PieceModel:
         units = self.units(self.processor.normalize(text))
         if not units:
             return b"", 0, []
-        memory = self.memory
-        try:
-            known = [memory[u] for u in units]
-        except KeyError:
-            known = [self.solved(u) for u in units]
+        known = list(map(self.memory.get, units))
+        if None in known:
+            known = [k or self.solved(u) for k, u in zip(known, units)]
         cost = sum([k[1] for k in known])
         ids = [k[0] for k in known]
         if n < 2:
