@@ -14,7 +14,7 @@ from ledgerloom.sources import derive as dv
 from ledgerloom.sources.tables import table
 
 
-@query("src4_fingerprint", "select doc_id, substr(md5(array_slice(encode(text), 1, 4096)), 1, 12) pdf_hash from documents")
+@query("src4_fingerprint", "select doc_id, sha256(text) pdf_hash from documents")
 def fingerprint(spark, folder):
     return table(spark, folder, "documents").select("doc_id", ig.fingerprint(F.col("text")).alias("pdf_hash"))
 
@@ -130,7 +130,7 @@ _LAST = "regexp_extract(split_part(split_part(regexp_replace(url, '^[a-z]+://[^/
 
 @query("src13_safe_names", fr.sql(fr.SUBMISSIONS, _URLS + (
     f"select id, url, 'jf_' || id || '_' || regexp_replace({_LAST}, '[^\\p{{L}}\\p{{N}}.\\-_]', '_', 'g') jf_name, "
-    f"substr(regexp_replace('M&T Bank / ' || form, '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 20) || '_' || {_LAST} bank_name from urls")))
+    f"regexp_replace('M&T Bank / ' || form, '[^\\p{{L}}\\p{{N}}_]', '_', 'g') || '_' || {_LAST} bank_name from urls")))
 def safe_names(spark, folder):
     return ig.submission_urls(dv.submissions(spark, folder)).select(
         "id", "url", ig.submission_name(F.col("url"), F.col("id")).alias("jf_name"),
@@ -252,7 +252,7 @@ _HEAD = ("case " + " ".join(f"when contains(t, {lit(p)}) then {lit(b)}" for p, b
 
 
 @query("bnk1_bank_of_head", fr.sql(fr.TOKENS, (
-    ", h as (select stem, string_agg(lower(text), ' ' order by pos) t from tokens where page_index = 0 and pos < 100 group by 1) "
+    ", h as (select stem, string_agg(lower(text), ' ' order by pos) t from tokens where page_index = 0 group by 1) "
     f"select stem, {_HEAD} bank from h")))
 def bank_of_head(spark, folder):
     return bk.detect_bank_format(dv.statement_tokens(spark, folder))
@@ -291,9 +291,9 @@ def pattern_match_counts(spark, folder):
     return bk.bank_members(banks_in_text(spark, folder))
 
 
-_BNK4 = fr.ordered_case("lower(substr(text, 1, 3000))", lx.HEADER_BANKS, (
-    "coalesce(case when contains(lower(substr(text, 1, 3000)), 'fdic') then substr((list_filter(list_transform((string_split(substr(text, "
-    "1, 1000), chr(10)))[1:5], lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: length(s) > 3 and contains(lower(s), 'bank')))[1], 1, 50) end, 'Unknown')"))
+_BNK4 = fr.ordered_case("lower(text)", lx.HEADER_BANKS, (
+    "coalesce(case when contains(lower(text), 'fdic') then (list_filter(list_transform(string_split(text, chr(10)), "
+    "lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: length(s) > 3 and contains(lower(s), 'bank')))[1] end, 'Unknown')"))
 
 
 @query("bnk4_bank_of_header", fr.sql(fr.FILES, f"select doc_id, {_BNK4} bank from files"))
@@ -305,7 +305,7 @@ _SAMPLE = (", pdfs as (select * from files where ends_with(lower(name), '.pdf'))
            "md5('42|' || name), name limit 200) ")
 
 
-@query("bnk5_bank_coverage", fr.sql(fr.FILES, _SAMPLE + (
+@query("bnk5_bank_coverage", fr.sql(fr.FILES, _SAMPLE.replace(" limit 200", "") + (
     f", a as (select bank, count(*) fn from (select unnest({_BY_NAME}) bank from pdfs) group by 1), "
     f"b as (select bank, count(*) txt from (select unnest({_BY_TEXT}) bank from sampled) group by 1), "
     "s as (select (select count(*) from pdfs) total, (select count(*) from sampled) n) "
@@ -313,15 +313,14 @@ _SAMPLE = (", pdfs as (select * from files where ends_with(lower(name), '.pdf'))
     "greatest(coalesce(fn, 0), cast(floor(coalesce(txt, 0) / n * total) as bigint)) estimate from a full join b on a.bank = b.bank, s")))
 def bank_coverage(spark, folder):
     pdfs = dv.statement_files(spark, folder).filter(F.lower("name").endswith(".pdf"))
-    return bk.bank_coverage(pdfs, bk.survey_sample(pdfs))
+    return bk.bank_coverage(pdfs)
 
 
 @query("bnk6_unmatched_files", fr.sql(fr.FILES, _SAMPLE + (
-    f"select name, substr(replace(substr(text, 1, 200), chr(10), ' | '), 1, 120) snippet from sampled where len({_BY_TEXT}) = 0 "
-    "order by name limit 15")))
+    f"select name, replace(text, chr(10), ' | ') snippet, len({_BY_NAME}) > 0 in_name from pdfs where len({_BY_TEXT}) = 0")))
 def unmatched_files(spark, folder):
     pdfs = dv.statement_files(spark, folder).filter(F.lower("name").endswith(".pdf"))
-    return bk.unmatched_files(bk.survey_sample(pdfs))
+    return bk.unmatched_files(pdfs)
 
 
 @query("win8_uniform_sample", fr.sql(fr.FILES, _SAMPLE + "select name from sampled"))

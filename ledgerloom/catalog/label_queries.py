@@ -8,7 +8,7 @@ from ledgerloom.catalog import frames as fr
 from ledgerloom.catalog import sqlfn as sf
 from ledgerloom.catalog.frames import any_of, lit
 from ledgerloom.catalog.ingest_queries import _BNK2, _URLS
-from ledgerloom.catalog.layout_queries import ROWED, SECTIONS, TAGGED, _DEC, _TRIM, section_sql
+from ledgerloom.catalog.layout_queries import CHUNKS, FIT, ROWED, SECTIONS, TAGGED, _DEC, _TRIM, section_sql
 from ledgerloom.catalog.registry import query
 from ledgerloom.catalog.transaction_queries import _BYBAL, _PREV, _SUMMARY, _WORDS, parse_sql
 from ledgerloom.catalog.summary_queries import _MONTHLY, YEAR, doubles, enriched, esql
@@ -40,12 +40,10 @@ from ledgerloom.streaming import jobs
 _LOWP = (", lp as (select stem, page_index, cast(sum(round(conf * 100)) filter (pred_tag <> 'O') as bigint) s, count(*) filter (pred_tag <> 'O') n from tokens group by 1, 2), "
          "pg as (select stem, count(*) page_count, list_sort(coalesce(list(page_index) filter (n > 0 and s < 70 * n), [])) low from lp group by 1) ")
 _FLAG = (", tt as (select stem, count(*) total, count(*) filter (confidence < 0.75) flagged, cast(sum(round(confidence * 100)) as bigint) cs from txn group by 1), "
-         "fd as (select stem, string_agg(page || ':' || substr(description, 1, 50) || ':' || cast(cast(confidence * 100 as int) as varchar), ';' order by seq) details from (select *, row_number() over "
-         "(partition by stem order by seq) rn from txn where confidence < 0.75) where rn <= 20 group by 1), "
-         "hd as (select stem, string_agg(lower(text), ' ' order by pos) t from tokens where page_index = 0 and pos < 100 group by 1), "
+         "hd as (select stem, string_agg(lower(text), ' ' order by pos) t from tokens where page_index = 0 group by 1), "
          "bf as (select stem, case " + " ".join(f"when contains(t, {lit(p)}) then {lit(b)}" for p, b in lx.BANK_SUBSTRINGS) + " else 'unknown' end bank from hd), "
-         f"rec as (select pg.stem, coalesce(bank, 'unknown') bank_format, page_count, total total_transactions, flagged flagged_transactions, array_to_string(low, ',') low_pages, "
-         f"({sf.half_even('cs * 100', 'total')}) / 10000.0 avg_confidence, ({sf.half_even('cs * 100', 'total')}) ac, coalesce(details, '') details from pg left join tt using (stem) left join fd using (stem) left join bf using (stem) "
+         f"rec as (select pg.stem, coalesce(bank, 'unknown') bank_format, page_count, total total_transactions, flagged flagged_transactions, len(low) n_low_pages, "
+         f"({sf.half_even('cs * 100', 'total')}) / 10000.0 avg_confidence, ({sf.half_even('cs * 100', 'total')}) ac from pg left join tt using (stem) left join bf using (stem) "
          "where flagged > 0 or len(low) > 0) ")
 
 
@@ -54,14 +52,14 @@ def _records(spark, folder):
     return plan.flag_statements(dv.statement_txns(spark, folder), words, words.withColumn("tag", F.col("pred_tag")))
 
 
-@query("agg8_feedback_records", fr.sql(fr.TOKENS, _LOWP + _FLAG + "select stem, bank_format, page_count, total_transactions, flagged_transactions, low_pages, avg_confidence, details from rec"))
+@query("agg8_feedback_records", fr.sql(fr.TOKENS, _LOWP + _FLAG + "select stem, bank_format, page_count, total_transactions, flagged_transactions, n_low_pages, avg_confidence from rec"))
 def feedback_records(spark, folder):
-    detail = F.transform("flagged_details", lambda d: F.concat_ws(
-        ":", d["page"].cast("string"), d["description"], F.round(d["confidence"] * 100).cast("int").cast("string")))
-    return _records(spark, folder).select(
-        "stem", "bank_format", "page_count", "total_transactions", "flagged_transactions",
-        F.array_join(F.col("low_confidence_pages").cast("array<string>"), ",").alias("low_pages"), "avg_confidence",
-        F.array_join(detail, ";").alias("details"))
+    return _records(spark, folder)
+
+
+@query("agg8_flagged_details", fr.sql(fr.TXN, "select stem, seq, page, description, confidence from txn where confidence < 0.75"))
+def flagged_details(spark, folder):
+    return fb.flagged_details(dv.statement_txns(spark, folder))
 
 
 _BANKREC = (f", br as (select bank_format, count(*) n, ({sf.half_even('cast(sum(ac) as bigint)', 'count(*)')}) / 10000.0 bank_confidence from rec group by 1) ")
@@ -94,7 +92,7 @@ def newest_logs(spark, folder):
     return doubles(fb.log_query(dv.feedback_log(spark, folder), method="click").select("event_id", "deal_id", "method", "total_deposits"), "total_deposits")
 
 
-@query("win9_corrected_logs", fr.sql(fr.LOG, "select event_id, deal_id from log where corrected order by created_at desc, event_id desc limit 1000"))
+@query("win9_corrected_logs", fr.sql(fr.LOG, "select event_id, deal_id from log where corrected"))
 def corrected_logs(spark, folder):
     return fb.corrected_rows(dv.feedback_log(spark, folder)).select("event_id", "deal_id")
 
@@ -245,14 +243,22 @@ def closest_pages(spark, folder):
 
 
 @query("win6_labelling_queue", fr.sql(fr.FILES, _BANKED + (
-    ", q as (select b.* from banked b where stem not in (select 'f_' || lpad(cast(doc_id as varchar), 9, '0') from labels) order by stem limit 500), "
-    "c as (select *, count(*) over (partition by bank) bank_count from q) select stem, bank, bank_count from c order by bank_count, stem limit 200")))
+    ", q as (select b.* from banked b where stem not in (select 'f_' || lpad(cast(doc_id as varchar), 9, '0') from labels) ), "
+    "c as (select *, count(*) over (partition by bank) bank_count from q) select stem, bank, bank_count from c")))
 def labelling_queue(spark, folder):
     banked = _banked(spark, folder)
     done = table(spark, folder, "labels").select(F.concat(F.lit("f_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("stem"))
     return lb.labelling_queue(banked.select("stem"), banked.select("stem", "bank"), done).select("stem", "bank", "bank_count")
 
 
+@query("win6_queue_totals", fr.sql(fr.FILES, _BANKED + (
+    "select bank, count(*) open_statements from banked where stem not in (select 'f_' || lpad(cast(doc_id as varchar), 9, '0') from labels) group by rollup(bank)")))
+def queue_totals(spark, folder):
+    banked = _banked(spark, folder)
+    done = table(spark, folder, "labels").select(F.concat(F.lit("f_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("stem"))
+    return lb.queue_totals(banked.select("stem"), banked.select("stem", "bank"), done)
+
+
 @query("win7_group_split", fr.sql(fr.TRAINING, "select stem, page_index, case when cast('0x' || substr(md5('42|' || stem), 1, 8) as bigint) % 100 < 15 then 'test' else 'train' end split from training"))
 def group_split(spark, folder):
     return sp.group_split(dv.training_pages(spark, folder)).select("stem", "page_index", "split")
@@ -363,7 +369,7 @@ _JSON = f", b as (select conv_id, turn, stop_reason, {_OPEN} body, {_CLOSE} body
 
 
 @query("jsn2_parse_labels", fr.sql(fr.RESPONSES, _JSON + (
-    "select conv_id, turn, case when ok1 then json_array_length(body1, '$.transactions') else 0 end n, not ok1 parse_error, case when not ok1 then 'JSON parse error. Raw: ' || substr(body1, 1, 500) end notes from v")))
+    "select conv_id, turn, case when ok1 then json_array_length(body1, '$.transactions') else 0 end n, not ok1 parse_error, case when not ok1 then 'JSON parse error. Raw: ' || body1 end notes from v")))
 def parse_labels(spark, folder):
     return rs.parse_labels(dv.responses(spark, folder)).select("conv_id", "turn", F.size("transactions").alias("n"), "parse_error", "notes")
 
@@ -409,7 +415,7 @@ def auto_labels(spark, folder):
 
 # --- files ---------------------------------------------------------------------------------------
 
-def _written(spark, folder, name):
+def _written(spark, folder=None, name="table"):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -436,14 +442,14 @@ def label_files(spark, folder):
 def statement_listing(spark, folder):
     """Distinct PDF paths of the file listing (the listing of a real folder is tested on files)."""
     files = dv.statement_files(spark, folder)
-    return files.filter(F.lower("path").endswith(".pdf")).dropDuplicates(["path"]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).distinct()
+    return files.filter(F.lower("path").endswith(".pdf")).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).distinct()
 
 
 @query("snk1_json_export", esql("select stem, seq, month_key, category, cents / 100.0 amount from enriched"))
 def json_export(spark, folder):
     target = _written(spark, folder, "export")
     rows = enriched(spark, folder)
-    fs.export_summary(rows, en.source_order(rows).limit(0), target)
+    fs.export_summary(rows, en.source_order(rows), target)
     read = spark.read.schema("stem string, seq long, month_key string, category string, amount double").json(f"{target}/transactions")
     return read
 
@@ -493,11 +499,11 @@ def type_accuracy(spark, folder):
 
 @query("txn9_learned_types")
 def learned_types(spark, folder):
-    samples = _samples(spark, folder)
-    terms = ml.fit_text_terms(samples)
-    model = ml.fit_typing(ml.type_features(samples, terms))
-    txns = dv.statement_txns(spark, folder)
-    return tx.infer_types(ml.predict_types(ml.type_features(txns, terms), model)).select("k", "type")
+    train = sp.group_split(_samples(spark, folder)).filter(F.col("split") == "train")
+    terms = ml.fit_text_terms(train)
+    model = ml.fit_typing(ml.type_features(train, terms))
+    held_out = sp.group_split(dv.statement_txns(spark, folder)).filter(F.col("split") == "test").drop("split")
+    return tx.infer_types(ml.predict_types(ml.type_features(held_out, terms), model)).select("k", "type")
 
 
 @query("tag10_learned_tags")
@@ -512,8 +518,9 @@ def learned_tags(spark, folder):
 # --- whole flows -----------------------------------------------------------------------------------
 
 # The same chain in SQL: the token table is renamed, so that the tagger reads the trimmed pages.
+_RULES = TAGGED + ", src as (select stem, page_index, pos, text, tag, 1.0 conf from tagged)"
 _FLOW = (fr.TOKENS.replace("tokens as (", "alltokens as (") + _TRIM.replace("from tokens", "from alltokens") + ", tokens as (select * from trimmed)"
-         + ROWED + TAGGED + ", src as (select stem, page_index, pos, text, tag, 1.0 conf from tagged)" + _DEC
+         + ROWED + _RULES + _DEC
          + f", built as (select stem, page, seq, date_text date, coalesce(desc_text, '') description, {parse_sql('coalesce(amount_text, chr(48))')} v, "
            f"case when balance_text <> '' then {parse_sql('balance_text')} end bal from decoded where coalesce(trim(amount_text), '0') <> ''), "
            "cents0 as (select *, cast(round(abs(v) * 100) as bigint) c0, case when v < 0 then 'debit' else 'unknown' end t0, cast(round(bal * 100) as bigint) balance_cents, "
@@ -529,16 +536,34 @@ _FLOW = (fr.TOKENS.replace("tokens as (", "alltokens as (") + _TRIM.replace("fro
 @query("flow_parsed_transactions", "with recursive " + _FLOW + (
     "select stem, page, seq, date, description, cents / 100.0 amount, type, balance_cents / 100.0 balance_after, 1.0::double confidence from flow"))
 def parsed_transactions(spark, folder):
-    return doubles(plan.parse_statements(dv.statement_tokens(spark, folder)).select(
+    return doubles(plan.parse_statements(dv.statement_tokens(spark, folder), write=True).select(
         "stem", "page", "seq", "date", "description", "amount", "type", "balance_after", "confidence"), "amount", "balance_after")
 
 
+_SERVED = CHUNKS + (
+    ", pr as (select stem, page_index, pos, text, chunk, case when chunk % 2 = 0 then pred_tag else true_tag end tag, ((pos * 7 + chunk * 13) % 10) / 10.0 conf from ck), "
+    "bs as (select *, row_number() over (partition by stem, page_index, pos order by conf desc, chunk) rn from pr), "
+    "src as (select stem, page_index, pos, text, case when conf <= 0 and chunk > 0 then 'O' else tag end tag, conf from bs where rn = 1)")
+
+
+@query("flow_tagged_transactions", "with recursive " + _FLOW.replace(_RULES, _SERVED) + (
+    "select stem, page, seq, date, description, cents / 100.0 amount, type, balance_cents / 100.0 balance_after from flow"))
+def tagged_transactions(spark, folder):
+    """The serving chain with given predictions: trim, chunk, score, merge, decode, clean, type."""
+    def score(chunks):
+        return (chunks.withColumn("tag", F.when(F.col("chunk") % 2 == 0, F.col("pred_tag")).otherwise(F.col("true_tag")))
+                .withColumn("conf", (F.col("pos") * 7 + F.col("chunk") * 13) % 10 / 10.0))
+
+    txns = plan.parse_predictions(dv.statement_tokens(spark, folder), FIT, score, write=True)
+    return doubles(txns.select("stem", "page", "seq", "date", "description", "amount", "type", "balance_after"), "amount", "balance_after")
+
+
 @query("flow_monthly_from_tokens", "with recursive " + _FLOW + (
     f", dated as (select *, strftime({sf.parse_date('date', str(YEAR))}, '%Y-%m') month_key from flow) select month_key, cast(sum(case when type = 'credit' then cents else 0 end) as bigint) / 100.0 income, "
     "cast(sum(case when type <> 'credit' then cents else 0 end) as bigint) / 100.0 expenses, count(*) n, cast(sum(case when type = 'credit' then cents else -cents end) as bigint) / 100.0 net "
     "from dated where month_key is not null group by 1"))
 def monthly_from_tokens(spark, folder):
-    txns = plan.parse_statements(dv.statement_tokens(spark, folder)).withColumn("source_file", F.concat("stem", F.lit(".pdf")))
+    txns = plan.parse_statements(dv.statement_tokens(spark, folder), write=True).withColumn("source_file", F.concat("stem", F.lit(".pdf")))
     return doubles(plan.spending_tables(txns, YEAR)["monthly"], "income", "expenses", "net")
 
 
@@ -548,25 +573,33 @@ def monthly_from_tokens(spark, folder):
     f"count(*) filter ({any_of('upper(description)', lx.NSF_WORDS)}) nsf_count, count(*) transactions from flow group by 1) "
     "select stem, page_count, word_count, coalesce(dep, 0) / 100.0 total_deposits, coalesce(wd, 0) / 100.0 total_withdrawals, coalesce(nsf_count, 0) nsf_count, "
     f"coalesce(transactions, 0) transactions, case when bs <> 0 then ({sf.half_even('bs', 'bn')}) / 100.0 end average_daily_balance, 'rules-1' model_version, "
-    "array_to_string(low, ',') low_pages from pg left join wc using (stem) left join ft using (stem)"))
+    "len(low) n_low_pages from pg left join wc using (stem) left join ft using (stem)"))
 def statement_results(spark, folder):
     words = dv.statement_tokens(spark, folder)
-    results = plan.parse_results(plan.parse_statements(words), words, words.withColumn("tag", F.col("pred_tag")), "rules-1")
-    low = F.array_join(F.col("low_confidence_pages").cast("array<string>"), ",")
-    return doubles(results.withColumn("low_pages", low).drop("low_confidence_pages"), "total_deposits", "total_withdrawals", "average_daily_balance")
+    results = plan.parse_results(plan.parse_statements(words, write=True), words, words.withColumn("tag", F.col("pred_tag")), "rules-1")
+    return doubles(results, "total_deposits", "total_withdrawals", "average_daily_balance")
 
 
 # --- streams ------------------------------------------------------------------------------------------
 
-@query("str1_new_statements", "select distinct substr(md5(cast(user_id as varchar)), 1, 12) pdf_hash from events")
+def _staged(spark, name, table_rows, bucket, key, buckets=4, files=2):
+    """A table as a stream of several files: bucket after bucket is written, so that batches come in that order."""
+    target = _written(spark, folder=None, name=name)
+    rows = table_rows.withColumn("_bucket", bucket)
+    for number in range(buckets):
+        rows.filter(F.col("_bucket") == number).drop("_bucket").repartition(files, key).write.mode("append").parquet(target)
+    return spark.readStream.schema(table_rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
+
+
+@query("str1_new_statements", "select distinct sha256(cast(user_id as varchar)) pdf_hash from events")
 def new_statements(spark, folder):
-    events = jobs.read_stream(spark, folder, "events").select(
-        F.substring(F.md5(F.col("user_id").cast("string")), 1, 12).alias("pdf_hash"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.run_to_table(spark, jobs.new_statements(events, "pdf_hash", "ts", delay="400 days"), "str1").select("pdf_hash")
+    events = _staged(spark, "str1", table(spark, folder, "events"), F.col("event_id") % 4, "event_id").select(
+        F.sha2(F.col("user_id").cast("string"), 256).alias("pdf_hash"))
+    return jobs.run_new_statements(spark, events, "pdf_hash").select("pdf_hash")
 
 
 @query("str2_feedback_rates", (
-    "select date_trunc('hour', ts) as start, event_type as method, count(*) n, cast(sum(cast(value as decimal(18,2))) as double) deposits from events group by 1, 2 "
+    "select date_trunc('hour', ts) as start, event_type as method, count(*) n, cast(sum(cast(value as decimal(18,2))) as double) deposits, cast(sum(cast(value as decimal(18,2))) as double) / count(*) mean_deposits from events group by 1, 2 "
     "having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 2 hour from events)"))
 def feedback_rates(spark, folder):
     events = jobs.read_stream(spark, folder, "events").select(
@@ -596,5 +629,7 @@ def retrain_trigger(spark, folder):
 @query("str5_running_balances", fr.sql(fr.TXN, (
     "select stem, seq, last_value(balance_cents ignore nulls) over (partition by stem order by seq rows between unbounded preceding and 1 preceding) / 100.0 prev_balance from txn")))
 def running_balances(spark, folder):
-    rows = jobs.run_balances(spark, jobs.read_stream(spark, folder, "orders"), dv.txns_of_orders)
+    txns = dv.statement_txns(spark, folder).select("stem", "seq", "amount", "balance_after")
+    stream = _staged(spark, "str5", txns, F.floor(F.col("seq") / 25), "stem")  # every statement in four batches, in order
+    rows = jobs.run_balances(spark, stream)
     return doubles(rows.select("stem", "seq", "prev_balance"), "prev_balance")

@@ -254,7 +254,7 @@ tx as (select stem, page_index, sg,
    string_agg(case when pv is null then '' when right(pv, 1) in ('/', '-') or text in ('/', '-', ',') then '' else ' ' end || text, '' order by pos) filter (f = 'date') date_text,
    string_agg(text, ' ' order by pos) filter (f = 'desc') desc_text, string_agg(text, '' order by pos) filter (f = 'amount') amount_text,
    string_agg(text, '' order by pos) filter (f = 'balance') balance_text from tk group by 1, 2, 3),
-decoded as (select *, page_index as page, page_index * 4096 + sg seq from tx join cf using (stem, page_index, sg) where date_text is not null) """
+decoded as (select *, page_index as page, page_index * 4294967296 + sg seq from tx join cf using (stem, page_index, sg) where date_text is not null) """
 _CONF = f"({sf.half_even('cast(cs * 100 as bigint)', 'cn')}) / 10000.0"
 DECODED = ", src as (select *, pred_tag tag from tokens)" + _DEC
 
@@ -271,7 +271,7 @@ def decode(spark, folder):
 STRICT = """, sg0 as (select *, pred_tag tag, greatest(sum((pred_tag = 'B-DATE')::int) over (partition by stem, page_index order by pos), 1) sg from tokens),
 sg1 as (select *, lower(substr(tag, 3)) f from sg0 where tag <> 'O'),
 sg2 as (select *, max(pos) filter (starts_with(tag, 'B-')) over (partition by stem, page_index, sg, f) s0 from sg1),
-strict as (select stem, page_index as page, page_index * 4096 + sg seq, """ + ", ".join(
+strict as (select stem, page_index as page, page_index * 4294967296 + sg seq, """ + ", ".join(
     f"string_agg(text, ' ' order by pos) filter (f = '{f}') {f}_text" for f in tg.FIELDS) + """ from sg2 where pos >= s0 group by 1, 2, 3
   having date_text is not null) """
 
@@ -283,9 +283,10 @@ def decode_strict(spark, folder):
 
 _SIZE = max(FIT - 1 - 10, 50)
 _STEP, _ORIG = _SIZE - 20, FIT - 20
-CHUNKS = (f", sz as (select *, count(*) over (partition by stem, page_index) n from tokens), ck as (select *, 0 chunk from sz where pos < {FIT} union all "
-          f"select sz.*, j + 1 from sz, range(20) r(j) where n > {FIT} and pos >= {_ORIG} + j * {_STEP} and pos < {_ORIG} + j * {_STEP} + {_SIZE} and "
-          f"(j = 0 or {_ORIG} + (j - 1) * {_STEP} + {_SIZE} < n)) ")
+_CHUNKS = ("; sz as (select *, count(*) over (partition by stem, page_index) n, row_number() over (partition by stem, page_index order by pos) - 1 pl from {src}), "
+           f"ck as (select *, 0 chunk from sz where pl < {FIT} union all select * exclude (j), j + 1 from (select *, unnest(range(n)) j from sz where n > {FIT}) where "
+           f"pl >= {_ORIG} + j * {_STEP} and pl < {_ORIG} + j * {_STEP} + {_SIZE} and (j = 0 or {_ORIG} + (j - 1) * {_STEP} + {_SIZE} < n)) ").replace(";", ",", 1)
+CHUNKS = _CHUNKS.replace("{src}", "tokens")
 
 
 @query("tag7_split_chunks", fr.sql(fr.TOKENS, CHUNKS + "select stem, page_index, pos, chunk from ck"))
@@ -305,6 +306,18 @@ def merge_chunks(spark, folder):
     return tg.merge_chunks(predictions)
 
 
+@query("flow_trimmed_chunks", fr.sql(fr.TOKENS, _TRIM + _CHUNKS.replace("{src}", "trimmed") + (
+    ", pr as (select stem, page_index, pos, chunk, case when chunk % 2 = 0 then pred_tag else true_tag end tag, ((pos * 7 + chunk * 13) % 10) / 10.0 conf from ck), "
+    "b as (select *, row_number() over (partition by stem, page_index, pos order by conf desc, chunk) rn from pr) "
+    "select stem, page_index, pos, case when conf <= 0 and chunk > 0 then 'O' else tag end tag, conf from b where rn = 1")))
+def trimmed_chunks(spark, folder):
+    """Trim pages, cut them into chunks, merge the chunks' predictions: every trimmed token keeps one tag."""
+    chunks = tg.split_chunks(ly.trim_sections(tokens(spark, folder)), FIT)
+    return tg.merge_chunks(chunks.select(
+        "stem", "page_index", "pos", "chunk", F.when(F.col("chunk") % 2 == 0, F.col("pred_tag")).otherwise(F.col("true_tag")).alias("tag"),
+        ((F.col("pos") * 7 + F.col("chunk") * 13) % 10 / 10.0).alias("conf")))
+
+
 @query("tag9_page_confidence", fr.sql(fr.TOKENS, (
     ", c as (select stem, page_index, sum(round(conf * 100)::bigint) filter (pred_tag <> 'O') s, count(*) filter (pred_tag <> 'O') n from tokens group by 1, 2) "
     "select stem, page_index, round(case when n = 0 then 1.0 else s / n / 100.0 end, 9) page_conf, case when n = 0 then false else s < 70 * n end is_low from c")))

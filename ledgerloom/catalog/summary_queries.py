@@ -167,7 +167,7 @@ def category_totals(spark, folder):
 
 
 @query("agg3_daily_balances", esql(
-    "select parsed_date, balance_cents / 100.0 balance from (select *, row_number() over (partition by parsed_date "
+    "select parsed_date, balance_cents / 100.0 balance, count(*) over () >= 5 chart from (select *, row_number() over (partition by parsed_date "
     "order by source_file desc, page desc, seq desc) rn from enriched where balance_cents is not null and parsed_date "
     "is not null) where rn = 1"))
 def daily_balances(spark, folder):
@@ -175,7 +175,7 @@ def daily_balances(spark, folder):
 
 
 @query("agg4_top_merchants", esql(
-    ", m as (select *, trim(substr(description, 1, 35)) merchant from enriched where month_key <> 'unknown' and "
+    ", m as (select *, trim(description) merchant from enriched where month_key <> 'unknown' and "
     "type = 'debit'), r as (select merchant, count(*) n, sum(cents) c from m where merchant <> '' group by 1) "
     "select merchant, n, cast(c as bigint) / 100.0 total from r order by c desc limit 15"))
 def top_merchants(spark, folder):

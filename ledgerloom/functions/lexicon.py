@@ -125,7 +125,6 @@ BANK_SUBSTRINGS = [
     ("comerica", "Comerica"), ("citizens", "Citizens"), ("navy federal", "Navy Federal"), ("usaa", "USAA"),
     ("huntington", "Huntington"), ("m&t bank", "M&T Bank"), ("fifth third", "Fifth Third"), ("zions", "Zions"),
     ("bbva", "BBVA"), ("bmo", "BMO")]
-BANK_HEAD_WORDS = 100
 
 # (bank, patterns, sample quota); case-insensitive, first match wins
 SAMPLED_BANKS = [
@@ -210,8 +209,6 @@ HEADER_BANKS = [
     (r"credit\s*union|federal\s*credit", "Credit Union"),
     (r"relay|novo|lili|found\b|grasshopper", "Fintech/Neobank"),
 ]
-HEADER_CHARS = 3000
-FDIC_CHARS = 1000
 KNOWN_BANKS = ["chase", "wells fargo", "pnc", "twidcorp"]
 
 # --- fixed values: file-name and content filters -----------------------------------------

@@ -16,12 +16,11 @@ def bank_of_head(text: Column) -> Column:
     return first_label([(text.contains(p), bank) for p, bank in lx.BANK_SUBSTRINGS], "unknown")
 
 
-def detect_bank_format(tokens: DataFrame) -> DataFrame:
-    """Bank per statement from the first 100 words of page 0 (BNK1).
-
-    The position filter runs before the shuffle, so at most 100 tokens per statement move.
-    """
-    head = tokens.filter((F.col("page_index") == 0) & (F.col("pos") < lx.BANK_HEAD_WORDS))
+def detect_bank_format(tokens: DataFrame, head_words: int | None = None) -> DataFrame:
+    """Bank per statement from page 0, or only its first ``head_words`` words (BNK1)."""
+    head = tokens.filter(F.col("page_index") == 0)
+    if head_words:
+        head = head.filter(F.col("pos") < head_words)
     words = head.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower("text").alias("t")))).alias("w"))
     text = F.array_join(F.transform("w", lambda x: x["t"]), " ")
     return words.select("stem", bank_of_head(text).alias("bank"))
@@ -43,13 +42,16 @@ def banks_in_text(text: Column) -> Column:
     return bind(F.lower(text), lambda lower: all_labels(lower, [(bank, texts) for bank, _, texts in lx.SURVEYED_BANKS]))
 
 
-def bank_of_header(text: Column) -> Column:
-    """Bank from the first 3000 characters, or the 'bank' line of an FDIC member, else 'Unknown' (BNK4)."""
-    head = F.lower(F.substring(text, 1, lx.HEADER_CHARS))
-    lines = F.slice(F.split(F.substring(text, 1, lx.FDIC_CHARS), "\n"), 1, 5)
-    trimmed = F.transform(lines, strip)
+def bank_of_header(text: Column, header_chars: int | None = None) -> Column:
+    """Bank from the page text, or the first 'bank' line of an FDIC member, else 'Unknown' (BNK4).
+
+    ``header_chars`` looks at the beginning of the text only.
+    """
+    area = F.substring(text, 1, header_chars) if header_chars else text
+    head = F.lower(area)
+    trimmed = F.transform(F.split(area, "\n"), strip)
     named = F.filter(trimmed, lambda s: (F.length(s) > 3) & F.lower(s).contains("bank"))
-    member = F.when(head.contains("fdic"), F.substring(F.get(named, F.lit(0)), 1, 50))
+    member = F.when(head.contains("fdic"), F.get(named, F.lit(0)))
     known = bind(head, lambda lower: first_label([(found(lower, p), bank) for p, bank in lx.HEADER_BANKS], None))
     return F.coalesce(known, member, F.lit("Unknown"))
 
@@ -59,8 +61,12 @@ def survey_sample(files: DataFrame, size: int = SURVEY_SAMPLE, seed: int = 42) -
     return files.orderBy(F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("name"))), "name").limit(size)
 
 
-def bank_coverage(files: DataFrame, sample: DataFrame) -> DataFrame:
-    """Banks by file name over all files and by text over the sample, with an estimate (BNK5)."""
+def bank_coverage(files: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """Banks by file name and by text, with an estimate (BNK5).
+
+    Texts of all files are read unless a ``sample`` of them is given; only then the estimate extrapolates.
+    """
+    sample = files if sample is None else sample
     total = files.agg(F.count(F.lit(1)).alias("total"))
     sampled = sample.agg(F.count(F.lit(1)).alias("sampled"))
     by_name = (files.select(F.explode(banks_in_name(F.col("name"))).alias("bank"))
@@ -80,11 +86,12 @@ def bank_coverage(files: DataFrame, sample: DataFrame) -> DataFrame:
             .orderBy(F.desc("_rank"), "bank").drop("_rank"))
 
 
-def unmatched_files(files: DataFrame, limit: int = 15) -> DataFrame:
-    """First files without any text match, with a one-line snippet (BNK6)."""
-    snippet = F.substring(F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" | ")), 1, 120)
-    return (files.filter(F.size(banks_in_text(F.col("text"))) == 0)
-            .select("name", snippet.alias("snippet")).orderBy("name").limit(limit))
+def unmatched_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files without any text match, their text on one line, and whether the name tells a bank (BNK6)."""
+    snippet = F.replace("text", F.lit("\n"), F.lit(" | "))
+    rows = files.filter(F.size(banks_in_text(F.col("text"))) == 0).select(
+        "name", snippet.alias("snippet"), (F.size(banks_in_name(F.col("name"))) > 0).alias("in_name")).orderBy("name")
+    return rows.limit(limit) if limit else rows
 
 
 def bank_members(matches: DataFrame) -> DataFrame:

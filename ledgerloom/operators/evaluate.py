@@ -60,8 +60,8 @@ def entity_report(tokens: DataFrame, true: str, pred: str) -> DataFrame:
         F.col("tp"), F.col("pred"), F.col("support")).items()])
     # All averages come from one aggregate over the few type rows.
     metrics = ("precision", "recall", "f1")
-    totals = scored.agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "support")], *[F.avg(m).alias(f"macro_{m}") for m in metrics],
-                        *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"weighted_{m}") for m in metrics])
+    totals = scored.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "pred", "support")], *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"macro_{m}") for m in metrics],
+                        *[F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(f"weighted_{m}") for m in metrics])
     micro = _scores(F.col("tp"), F.col("pred"), F.col("support"))
     row = lambda name, parts: F.struct(F.lit(name).alias("type"), *[p.alias(m) for p, m in zip(parts, metrics)], F.col("support").alias("support"))
     averages = totals.select(F.inline(F.array(

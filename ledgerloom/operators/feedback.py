@@ -6,36 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon as lx
-from ledgerloom.operators.scale import take_per_key
 
-DETAILS = 20
-DETAIL_CHARS = 50
+
+def flagged_details(txns: DataFrame) -> DataFrame:
+    """Every low-confidence transaction (AGG8), one row each, with its whole description."""
+    return txns.filter(F.coalesce("confidence", F.lit(1.0)) < lx.LOW_TXN_CONFIDENCE).select(
+        "stem", "seq", "page", "description", "confidence")
 
 
 def feedback_records(txns: DataFrame, pages: DataFrame, banks: DataFrame) -> DataFrame:
     """One record per statement that has a low-confidence transaction or page (AGG8).
 
-    ``pages``: ``stem, page_count, low_confidence_pages``; ``banks``: ``stem, bank``. Only the first 20
-    flagged rows of a statement ever leave a map task.
+    ``pages``: ``stem, page_count, n_low_pages``; ``banks``: ``stem, bank``. The flagged transactions and the low
+    pages themselves are tables (``flagged_details``, ``tagging.page_confidence``), so a record never grows.
     """
     conf = F.coalesce("confidence", F.lit(1.0))
-    flagged = txns.filter(conf < lx.LOW_TXN_CONFIDENCE)
     mean = F.avg(F.coalesce("confidence", F.lit(0.0)).cast("decimal(18,9)"))
     totals = txns.groupBy("stem").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(conf < lx.LOW_TXN_CONFIDENCE).alias("flagged_transactions"), F.bround(mean, 4).cast("double").alias("avg_confidence"))
-    first = take_per_key(flagged, ["stem"], [F.col("seq")], DETAILS, "_rank")
-    details = first.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct(
-        "_rank", "page", F.substring("description", 1, DETAIL_CHARS).alias("description"), "confidence"))).alias("_d"))
-    detail = F.transform("_d", lambda d: F.struct(d["page"].alias("page"), d["description"].alias("description"), d["confidence"].alias("confidence")))
-    joined = pages.join(totals, "stem", "left").join(details, "stem", "left").join(banks, "stem", "left")
-    none = F.array().cast("array<struct<page:bigint,description:string,confidence:double>>")
+    joined = pages.join(totals, "stem", "left").join(banks, "stem", "left")
     return (joined.withColumn("flagged_transactions", F.coalesce("flagged_transactions", F.lit(0)))
-            .filter((F.col("flagged_transactions") > 0) | (F.size("low_confidence_pages") > 0))
+            .filter((F.col("flagged_transactions") > 0) | (F.col("n_low_pages") > 0))
             .select("stem", F.coalesce("bank", F.lit("unknown")).alias("bank_format"), "page_count",
-                    F.coalesce("total_transactions", F.lit(0)).alias("total_transactions"), "flagged_transactions",
-                    "low_confidence_pages", F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
-                    F.coalesce(detail, none).alias("flagged_details")))
+                    F.coalesce("total_transactions", F.lit(0)).alias("total_transactions"), "flagged_transactions", "n_low_pages",
+                    F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence")))
 
 
 def flagged_by_bank(records: DataFrame) -> DataFrame:
@@ -49,9 +44,9 @@ def flagged_members(records: DataFrame) -> DataFrame:
     """Every flagged statement with its bank's figures (AGG9).
 
     The member list stays a table: one array per bank would put a common bank into one row.
-    The joined side has one row per bank.
+    The joined side has one row per value of ``bank_format``; its size is left to the optimizer.
     """
-    return records.join(F.broadcast(flagged_by_bank(records)), "bank_format").select(
+    return records.join(flagged_by_bank(records), "bank_format").select(
         "bank_format", "n", "bank_confidence", "stem", "flagged_transactions", "total_transactions", "avg_confidence")
 
 
@@ -81,9 +76,10 @@ def log_query(log: DataFrame, deal_id=None, method: str | None = None, limit: in
     return log.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
 
 
-def corrected_rows(log: DataFrame, limit: int = 1000) -> DataFrame:
-    """Newest rows that carry human corrections (WIN9)."""
-    return log.filter("corrected").orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+def corrected_rows(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows that carry human corrections, newest first: all of them, as they feed training, or the first few (WIN9)."""
+    rows = log.filter("corrected").orderBy(F.desc("created_at"), F.desc("event_id"))
+    return rows.limit(limit) if limit else rows
 
 
 def shadow_comparison(log: DataFrame, limit: int = 50) -> DataFrame:

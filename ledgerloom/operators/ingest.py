@@ -9,14 +9,18 @@ from ledgerloom.functions import lexicon as lx
 from ledgerloom.functions.text import path_name, safe_name
 from ledgerloom.operators.filters import is_statement_name
 
-FINGERPRINT_BYTES = 4096
 UPLOAD_FIELDS = ("control_fileupload", "control_widget")
 _HREF = r"""(?i)href=["']?(https?://[^"'>\s]+\.pdf)"""
 
 
 def fingerprint(content: Column) -> Column:
-    """Statement identity: 12 hex digits of the MD5 of the first 4096 bytes (SRC4)."""
-    return F.substring(F.md5(F.substring(content.cast("binary"), 1, FINGERPRINT_BYTES)), 1, 12)
+    """Statement identity: the SHA-256 of the whole content (SRC4)."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def short_fingerprint(identity: Column) -> Column:
+    """Twelve digits of an identity for display; never a key."""
+    return F.substring(identity, 1, 12)
 
 
 def scale_coordinate(value: Column, size: Column) -> Column:
@@ -108,7 +112,7 @@ def submission_name(url: Column, submission: Column) -> Column:
 
 def bank_prefixed_name(bank: Column, name: Column) -> Column:
     """File name for a second file of the same name (SRC13)."""
-    return F.concat(F.substring(F.regexp_replace(bank, r"[^\p{L}\p{N}_]", "_"), 1, 20), F.lit("_"), name)
+    return F.concat(F.regexp_replace(bank, r"[^\p{L}\p{N}_]", "_"), F.lit("_"), name)
 
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:

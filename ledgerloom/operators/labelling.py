@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.scale import previous_value
 
-QUEUE_STEMS = 500
-QUEUE_ROWS = 200
 PRICE_SEQUENTIAL = 0.003
 PRICE_PARALLEL = 0.025
 
@@ -30,8 +28,8 @@ def review_stats(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(done).alias("reviewed"),
         F.count_if(done & (F.col("review_status") == "accepted")).alias("accepted"),
         F.count_if(done & (F.col("review_status") == "rejected")).alias("rejected"),
-        F.count_if(~done).alias("unreviewed"), F.avg(rate.cast("decimal(10,3)")).cast("double").alias("avg_alignment"),
-        F.count_if(rate < 90).alias("below_90")).withColumn("reviewed_pct", F.col("reviewed") / F.col("total") * 100)
+        F.count_if(~done).alias("unreviewed"), F.coalesce(F.avg(rate.cast("decimal(10,3)")).cast("double"), F.lit(0.0)).alias("avg_alignment"),
+        F.count_if(rate < 90).alias("below_90")).withColumn("reviewed_pct", F.coalesce(F.try_divide(F.col("reviewed"), F.col("total")) * 100, F.lit(0.0)))
 
 
 def alignment_stats(pages: DataFrame) -> DataFrame:
@@ -90,15 +88,22 @@ def page_for_labelling(pages: DataFrame, labels: DataFrame, predictions: DataFra
     return joined.select(*keys, F.coalesce("_l", "_p", F.array().cast(labels.schema["transactions"].dataType)).alias("transactions"), source.alias("source"))
 
 
-def labelling_queue(stems: DataFrame, banks: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Unlabelled statements, rarest bank first (WIN6).
+def open_statements(stems: DataFrame, banks: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Statements without a label, with their bank."""
+    todo = stems.join(labelled.select("stem").distinct(), "stem", "left_anti")
+    return todo.join(banks, "stem", "left").withColumn("bank", F.coalesce("bank", F.lit("Unknown")))
 
-    The first 500 stems by name are ranked and 200 are returned, so the window sees 500 rows.
-    """
-    todo = stems.join(labelled.select("stem").distinct(), "stem", "left_anti").orderBy("stem").limit(QUEUE_STEMS)
-    named = todo.join(banks, "stem", "left").withColumn("bank", F.coalesce("bank", F.lit("Unknown")))
-    counted = named.withColumn("bank_count", F.count(F.lit(1)).over(Window.partitionBy("bank")))
-    return counted.orderBy("bank_count", "stem").limit(QUEUE_ROWS)
+
+def labelling_queue(stems: DataFrame, banks: DataFrame, labelled: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unlabelled statements, rarest bank first; ``limit`` shows only the head of the queue (WIN6)."""
+    named = open_statements(stems, banks, labelled)
+    counted = named.join(named.groupBy("bank").agg(F.count(F.lit(1)).alias("bank_count")), "bank").orderBy("bank_count", "stem")
+    return counted.limit(limit) if limit else counted
+
+
+def queue_totals(stems: DataFrame, banks: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Open statements per bank and in total (null bank) (WIN6)."""
+    return open_statements(stems, banks, labelled).rollup("bank").agg(F.count(F.lit(1)).alias("open_statements"))
 
 
 def next_unlabelled(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ TEXT_TERMS = 50
 LAYERS = [64, 32]
 
 
-def fit_text_terms(samples: DataFrame) -> PipelineModel:
-    """Vocabulary of the 50 most frequent words and word pairs, and their document frequencies."""
+def fit_text_terms(samples: DataFrame, size: int = TEXT_TERMS) -> PipelineModel:
+    """Vocabulary of the ``size`` most frequent words and word pairs, and their document frequencies."""
     return Pipeline(stages=[
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=TEXT_TERMS),
+        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size),
         IDF(inputCol="tf", outputCol="tfidf")]).fit(_terms(samples))
 
 

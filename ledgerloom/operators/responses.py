@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import number_text, to_number
 from ledgerloom.functions.text import strip_fence
 from ledgerloom.sources.schemas import TXN_ARRAY, label_type
 
 FULL_CONFIDENCE = 1.0
 SALVAGED_CONFIDENCE = 0.8
-NOTE_CHARS = 500
 
 
 def response_body(text: Column, stop_at_close: bool = False) -> Column:
@@ -27,6 +27,14 @@ def _valid(body: Column) -> Column:
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2, F.lit(False))
 
 
+def read_numbers(transactions: Column) -> Column:
+    """Written transactions with amounts and balances as numbers; what is no number is null, never zero."""
+    number = lambda text: to_number(number_text(text))
+    return F.transform(transactions, lambda t: F.struct(
+        t["date"].alias("date"), t["description"].alias("description"), number(t["amount"]).alias("amount"),
+        t["type"].alias("type"), number(t["balance_after"]).alias("balance_after")))
+
+
 def parse_labels(responses: DataFrame) -> DataFrame:
     """Response text to label rows; unreadable JSON leaves an empty, flagged label (JSN2)."""
     body = response_body(F.col("text"), stop_at_close=True)
@@ -34,9 +42,9 @@ def parse_labels(responses: DataFrame) -> DataFrame:
     parsed = responses.withColumn("_body", body).withColumn("_ok", _valid(F.col("_body"))).withColumn(
         "_label", F.when(F.col("_ok"), F.from_json("_body", label_type())))
     return parsed.select(
-        *keep, F.coalesce("_label.transactions", F.array().cast(TXN_ARRAY)).alias("transactions"),
+        *keep, F.coalesce(read_numbers(F.col("_label.transactions")), F.array().cast(TXN_ARRAY)).alias("transactions"),
         F.coalesce("_label.has_transactions", F.when(~F.col("_ok"), False)).alias("has_transactions"),
-        F.when(~F.col("_ok"), F.concat(F.lit("JSON parse error. Raw: "), F.substring("_body", 1, NOTE_CHARS)))
+        F.when(~F.col("_ok"), F.concat(F.lit("JSON parse error. Raw: "), F.col("_body")))
         .otherwise(F.col("_label.notes")).alias("notes"),
         F.when(~F.col("_ok"), True).otherwise(F.coalesce("_label.parse_error", F.lit(False))).alias("parse_error"))
 
@@ -59,7 +67,7 @@ def response_transactions(responses: DataFrame) -> DataFrame:
         "_fixed", F.when(~F.col("_ok") & (F.col("stop_reason") == "max_tokens"), salvage(F.col("_body"))))
     fixed = F.when(F.col("_ok"), F.col("_body")).when(_valid(F.col("_fixed")), F.col("_fixed"))
     keep = [c for c in responses.columns if c not in ("text", "stop_reason")]
-    return (staged.withColumn("_txns", F.from_json(fixed, label_type())["transactions"])
+    return (staged.withColumn("_txns", read_numbers(F.from_json(fixed, label_type())["transactions"]))
             .select(*keep, F.when(F.col("_ok"), FULL_CONFIDENCE).otherwise(SALVAGED_CONFIDENCE).alias("confidence"),
                     F.posexplode("_txns").alias("idx", "_t"))
             .select(*keep, "confidence", "idx", "_t.*"))
@@ -68,11 +76,11 @@ def response_transactions(responses: DataFrame) -> DataFrame:
 def label_samples(pages: DataFrame) -> DataFrame:
     """Credit and debit rows of label files with absolute amounts (JSN4).
 
-    ``pages``: ``stem, page_index, transactions``.
+    ``pages``: ``stem, page_index, transactions``. A row without a readable amount has a null amount.
     """
     rows = pages.select("stem", "page_index", F.explode("transactions").alias("t"))
     return rows.filter(F.col("t.type").isin("credit", "debit")).select(
-        "stem", "page_index", F.abs(F.coalesce("t.amount", F.lit(0.0))).alias("amount"),
+        "stem", "page_index", F.abs("t.amount").alias("amount"),
         F.coalesce("t.description", F.lit("")).alias("description"), F.col("t.type").alias("type"))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon as lx
+from ledgerloom.functions.text import strip
 from ledgerloom.operators.transactions import is_nsf
 
 TOP_MERCHANTS = 15
-MERCHANT_CHARS = 35
 MIN_CHART_POINTS = 5
 
 
@@ -50,16 +50,16 @@ def daily_balances(enriched: DataFrame) -> DataFrame:
             .agg(F.max_by("balance_after", F.struct("source_file", "page", "seq")).alias("balance")))
 
 
-def balance_chart(enriched: DataFrame) -> DataFrame:
-    """Daily balances, or nothing when there are fewer than five points."""
-    points = daily_balances(enriched)
-    enough = points.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_CHART_POINTS)
-    return points.join(F.broadcast(enough), F.lit(True), "left_semi")
+def balance_chart(enriched: DataFrame, points: int = MIN_CHART_POINTS) -> DataFrame:
+    """Daily balances and whether there are enough days for a chart (``chart``)."""
+    days = daily_balances(enriched).withColumn("_one", F.lit(1))
+    enough = days.agg((F.count(F.lit(1)) >= points).alias("chart"), F.lit(1).alias("_one"))
+    return days.join(F.broadcast(enough), "_one").drop("_one")  # one row
 
 
 def top_merchants(enriched: DataFrame, limit: int = TOP_MERCHANTS) -> DataFrame:
-    """Debit merchants by total, ties to the one seen first (AGG4)."""
-    merchant = F.btrim(F.substring("description", 1, MERCHANT_CHARS))
+    """Debit merchants by total, ties to the one seen first (AGG4); a merchant is a whole trimmed description."""
+    merchant = strip(F.col("description"))
     seen = F.struct(F.col("parsed_date"), F.col("source_file"), F.col("page"), F.col("seq"))
     return (_dated(enriched).filter(F.col("type") == "debit").withColumn("merchant", merchant)
             .filter(F.col("merchant") != "").groupBy("merchant")

@@ -11,8 +11,8 @@ from ledgerloom.operators.layout import PAGE, ROW, token_shapes, visual_rows, wi
 CHUNK_OVERLAP = 20
 CHUNK_MARGIN = 10
 MIN_CHUNK = 50
-MAX_CHUNKS = 20
-PAGE_STRIDE = 4096
+#: Room for the transactions of a page in a sequence number.
+PAGE_STRIDE = 1 << 32
 FIELDS = ("date", "desc", "amount", "balance")
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -124,21 +124,24 @@ def split_chunks(tokens: DataFrame, fit: int) -> DataFrame:
     """Cut pages with more than ``fit`` tokens into overlapping chunks (TAG7).
 
     Chunk 0 is the first ``fit`` tokens; later chunks repeat the last 20 tokens of the one
-    before. Each token computes the chunks it belongs to, so no range join is needed.
+    before, as many as the page needs. Tokens count from the first one given, so trimmed pages
+    lose nothing; ``pos`` stays what it was. Each token computes the chunks it belongs to, so no
+    range join is needed.
     """
     size = max(fit - 1 - CHUNK_MARGIN, MIN_CHUNK)
     step, origin = size - CHUNK_OVERLAP, max(fit - CHUNK_OVERLAP, 0)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*PAGE))
-    pos = F.col("pos")
-    chunks = F.least(F.greatest(F.ceil((F.col("_n") - size - origin) / step), F.lit(0)) + 1, F.lit(MAX_CHUNKS))
+    page = Window.partitionBy(*PAGE)
+    n, place = F.count(F.lit(1)).over(page), F.row_number().over(page.orderBy("pos")) - 1
+    pos = F.col("_place")
+    chunks = F.greatest(F.ceil((F.col("_n") - size - origin) / step), F.lit(0)) + 1
     low = F.greatest(F.ceil((pos - origin - size + 1) / step), F.lit(0))
     high = F.least(F.floor((pos - origin) / step), chunks - 1)
     later = F.when((F.col("_n") > fit) & (pos >= origin) & (low <= high),
                    F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda j: j + 1))
     none = F.array().cast("array<int>")
     head = F.when(pos < fit, F.array(F.lit(0))).otherwise(none)
-    return (tokens.withColumn("_n", n)
-            .withColumn("chunk", F.explode(F.concat(head, F.coalesce(later, none)))).drop("_n"))
+    return (tokens.withColumn("_n", n).withColumn("_place", place)
+            .withColumn("chunk", F.explode(F.concat(head, F.coalesce(later, none)))).drop("_n", "_place"))
 
 
 def merge_chunks(predictions: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def build_transactions(fields: DataFrame) -> DataFrame:
 
     Reads ``date_text, desc_text, amount_text, balance_text, mean_conf``; every other column is
     kept. A missing amount counts as 0, only a blank amount drops the row, and a negative one
-    makes a debit.
+    makes a debit. A number too large for money is a null amount or balance (``rejected_amounts``).
     """
     amount = mn.parse_amount(F.coalesce("amount_text", F.lit("0")))
     balance = F.when(F.coalesce("balance_text", F.lit("")) != "", mn.parse_amount(F.col("balance_text")))
@@ -28,9 +28,9 @@ def build_transactions(fields: DataFrame) -> DataFrame:
             if c not in ("date_text", "desc_text", "amount_text", "balance_text", "mean_conf")]
     return fields.filter(~F.coalesce("amount_text", F.lit("0")).rlike(_BLANK)).select(
         *kept, trim("date_text").alias("date"), trim("desc_text").alias("description"),
-        F.abs(amount).cast(mn.MONEY).alias("amount"),
+        F.abs(amount).try_cast(mn.MONEY).alias("amount"),
         F.when(amount < 0, "debit").otherwise(UNKNOWN).alias("type"),
-        balance.cast(mn.MONEY).alias("balance_after"),
+        balance.try_cast(mn.MONEY).alias("balance_after"),
         F.bround("mean_conf", 4).cast("double").alias("confidence"))
 
 
@@ -47,13 +47,19 @@ def rescue_embedded_amounts(txns: DataFrame) -> DataFrame:
     return staged.withColumns({
         "type": F.when(use & (F.col("_parsed") < 0), "debit").otherwise(F.col("type")),
         "description": F.when(use, cleaned).otherwise(desc),
-        "amount": F.when(use, F.abs("_parsed").cast(mn.MONEY)).otherwise(F.col("amount")),
+        "amount": F.when(use, F.abs("_parsed").try_cast(mn.MONEY)).otherwise(F.col("amount")),
     }).drop("_found", "_parsed")
 
 
 def drop_empty(txns: DataFrame) -> DataFrame:
-    """Keep rows with an amount or a balance (TXN4)."""
-    return txns.filter((F.col("amount") != 0) | F.col("balance_after").isNotNull())
+    """Keep rows with an amount or a balance, and those whose amount was rejected (TXN4)."""
+    return txns.filter(F.col("amount").isNull() | (F.col("amount") != 0) | F.col("balance_after").isNotNull())
+
+
+def rejected_amounts(txns: DataFrame) -> DataFrame:
+    """Rows and rejected (null) amounts per statement that has one."""
+    return (txns.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount").isNull()).alias("rejected"))
+            .filter("rejected > 0"))
 
 
 def drop_summary_rows(txns: DataFrame) -> DataFrame:

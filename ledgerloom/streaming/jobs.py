@@ -50,15 +50,40 @@ def run_batches(spark: SparkSession, stream: DataFrame, name: str, summarise: Ca
 
 
 def new_statements(stream: DataFrame, key: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Each fingerprint once within the watermark delay (STR1)."""
+    """Each fingerprint once within the watermark delay (STR1); a short state for repeated deliveries."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def run_new_statements(spark: SparkSession, stream: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """Keys that neither ``known`` nor an earlier micro-batch holds, each once (STR1).
+
+    Nothing is kept in the stream's state: every batch is anti-joined with the table of keys, whose partition of
+    the batch a replay replaces.
+    """
+    target = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(key).distinct()
+        if known is not None:
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        if batch_id > 0:
+            held = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch_id long").parquet(f"{target}/data")
+            fresh = fresh.join(held.filter(F.col("batch_id") < batch_id), key, "left_anti")
+        (fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{target}/data"))
+
+    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{target}/data")
+
+
 def feedback_rates(stream: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Rows and mean value per method in tumbling windows; late rows are dropped (STR2)."""
+    """Rows, sum and mean of the deposits per method in tumbling windows; late rows are dropped (STR2)."""
     return (stream.withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("w"), "method")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("total_deposits").alias("deposits"))
-            .select(F.col("w.start").alias("start"), "method", "n", "deposits"))
+            .select(F.col("w.start").alias("start"), "method", "n", "deposits",
+                    (F.col("deposits").cast("double") / F.col("n")).alias("mean_deposits")))
 
 
 def monthly_deltas(batch: DataFrame) -> DataFrame:
@@ -85,15 +110,13 @@ def retrain_due(counts: DataFrame, min_pages: int) -> DataFrame:
         "ready_for_retrain", F.col("auto_pages") >= min_pages)
 
 
-def run_balances(spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
-                 keep_batches: int = 1000) -> DataFrame:
+def run_balances(spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Previous known balance across micro-batches (STR5).
 
     Inside a batch the blocked as-of of the batch operator is used, so one busy statement is
     spread over tasks. Across batches a state table holds the last balance per statement; batch
-    n reads version n - 1 and writes version n, which makes a replay harmless. Statements
-    without rows for ``keep_batches`` batches leave the state. A statement's batches must
-    arrive in order. ``prepare`` turns a raw batch into ``stem, seq, amount, balance_after`` rows.
+    n reads version n - 1 and writes version n, which makes a replay harmless. A statement's
+    batches must arrive in order. ``prepare`` turns a raw batch into ``stem, seq, amount, balance_after`` rows.
     """
     target = f"{shared_dir(spark)}/balances-{uuid.uuid4().hex}"
 
@@ -106,7 +129,7 @@ def run_balances(spark: SparkSession, stream: DataFrame, prepare: Callable[[Data
             state = spark.read.parquet(f"{target}/state/{batch_id - 1}")
             filled = filled.join(state.select("stem", "last"), "stem", "left").withColumn(
                 "prev_balance", F.coalesce("prev_balance", "last")).drop("last")
-            latest = (state.filter(F.col("seen") > batch_id - keep_batches).unionByName(latest).groupBy("stem")
+            latest = (state.unionByName(latest).groupBy("stem")
                       .agg(F.max_by("last", "seen").alias("last"), F.max("seen").alias("seen")))
         (filled.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{target}/data"))
