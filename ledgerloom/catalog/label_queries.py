@@ -438,6 +438,36 @@ def label_files(spark, folder):
     return rows.filter(F.size("transactions") > 0).select("conv_id", "turn", F.size("transactions").alias("n"))
 
 
+@query("src1_page_files", fr.sql(fr.TOKENS, "select stem, page_index, count(*) n from tokens group by 1, 2"))
+def page_files(spark, folder):
+    """Word pages in one file per page below a folder per statement, found and read again."""
+    target = _written(spark, folder, "pages")
+    pages = fs.word_pages(dv.statement_tokens(spark, folder)).withColumn("pdf", F.concat("stem", F.lit(".pdf")))
+    named = pages.select("pdf", "page_index", "word_count", "words", F.col("stem").alias("s"), F.col("page_index").alias("p"))
+    named.repartition("s").write.partitionBy("s", "p").json(target)
+    read = spark.read.schema(fs.sc.WORDS_PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(target)
+    return read.select(F.regexp_replace("pdf", r"\.pdf$", "").alias("stem"), F.col("page_index").cast("long").alias("page_index"),
+                       F.size("words").cast("long").alias("n"))
+
+
+@query("src3_listed_files", (
+    "select 'd' || doc_id || case when doc_id % 2 = 0 then '.pdf' else '.PDF' end as name, sha256(case when doc_id % 3 = 0 then '%PDF-1.7' else 'PK' end || coalesce(text, '')) pdf_hash, "
+    "doc_id % 3 = 0 as is_pdf from documents where doc_id % 5 <> 0"))
+def listed_files(spark, folder):
+    """Files written to a real folder, listed by suffix, fingerprinted and checked by their first bytes."""
+    doc, target = F.col("doc_id"), _written(spark, folder, "files")
+    suffix = F.when(doc % 5 == 0, ".txt").when(doc % 2 == 0, ".pdf").otherwise(".PDF")
+    blobs = table(spark, folder, "documents").select(
+        F.concat(F.lit("d"), doc.cast("string"), suffix).alias("name"),
+        F.concat(F.when(doc % 3 == 0, "%PDF-1.7").otherwise("PK"), F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    fs.write_files(blobs, target)
+    listed = fs.list_statements(spark, target, content=True)
+    magic = ig.pdf_files(listed).select("path", F.lit(True).alias("is_pdf"))
+    return listed.join(magic, "path", "left").select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), ig.fingerprint(F.col("content")).alias("pdf_hash"),
+        F.coalesce("is_pdf", F.lit(False)).alias("is_pdf"))
+
+
 @query("src3_statement_listing", fr.sql(fr.FILES, "select distinct regexp_replace(path, '^.*/', '') as name from files where ends_with(lower(name), '.pdf')"))
 def statement_listing(spark, folder):
     """Distinct PDF paths of the file listing (the listing of a real folder is tested on files)."""
@@ -489,6 +519,35 @@ def typing_model(spark, folder):
     return _typed(spark, folder).select("k", "true_type", "model_type", "model_prob")
 
 
+# Weights of a model are no SQL matter; what must hold for any fit is: which rows are scored, no statement on both
+# sides of the split, probabilities, and more right answers than the most frequent class gives.
+_SPLIT = "cast('0x' || substr(md5('42|' || stem), 1, 8) as bigint) % 100 < 15"
+
+
+def _facts(scored, truth, guess, probability, low):
+    """Rows per true class with two facts about the whole: probabilities in range, accuracy above the largest class."""
+    by_class = scored.groupBy(F.col(truth).alias("truth")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == F.col(guess)).alias("right"),
+        F.bool_and(F.col(probability).between(low, 1)).alias("ok"))
+    whole = by_class.agg(F.bool_and("ok").alias("in_range"), (F.sum("right") > F.max("n")).alias("above_majority"), F.lit(1).alias("one"))
+    return by_class.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").select("truth", "n", "in_range", "above_majority")
+
+
+@query("txn12_model_facts", fr.sql(fr.TXN, f"select true_type truth, count(*) n, true in_range, true above_majority from txn where {_SPLIT} group by 1"))
+def typing_model_facts(spark, folder):
+    return _facts(_typed(spark, folder), "true_type", "model_type", "model_prob", 0.5)
+
+
+@query("txn9_split_facts", fr.sql(fr.TXN, f"select case when {_SPLIT} then 'test' else 'train' end split, count(*) n, count(distinct stem) stems, 0::bigint leaked from txn group by 1"))
+def typing_split_facts(spark, folder):
+    """Rows and statements on either side of the split that learned typing uses, and statements on both."""
+    split = sp.group_split(_samples(spark, folder))
+    sides = split.groupBy("stem", "split").agg(F.count(F.lit(1)).alias("n"))
+    both = sides.groupBy("stem").agg(F.count(F.lit(1)).alias("sides"))
+    return sides.join(both, "stem").groupBy("split").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("stems"), F.count_if(F.col("sides") > 1).alias("leaked"))
+
+
 @query("txn13_type_accuracy", fr.sql(fr.TXN, (
     f", w as (select true_type, case when {any_of('lower(description)', lx.CREDIT_WORDS)} then 'credit' else 'debit' end p from txn) select true_type, count(*) n, "
     "count(*) filter (true_type = p) correct, count(*) filter (true_type = p) / count(*) accuracy from w group by rollup(true_type)")))
@@ -515,6 +574,11 @@ def learned_tags(spark, folder):
     return ml.predict_tags(featured, model).select("stem", "page_index", "pos", "true_tag", "tag", F.round("conf", 4).alias("conf"))
 
 
+@query("tag10_model_facts", fr.sql(fr.TOKENS, "select true_tag truth, count(*) n, true in_range, true above_majority from tokens group by 1"))
+def tagging_model_facts(spark, folder):
+    return _facts(learned_tags(spark, folder), "true_tag", "tag", "conf", 0)
+
+
 # --- whole flows -----------------------------------------------------------------------------------
 
 # The same chain in SQL: the token table is renamed, so that the tagger reads the trimmed pages.
