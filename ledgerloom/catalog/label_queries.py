@@ -25,6 +25,7 @@ from ledgerloom.operators import labelling as lb
 from ledgerloom.operators import learn as ml
 from ledgerloom.operators import responses as rs
 from ledgerloom.operators import sampling as sp
+from ledgerloom.operators import summary as sm
 from ledgerloom.operators import tagging as tg
 from ledgerloom.operators import transactions as tx
 from ledgerloom.plans import labels as label_plan
@@ -145,6 +146,45 @@ def compare_parsers(spark, folder):
     return doubles(_sides(spark, folder).select(*cols), "income_a", "income_b", "income_diff", "expenses_diff")
 
 
+_IN_A, _IN_B = "(k // 100) % 10 <> 7", "(k // 100) % 10 <> 4 and ((k // 100) % 2 = 0 or k % 10 <> 3)"
+
+
+def _both(spark, folder):
+    rows = enriched(spark, folder)
+    d = F.floor(F.col("k") / 100)
+    return rows.filter(d % 10 != 7), rows.filter((d % 10 != 4) & ((d % 2 == 0) | (F.col("k") % 10 != 3)))
+
+
+def _compare_sql(key, where, measures):
+    """Sums of cents or counts per key for either side, joined."""
+    sums = ", ".join(f"cast(coalesce(sum({c}) filter ({side}), 0) as bigint) {m}{t}" for m, c in measures for t, side in (("a", _IN_A), ("b", _IN_B)))
+    return f", g as (select {key}, {sums} from enriched where {where} and (({_IN_A}) or ({_IN_B})) group by 1) "
+
+
+@query("joi8_compare_months", esql(_compare_sql("month_key", "month_key <> 'unknown'", [
+    ("i", "case when type = 'credit' then cents else 0 end"), ("e", "case when type <> 'credit' then cents else 0 end"), ("n", "1")]) + (
+    "select month_key, ia / 100.0 income_a, ib / 100.0 income_b, (ia - ib) / 100.0 income_diff, ea / 100.0 expenses_a, eb / 100.0 expenses_b, (ea - eb) / 100.0 expenses_diff, "
+    "na n_a, nb n_b, na - nb n_diff from g")))
+def compare_months(spark, folder):
+    left, right = (sm.monthly_cashflow(side) for side in _both(spark, folder))
+    money = [f"{m}_{t}" for m in ("income", "expenses") for t in ("a", "b", "diff")]
+    return doubles(fb.compare_summaries(left, right, ["month_key"], ["income", "expenses", "n"]), *money)
+
+
+@query("joi8_compare_categories", esql(_compare_sql("category", "month_key <> 'unknown' and type <> 'credit'", [("t", "cents")]) + (
+    "select category, ta / 100.0 total_a, tb / 100.0 total_b, (ta - tb) / 100.0 total_diff from g")))
+def compare_categories(spark, folder):
+    left, right = (sm.category_totals(side) for side in _both(spark, folder))
+    return doubles(fb.compare_summaries(left, right, ["category"], ["total"]), "total_a", "total_b", "total_diff")
+
+
+@query("joi8_compare_merchants", esql(_compare_sql("trim(description) merchant", "month_key <> 'unknown' and type = 'debit' and trim(description) <> ''", [("t", "cents"), ("n", "1")]) + (
+    "select merchant, ta / 100.0 total_a, tb / 100.0 total_b, (ta - tb) / 100.0 total_diff, na n_a, nb n_b, na - nb n_diff from g")))
+def compare_merchants(spark, folder):
+    left, right = (sm.merchants(side) for side in _both(spark, folder))
+    return doubles(fb.compare_summaries(left, right, ["merchant"], ["total", "n"]), "total_a", "total_b", "total_diff")
+
+
 @query("joi8_comparison_totals", fr.sql(fr.TXN, _SIDES + (
     ", tt as (select cast(sum(n_a) as bigint) n_a, cast(sum(n_b) as bigint) n_b, cast(sum(ia) as bigint) ia, cast(sum(ib) as bigint) ib, cast(sum(ea) as bigint) ea, cast(sum(eb) as bigint) eb, "
     "cast(sum(ta) as bigint) time_ms_a, cast(sum(tb) as bigint) time_ms_b from cp) select n_a, n_b, ia / 100.0 income_a, ib / 100.0 income_b, ea / 100.0 expenses_a, eb / 100.0 expenses_b, time_ms_a, time_ms_b, "

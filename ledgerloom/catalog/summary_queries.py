@@ -11,6 +11,7 @@ from ledgerloom.functions import money as mn
 from ledgerloom.operators import enrich as en
 from ledgerloom.operators import summary as sm
 from ledgerloom.operators import transactions as tx
+from ledgerloom.plans import spending
 from ledgerloom.sources import derive as dv
 
 YEAR = 2025
@@ -84,6 +85,24 @@ def statement_period(spark, folder):
             .select("doc_id", F.col("p.year").alias("yr"), F.col("p.end_month").alias("end_month")))
 
 
+def _periods_sql():
+    head, tail = _period_sql().split("select r.doc_id", 1)
+    return (f"{head}, per as (select r.doc_id{tail}), named as (select txn.*, {sf.year_in_name('source_file')} nm, per.yr, per.end_month from txn left join per on per.doc_id = txn.d), "
+            f"hinted as (select *, coalesce(nm, yr, {YEAR}) yh, case when nm is null then end_month end em from named), "
+            f"pdated as (select *, {sf.parse_date('date', 'yh', 'em')} pd from hinted) "
+            "select strftime(pd, '%Y-%m') month_key, cast(sum(case when true_type = 'credit' then cents else 0 end) as bigint) / 100.0 income, "
+            "cast(sum(case when true_type <> 'credit' then cents else 0 end) as bigint) / 100.0 expenses, count(*) n, "
+            "cast(sum(case when true_type = 'credit' then cents else -cents end) as bigint) / 100.0 net from pdated where pd is not null group by 1")
+
+
+@query("flow_monthly_with_periods", fr.sql(fr.TXN + ", " + fr.PAGE_TEXTS, _periods_sql()))
+def monthly_with_periods(spark, folder):
+    """Monthly cash flow where the page text tells the year that a file name doesn't."""
+    pages = dv.page_texts(spark, folder).withColumn("stem", F.concat(F.lit("stmt_"), F.col("doc_id").cast("string")))
+    txns = dv.statement_txns(spark, folder).withColumn("type", F.col("true_type"))
+    return doubles(spending.spending_tables(txns, YEAR, pages)["monthly"], "income", "expenses", "net")
+
+
 @query("enr6_month_key", esql("select k, month_key, strftime(parsed_date, '%b %Y') month_label from enriched"))
 def month_key(spark, folder):
     return enriched(spark, folder).select("k", "month_key", F.date_format("parsed_date", "MMM yyyy").alias("month_label"))

@@ -115,6 +115,14 @@ def compare_parsers(left: DataFrame, right: DataFrame) -> DataFrame:
             .withColumn("income_pct", percent_diff(F.col("income_a"), F.col("income_b"))))
 
 
+def compare_summaries(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """A summary table of two parsers side by side, with differences; what one lacks counts as zero (JOI8)."""
+    sides = [df.select(*keys, *[F.col(m).alias(f"{m}_{tag}") for m in measures]) for df, tag in ((left, "a"), (right, "b"))]
+    joined = sides[0].join(sides[1], keys, "full_outer")
+    zeros = {f"{m}_{t}": F.coalesce(f"{m}_{t}", F.lit(0)) for m in measures for t in "ab"}
+    return joined.withColumns(zeros).withColumns({f"{m}_diff": F.col(f"{m}_a") - F.col(f"{m}_b") for m in measures})
+
+
 def comparison_totals(compared: DataFrame) -> DataFrame:
     """Totals over all statements with the speed ratio (JOI8)."""
     totals = compared.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in

@@ -57,14 +57,17 @@ def balance_chart(enriched: DataFrame, points: int = MIN_CHART_POINTS) -> DataFr
     return days.join(F.broadcast(enough), "_one").drop("_one")  # one row
 
 
-def top_merchants(enriched: DataFrame, limit: int = TOP_MERCHANTS) -> DataFrame:
-    """Debit merchants by total, ties to the one seen first (AGG4); a merchant is a whole trimmed description."""
-    merchant = strip(F.col("description"))
+def merchants(enriched: DataFrame) -> DataFrame:
+    """Count, total and first appearance (``_seen``) of every debit merchant, a whole trimmed description."""
     seen = F.struct(F.col("parsed_date"), F.col("source_file"), F.col("page"), F.col("seq"))
-    return (_dated(enriched).filter(F.col("type") == "debit").withColumn("merchant", merchant)
+    return (_dated(enriched).filter(F.col("type") == "debit").withColumn("merchant", strip(F.col("description")))
             .filter(F.col("merchant") != "").groupBy("merchant")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min(seen).alias("_seen"))
-            .orderBy(F.desc("total"), "_seen").limit(limit).drop("_seen"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min(seen).alias("_seen")))
+
+
+def top_merchants(enriched: DataFrame, limit: int = TOP_MERCHANTS) -> DataFrame:
+    """Debit merchants by total, ties to the one seen first (AGG4)."""
+    return merchants(enriched).orderBy(F.desc("total"), "_seen").limit(limit).drop("_seen")
 
 
 def portfolio(enriched: DataFrame) -> DataFrame:
