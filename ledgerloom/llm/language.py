@@ -33,6 +33,7 @@ from ledgerloom.operators.scale import take_per_key
 
 SAMPLE_TEXTS, TEXT_CHARS, SAMPLE_CHARS = 96, 1000, 24_000
 WINDOW = 1024
+SALTS = 64
 BLANK = " "
 UNKNOWN = "und"
 #: Symbols a phrase needs on average for a text to count as written in a language.
@@ -193,7 +194,9 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     labelled = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.substring(text, 1, text_chars).alias("head"))
     hashes = labelled.select("lang", "hash").distinct()
-    chosen = take_per_key(hashes, ["lang"], [F.col("hash")], texts, "place")
+    salted = hashes.withColumn("salt", F.pmod("hash", F.lit(SALTS)))  # a language of most rows is spread
+    few = take_per_key(salted, ["lang", "salt"], [F.col("hash")], texts, "place").drop("place", "salt")
+    chosen = take_per_key(few, ["lang"], [F.col("hash")], texts, "place")
     rows = (labelled.join(chosen, ["lang", "hash"]).groupBy("lang", "place").agg(F.min("head").alias("head"))
             .collect())
     out: dict[str, str] = {}
