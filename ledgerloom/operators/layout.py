@@ -17,6 +17,8 @@ from ledgerloom.functions.text import contains_any
 
 PAGE = ["stem", "page_index"]
 ROW = [*PAGE, "row_index"]
+#: Order inside a row. Windows name it in full instead of ``row_pos``, so one sort serves the chain.
+ACROSS = ("x0", "top", "pos")
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -24,26 +26,25 @@ def visual_rows(tokens: DataFrame, tolerance: float = lx.ROW_TOLERANCE) -> DataF
     """Add ``row_index`` and ``row_pos`` (LAY1).
 
     A row starts at the first token more than ``tolerance`` below the row's *first* token, so
-    the row starts of a page are a fold over its distinct tops; the fold runs once per page.
+    the row starts of a page are a fold over its distinct tops; the fold runs once per page. Two sorts:
+    down the page and across its rows.
     """
-    page = Window.partitionBy(*PAGE)
-    by_pos = page.orderBy("pos")
+    down = Window.partitionBy(*PAGE).orderBy("top")
+    whole, upto = down.rowsBetween(*_ALL), down.rowsBetween(Window.unboundedPreceding, 0)
 
     def add(starts: Column, top: Column) -> Column:
         far = (F.size(starts) == 0) | (F.abs(top - F.element_at(starts, -1)) > tolerance)
         return F.when(far, F.concat(starts, F.array(top))).otherwise(starts)
 
     starts = F.aggregate(F.array_sort("_tops"), F.array().cast("array<double>"), add)
-    down = page.orderBy("top").rangeBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*ROW).orderBy("x0", "top", "pos")
-    return (tokens.withColumn("_tops", F.collect_set("top").over(page))
-            .withColumn("_n", F.row_number().over(by_pos))
+    begins = F.array_contains("_starts", F.col("top")) & ~F.col("top").eqNullSafe(F.col("_above"))
+    return (tokens.withColumn("_tops", F.collect_set("top").over(whole))
+            .withColumn("_n", F.row_number().over(down)).withColumn("_above", F.lag("top").over(down))
             .withColumn("_starts", F.when(F.col("_n") == 1, starts)).drop("_tops", "_n")
-            .withColumn("_starts", F.first("_starts", ignorenulls=True).over(by_pos.rowsBetween(*_ALL)))
-            .withColumn("_start", F.when(F.array_contains("_starts", F.col("top")), F.col("top"))).drop("_starts")
-            .withColumn("_start", F.max("_start").over(down))
-            .withColumn("row_index", F.dense_rank().over(page.orderBy("_start")) - 1).drop("_start")
-            .withColumn("row_pos", F.row_number().over(across) - 1))
+            .withColumn("_starts", F.first("_starts", ignorenulls=True).over(whole))
+            .withColumn("_begins", F.when(begins, 1).otherwise(0)).drop("_starts", "_above")
+            .withColumn("row_index", (F.sum("_begins").over(upto) - 1).cast("int")).drop("_begins")
+            .withColumn("row_pos", F.row_number().over(Window.partitionBy(*ROW).orderBy(*ACROSS)) - 1))
 
 
 def is_date_token(text: Column) -> Column:
@@ -80,7 +81,7 @@ def is_header_row(words: Column) -> Column:
 
 def with_row_flags(rowed: DataFrame) -> DataFrame:
     """``is_marker`` and ``is_header`` of the row on every token."""
-    row = Window.partitionBy(*ROW).orderBy("row_pos").rowsBetween(*_ALL)
+    row = Window.partitionBy(*ROW).orderBy(*ACROSS).rowsBetween(*_ALL)
     words = F.collect_list(F.lower("text")).over(row)
     return (rowed.withColumn("_words", words)
             .withColumn("is_marker", is_section_marker(F.col("_words")))

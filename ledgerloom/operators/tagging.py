@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon as lx
-from ledgerloom.operators.layout import PAGE, ROW, token_shapes, visual_rows, with_columns_x, with_row_flags
+from ledgerloom.operators.layout import ACROSS, PAGE, ROW, token_shapes, visual_rows, with_columns_x, with_row_flags
 
 CHUNK_OVERLAP = 20
 CHUNK_MARGIN = 10
@@ -24,8 +24,8 @@ def rule_tags(tokens: DataFrame, tolerance: float = lx.ROW_TOLERANCE) -> DataFra
     """
     shaped = with_columns_x(with_row_flags(token_shapes(visual_rows(tokens, tolerance))))
     row = Window.partitionBy(*ROW)
-    along = row.orderBy("row_pos")
-    page = Window.partitionBy(*PAGE).orderBy("row_index", "row_pos").rowsBetween(Window.unboundedPreceding, 0)
+    along = row.orderBy(*ACROSS)
+    page = Window.partitionBy(*PAGE).orderBy("row_index", *ACROSS).rowsBetween(Window.unboundedPreceding, 0)
     p = F.col("row_pos")
     follow, year = F.lead("text", 1).over(along), F.lead("text", 2).over(along)
     named = F.col("is_month") & F.coalesce(F.col("_follow").rlike(r"^\d{1,2},?$"), F.lit(False))
@@ -58,7 +58,7 @@ def rule_tags(tokens: DataFrame, tolerance: float = lx.ROW_TOLERANCE) -> DataFra
             & (F.abs(F.col("x0") - F.col("_desc_x")) < lx.CONTINUATION_X)
             & (F.col("x0") > F.col("date_x") + lx.CONTINUATION_MIN_X))
     owner = F.sum(F.when(lead_token & F.col("_txn"), 1).otherwise(0)).over(page)
-    run = Window.partitionBy(*PAGE, "_owner").orderBy("row_index", "row_pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*PAGE, "_owner").orderBy("row_index", *ACROSS).rowsBetween(Window.unboundedPreceding, 0)
     breaks = F.sum(F.when(lead_token & ~F.col("_txn") & ~F.col("_fits"), 1).otherwise(0)).over(run)
     chained = (tagged.withColumn("_desc_x", desc_x).withColumn("_fits", fits)
                .withColumn("_owner", owner).withColumn("_breaks", breaks))
