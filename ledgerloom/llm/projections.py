@@ -36,9 +36,9 @@ from ledgerloom.llm.simhash import joined_labels
 from ledgerloom.llm.vectors import block_of, blocks_for, each_pair_once, matrix, usable
 
 THRESHOLD, RECALL = 0.9, 0.9999
-PROJECTIONS, WIDTH, SEED = 28, 0.6, 20
+PROJECTIONS, WIDTH, SEED = 40, 0.6, 20
 BLOCK, STEP, QUERIES, PAIRS = 8192, 64, 256, 1 << 16
-COUNTER_BITS = 5
+COUNTER_BITS = 6
 SENT = "node long, links long, root long"
 
 
@@ -94,7 +94,10 @@ def passing(lists: SortedLists, projected: np.ndarray, count: int, n: int) -> tu
         over |= carry
     if count <= 0:
         over[:] = full
-    return np.nonzero(np.unpackbits(over.view(np.uint8), axis=1, bitorder="little", count=n))
+    query, word = np.nonzero(over)
+    found, bit = np.nonzero(np.unpackbits(over[query, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    lane = word[found] * 64 + bit
+    return query[found][lane < n], lane[lane < n]
 
 
 def cell_links(table: pa.Table, threshold: float) -> pa.Table:
