@@ -21,6 +21,9 @@ SCALE_CONF = {
 }
 
 
+_OWN: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
     """A local session for tests and the bench, with a checkpoint folder of its own; on a cluster, bring your own."""
     builder = (
@@ -44,10 +47,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``. Library code never makes up a folder: where the setting is
-    missing, or names a ``file:`` folder that was made for one machine while executors run elsewhere, this raises.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session that is one process gets a folder of
+    its own; with executors elsewhere this raises, as it does for a folder that was made for one machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.startswith("local["):  # one process: any folder is shared
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="ledgerloom-")
+        _OWN[spark.sparkContext.applicationId] = path
     if not path:
         raise ValueError("spark.checkpoint.dir is unset; name a folder that the driver and all executors share")
     if path == spark.conf.get("spark.ledgerloom.local.dir", None) and not spark.sparkContext.master.startswith("local["):
