@@ -39,8 +39,8 @@ from ledgerloom.llm.common import ship_package, single_thread, texts_of
 
 BLANK = "▁"
 NBEST = 4
-#: Distinct units a worker remembers (a full memory is emptied) and the longest of them.
-CACHE, LONG_UNIT = 500_000, 48
+#: Distinct units a worker remembers, about 300 bytes each (a full memory is emptied), and the longest of them.
+CACHE, LONG_UNIT = 1_000_000, 48
 #: Units whose N-best lists a worker remembers.
 WAYS = 20_000
 NEVER = 1 << 62
@@ -57,7 +57,7 @@ def zipf_costs(scores: list[float]) -> list[int]:
 class PieceModel:
     """Pieces and costs of a SentencePiece file, with N-best encoding and decoding."""
 
-    def __init__(self, path: str, costs: Callable[[list[float]], list[int]] = zipf_costs):
+    def __init__(self, path: str, costs: Callable[[list[float]], list[int]] = zipf_costs, remembered: int = CACHE):
         from sentencepiece import SentencePieceProcessor
 
         single_thread()
@@ -92,6 +92,7 @@ class PieceModel:
         else:
             self.units = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall
         self.memory: dict[str, tuple[bytes, int, int]] = {}
+        self.remembered = remembered
         self.ways: dict[tuple[str, int], list] = {}
         self.prefix = sp.normalize("x").startswith(BLANK)
 
@@ -194,7 +195,7 @@ class PieceModel:
 
     def keep(self, unit: str, found: tuple[bytes, int, int]) -> tuple[bytes, int, int]:
         if len(unit) <= LONG_UNIT:
-            if len(self.memory) >= CACHE:
+            if len(self.memory) >= self.remembered:
                 self.memory.clear()
             self.memory[unit] = found
         return found
@@ -269,22 +270,24 @@ def edited(best: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> li
 
 
 @functools.cache
-def model_of(path: str) -> PieceModel:
+def model_of(path: str, remembered: int = CACHE) -> PieceModel:
     """The model, loaded once per worker process."""
-    return PieceModel(path)
+    return PieceModel(path, remembered=remembered)
 
 
-def encode(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_id", text: str = "text",
+           remembered: int = CACHE) -> DataFrame:
     """``doc_id, ids, n_pieces, score, alternatives, round_trip`` per row.
 
     ``score`` is minus the cost in units of one. ``alternatives`` holds, from the second best on, ``(score, n_pieces,
     edits)``; an edit ``(first, removed, ids)`` says what stands in place of some of the best ids (see ``edited``).
-    ``round_trip`` says whether decoding ``ids`` gives the text.
+    ``round_trip`` says whether decoding ``ids`` gives the text. ``remembered`` bounds a worker's memory of units: it
+    trades memory for time and changes no result.
     """
     ship_package(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = model_of(model)
+        loaded = model_of(model, remembered)
         for batch in texts_of(batches):
             given = [t or "" for t in batch.column(1).to_pylist()]
             found = [loaded.encode(t, nbest) for t in given]
