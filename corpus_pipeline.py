@@ -20,6 +20,8 @@ from ledgerloom.llm import language, lines, mixing, pieces, simhash
 from ledgerloom.llm.common import materialise
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Units a worker remembers in the last stage; its process may still hold what earlier stages learned.
+REMEMBERED = 500_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL))
+    return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_stage),
