@@ -1,12 +1,13 @@
 """Line deduplication by winnowing over line hashes.
 
-A window starts at a line and takes as many lines as it needs to reach ``MIN_WORDS`` words. The smallest line hash of
-a window is its fingerprint, so two texts that share a run of that many words in whole lines share a fingerprint
-wherever the run lies (equal windows select equal minima; neighbouring windows mostly select the same line).
-Fingerprints at more than one place are joined with the windows that chose them; around such a line a match is
-extended both ways over all windows that hold it and have an equal counterpart (128 hash bits over all their lines).
-Every window whose content occurs earlier is a repeat, and the runs of lines that repeats cover are deleted. "Earlier"
-goes by document id, then by line, also within a document, so the first occurrence of each run stays.
+A line is deleted if it lies in a run of whole lines with ``MIN_WORDS`` words or more that occurs earlier. Two windows
+find all such runs. One starts at a line and takes as many lines as it needs to reach ``MIN_WORDS`` words, the other
+ends at a line and reaches back as far. Of a maximal equal run, windows that start in it and end in it cover all but
+the last lines, and the window that ends with the run's last line covers those, so no match needs to be followed line
+by line. The smallest line hash of a window is its fingerprint; windows whose fingerprint lies at one place only are
+dropped. The rest are grouped by 128 hash bits over all their lines, each group's earliest place is joined back, and
+every window at a later place is a repeat. "Earlier" goes by document id, then by line, also within a document, so the
+first occurrence of each run stays. A run counts against any earlier occurrence, not only against the earliest one.
 
 All rows that meet in a shuffle are hashes of lines. A line or run that a third of the documents share is counted
 before it is shuffled and joined by an equi-join that can be split; nothing is paired with its own group.
@@ -19,7 +20,9 @@ table gives an empty table. Extra columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, id_order, materialise
@@ -34,7 +37,10 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per window: doc, mark, first and last line, fingerprint, anchor (its line), and two content hashes."""
+    """One row per window: doc, mark, first and last line, fingerprint, anchor (its line), and two content hashes.
+
+    A window that ends at a line is left out where it is also the one that starts at its first line.
+    """
     lines = docs.filter(F.col(text).isNotNull()).select(
         *keyed(docs, doc_id, text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc", "mark", "pos", F.regexp_count("line", F.lit(WORD)).alias("words"),
@@ -44,14 +50,22 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id",
     document = Window.partitionBy("doc", "mark")
     before = F.sum("words").over(document.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     ahead = document.orderBy("before").rangeBetween(0, min_words - 1)  # exactly the lines that the window needs
-    return (lines.withColumn("before", before)
-            .select("doc", "mark", F.col("pos").alias("first"), F.max("pos").over(ahead).alias("last"),
-                    F.sum("words").over(ahead).alias("size"), F.min(F.struct("h", "pos")).over(ahead).alias("least"),
-                    F.xxhash64(F.collect_list("h").over(ahead)).alias("c1"),
-                    F.xxhash64(F.collect_list("g").over(ahead)).alias("c2"))
-            .filter(F.col("size") >= min_words)
-            .select("doc", "mark", "first", "last", F.col("least.h").alias("fingerprint"),
-                    F.col("least.pos").alias("anchor"), "c1", "c2"))
+    behind = document.orderBy("through").rangeBetween(1 - min_words, 0)
+
+    def window(frame: WindowSpec, full: Callable[[Column], Column]) -> Column:
+        size = F.sum("words").over(frame)
+        return F.when(full(size), F.struct(
+            F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"),
+            F.min(F.struct("h", "pos")).over(frame).alias("least"),
+            F.xxhash64(F.collect_list("h").over(frame)).alias("c1"), F.xxhash64(F.collect_list("g").over(frame)).alias("c2")))
+
+    starting = window(ahead, lambda size: size >= min_words)
+    ending = window(behind, lambda size: size - F.col("words") >= min_words)
+    both = (lines.withColumn("before", before).withColumn("through", F.col("before") + F.col("words"))
+            .select("doc", "mark", starting.alias("starting"), ending.alias("ending")))
+    return (both.select("doc", "mark", F.explode(F.array("starting", "ending")).alias("w")).filter("w is not null")
+            .select("doc", "mark", "w.first", "w.last", F.col("w.least.h").alias("fingerprint"),
+                    F.col("w.least.pos").alias("anchor"), "w.c1", "w.c2"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,6 +57,45 @@ def test_line_dedup_keeps_first_run_and_short_repeats(docs_of):
     assert got[4] == "same words " * 10
 
 
+def maximal_lines(rows, least=50):
+    """(id, text) in order -> kept text, by extending every equal pair of places line by line."""
+    places, out, full_lines = {}, [], []
+    for _, text in rows:
+        parts = (text or "").split("\n")
+        full_lines.append([(i, p, len(WORD.findall(p))) for i, p in enumerate(parts) if WORD.search(p)])
+    for number, (_, text) in enumerate(rows):
+        mine, gone = full_lines[number], set()
+        for a, (_, line, _) in enumerate(mine):
+            for other, b in places.get(line, []):
+                theirs, n, words = full_lines[other], 0, 0
+                if a and b and mine[a - 1][1] == theirs[b - 1][1]:
+                    continue  # not the run's first line
+                while a + n < len(mine) and b + n < len(theirs) and mine[a + n][1] == theirs[b + n][1]:
+                    words += mine[a + n][2]
+                    n += 1
+                if words >= least:
+                    gone |= {mine[k][0] for k in range(a, a + n)}
+            places.setdefault(line, []).append((number, a))
+        out.append(text if text is None else "\n".join(p for i, p in enumerate(text.split("\n")) if i not in gone))
+    return out
+
+
+def test_line_dedup_deletes_maximal_runs(spark, docs_of):
+    long, short = [" ".join(f"{c}{j}" for j in range(30)) for c in "xy"], " ".join(f"z{j}" for j in range(10))
+    rows = [(1, "\n".join([*long, short, "own end " * 60])), (2, "\n".join(["head", *long, "", short, "other end " * 60])),
+            (3, "\n".join([*long, "third"])), (4, "\n".join([*long, short]))]
+    got = {r.doc_id: r.text for r in lines.line_report(docs_of(rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == "third" and got[4] == ""
+    assert got[2] == "head\n\n" + "other end " * 60
+    block = "\n".join(" ".join(f"a{i}b{j}" for j in range(20)) for i in range(4))
+    tail = lines.line_report(docs_of([(3, f"head\n{block}\nlicence line"), (1, f"{block}\nlicence line")])).collect()
+    assert {r.doc_id: r.text for r in tail}[3] == "head"
+    docs = read(spark, SMALL, "documents")
+    given = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    found = {r.doc_id: r.text for r in lines.line_report(docs).collect()}
+    assert [found[d] for d, _ in given] == maximal_lines(given)
+
+
 def test_line_dedup_odd_rows(docs_of, odd_rows):
     got = lines.line_report(docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows)
