@@ -2,7 +2,7 @@
 
 1. Language ID rejects documents that are in none of the learned languages.
 2. Line dedup deletes later repeats of runs of lines, and documents of which no word stays.
-3. SimHash near-dedup keeps one document of each group.
+3. SimHash near-dedup keeps one document of each group linked at similarity 0.8 of five-word shingles.
 4. Mixing takes sources to their target weights: documents repeat or go, and a source's last one is cut.
 5. SentencePiece encoding gives each document's ids, its next best segmentations, and checks that they decode.
 
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language, lines, mixing, pieces, simhash
+from ledgerloom.llm import language, lines, mixing, pieces, similar
 from ledgerloom.llm.common import materialise
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -38,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

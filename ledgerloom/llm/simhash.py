@@ -36,7 +36,7 @@ CELL, LANES, QUERIES = 8192, 512, 512
 VOTES = 1 << 16
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle of a text, in order."""
     from xxhash import xxh64_intdigest
 
@@ -44,12 +44,12 @@ def shingle_hashes(text: str) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], stops[:-1] + 1))
-    spans = zip(starts[:1 - SHINGLE].tolist(), stops[SHINGLE - 1:].tolist())
-    return np.fromiter([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64, len(words) - SHINGLE + 1)
+    spans = zip(starts[:len(words) - shingle + 1].tolist(), stops[shingle - 1:].tolist())
+    return np.fromiter([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64, len(words) - shingle + 1)
 
 
 def fingerprint(text: str) -> int:
@@ -223,8 +223,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Null ids come last; texts with the same id go by their hashes, and of rows equal in id and text any one stays.
     """
+    return keep_least(docs, grouped(docs, doc_id, text), doc_id, text)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of ``docs`` with the smallest id of each ``root`` of ``rows(doc, mark, root)``."""
     least = F.min(F.struct(id_order(F.col("doc")).alias("doc"), F.col("mark").alias("mark"))).alias("least")
-    kept = grouped(docs, doc_id, text).groupBy("root").agg(least).select(
+    kept = rows.groupBy("root").agg(least).select(
         F.col("least.doc").alias("_doc"), F.col("least.mark").alias("_mark")).distinct()
     packed = docs.select(F.struct("*").alias("row"), id_order(F.col(doc_id)).alias("_doc"), F.xxhash64(text).alias("_mark"))
     return packed.join(kept, ["_doc", "_mark"], "left_semi").dropDuplicates(["_doc", "_mark"]).select("row.*")

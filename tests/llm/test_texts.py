@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ledgerloom.llm import language, lines, pieces, simhash, token_files
+from ledgerloom.llm import language, lines, pieces, similar, simhash, token_files
 from ledgerloom.llm.common import fresh_dir, read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,6 +144,31 @@ def test_simhash_equals_brute_force(docs_of, odd_rows):
     assert simhash.near_groups(docs_of([])).count() == 0
 
 
+def test_near_copies_at_08_are_found(docs_of, odd_rows):
+    rng, rows = np.random.default_rng(7), list(odd_rows)
+    for k in range(60):  # 200 words: four edits far apart leave 176 of 216 shingles, five 171 of 221
+        words = [f"w{v}" for v in rng.integers(0, 5000, 200)]
+        near = [f"new{k}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
+        far = [f"old{k}" if i in (10, 50, 90, 130, 170) else w for i, w in enumerate(words)]
+        rows += [(100 + k, " ".join(words)), (200 + k, " ".join(near)), (300 + k, " ".join(far))]
+    hub = [f"h{i}" for i in range(400)]
+    rows += [(1000 + k, " ".join(f"edit{k}" if i in (k, 200 + k) else w for i, w in enumerate(hub))) for k in range(150)]
+    kept = {r.doc_id for r in similar.keep_one(docs_of(rows)).collect()}
+    assert {100 + k for k in range(60)} | {300 + k for k in range(60)} <= kept
+    assert not kept & {200 + k for k in range(60)}
+    assert kept & set(range(1000, 1150)) == {1000}
+    assert similar.keep_one(docs_of([])).count() == 0
+
+
+def test_wide_bit_planes_equal_popcounts():
+    rng = np.random.default_rng(8)
+    marks = rng.integers(0, 2**63, (150, 2), dtype=np.uint64)
+    marks = np.concatenate([marks, marks ^ (rng.integers(0, 2**63, (150, 2), dtype=np.uint64) & rng.integers(0, 2**63, (150, 2), dtype=np.uint64))])
+    count = np.bitwise_count(marks[:200, None] ^ marks[None]).sum(axis=2)
+    for radius in (0, 3, 31, 32, 36, 64, 127):
+        assert (similar.within(marks[:200], marks, radius) == (count <= radius)).all()
+
+
 def test_bit_planes_equal_popcounts():
     rng = np.random.default_rng(5)
     marks = rng.integers(0, 2**63, 300, dtype=np.uint64)
