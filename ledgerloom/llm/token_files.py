@@ -52,7 +52,8 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
 
     Pre-tokens never cross the start of a run of white space, so a text is cut there and each distinct unit is
     encoded once per worker process, which keeps its encoder from task to task; the concatenation equals encoding
-    the whole text.
+    the whole text. A text that holds one of the tokenizer's added tokens literally goes to the tokenizer whole, as these
+    are cut out before pre-tokenizing.
     """
     import re
 
@@ -65,6 +66,7 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
     units = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
     pieces, alphabet = regex.compile(PIECES).findall, byte_alphabet()
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
     memory: dict[str, bytes] = {}
     code = "H" if width == "<u2" else "I"
 
@@ -91,6 +93,9 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
         return ids
 
     def encode(text: str) -> bytes:
+        for token in added:
+            if token in text:
+                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, width).tobytes() + end
         found = units(text)
         try:
             return b"".join([memory[u] for u in found]) + end

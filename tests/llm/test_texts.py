@@ -255,6 +255,18 @@ def test_token_files_equal_direct_encoding(spark, docs_of, odd_rows):
     assert token_files.token_file_report(spark, docs_of([]), BPE).count() == 0
 
 
+def test_token_files_keep_added_tokens(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    direct = Tokenizer.from_file(BPE)
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|> hi  <|endoftext|>\n"), (3, "x <|endof text|> y"), (4, "plain words")]
+    folder = fresh_dir(spark, "tokens-added")
+    token_files.write_token_files(docs_of(rows), folder, BPE, end_id=None, shards=2)
+    got = {r.doc_id: r.ids for r in token_files.read_token_files(spark, folder, with_ids=True).collect()}
+    assert got == {d: direct.encode(t, add_special_tokens=False).ids for d, t in rows}
+    assert got[1] == [64, 50256, 65]
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.PieceModel(PIECES)
