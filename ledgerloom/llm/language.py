@@ -3,13 +3,15 @@
 For each labelled language a suffix automaton holds a bounded sample of its text. A document is parsed against each
 automaton into longest matches: a phrase goes on while the automaton has a transition and the next one starts at the
 first character that has none. The language that needs the fewest phrases wins; a phrase of a language with ``n``
-sampled characters costs ``log2(n)`` bits, so samples of unequal size compare.
+sampled characters costs ``log2(n)`` bits, so samples of unequal size compare, but never less than one symbol of the
+alphabet of all samples would. So a label with hardly any text can't be cheap, and a symbol it lacks costs the alphabet.
 
 Texts are lower-cased; letters of the samples are symbols, runs of anything that is no letter are one blank, other
 letters match nothing. Texts are parsed in windows of ``WINDOW`` symbols, each starting a new phrase, so that
 documents of any length share the lanes of one vectorised walk through the automata.
 
-The samples are the only thing fitted: per language the ``SAMPLE_TEXTS`` distinct texts of the smallest hashes, the
+The samples are the only thing fitted: per language the ``SAMPLE_TEXTS`` distinct texts of the smallest hashes among
+those with a letter in their sampled part (a label without such texts is no language), the
 first ``TEXT_CHARS`` characters of each and ``SAMPLE_CHARS`` together. The label column is read for nothing else.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language first in code
@@ -112,7 +114,7 @@ class Parser:
             base += len(edges) + 1
         self.table = np.concatenate(tables).ravel()
         self.table = self.table.astype(np.int32 if self.table.max() < 2**31 else np.int64)
-        self.bits = np.log2([max(2, len(text)) for _, text in samples])
+        self.bits = np.log2([max(self.width, len(text)) for _, text in samples])
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(symbols(text).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -193,6 +195,7 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """
     labelled = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.substring(text, 1, text_chars).alias("head"))
+    labelled = labelled.filter(F.col("head").rlike(r"\p{L}"))
     hashes = labelled.select("lang", "hash").distinct()
     salted = hashes.withColumn("salt", F.pmod("hash", F.lit(SALTS)))  # a language of most rows is spread
     few = take_per_key(salted, ["lang", "salt"], [F.col("hash")], texts, "place").drop("place", "salt")
@@ -202,7 +205,8 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     out: dict[str, str] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
         clean = BLANK.join(symbols(row["head"]).split())
-        out[row["lang"]] = (out.get(row["lang"], "") + BLANK + clean)[:chars]
+        if clean:
+            out[row["lang"]] = (out.get(row["lang"], "") + BLANK + clean)[:chars]
     return tuple(out.items())
 
 

@@ -232,6 +232,19 @@ def test_language_odd_rows(docs_of, odd_rows):
     assert {r.doc_id for r in kept.collect()}.isdisjoint({3, 4, 8, 11, 12}) and kept.columns == docs_of([]).columns
 
 
+def test_labels_with_hardly_any_letters(docs_of, spark):
+    docs = read(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    odd = [(10**6 + k, t, lang) for k, (t, lang) in enumerate([("12 34", "zxx"), ("", "zxx"), ("...", "zxx"), ("a", "tiny"), ("e 5", "tiny")] * 8)]
+    mixed = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    assert "zxx" not in dict(language.samples(mixed))
+    want = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    got = {r.doc_id: r.lang_pred for r in language.identify(mixed).collect()}
+    long = {r.doc_id for r in docs.collect() if len(r.text or "") >= 50}
+    assert all(got[d] == want[d] for d in long) and len(long) > 100
+    before, after = (language.keep_known(d).filter("length(text) >= 50 and doc_id < 1000000").count() for d in (docs, mixed))
+    assert after == before > 100
+
+
 def test_token_files_equal_direct_encoding(spark, docs_of, odd_rows):
     from tokenizers import Tokenizer
 
