@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise, shared_dir, ship_package
 
-__all__ = ["WORD", "fresh_dir", "hash_bin", "id_order", "materialise", "null_last", "read", "running_sum", "shared_dir", "ship_package",
+__all__ = ["WORD", "counted_join", "fresh_dir", "hash_bin", "id_order", "materialise", "null_last", "read", "running_sum", "shared_dir", "ship_package",
            "shuffle_parts", "store", "word_count"]
 
 #: A word: a run of characters that are neither the space nor one of U+0009 to U+000D.
@@ -67,6 +67,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], bins: Sequence[str], order:
     return joined.withColumn(out, F.col("_base") + F.col("_within")).select(*df.columns, out)
 
 
+#: Keys that hold more than one in so many of all rows are joined by broadcast; there are fewer of them than this.
+HOT_SHARE = 1000
+
+
+def counted_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with the written table ``keyed``: one row per key, with the ``count`` of its rows.
+
+    Keys with more than one in ``HOT_SHARE`` of all counted rows are fewer than ``HOT_SHARE`` whatever the data, so they
+    are broadcast; the others are shuffled, and none of them is larger than that share.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col(count) * HOT_SHARE > total))
+    cold = keyed.filter(F.col(count) * HOT_SHARE <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return rows.join(hot, list(keys)).unionByName(rest.join(cold, list(keys)))
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder; nothing is created yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

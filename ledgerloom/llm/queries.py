@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (chat, language, lines, mixing, pieces, projections, search, sharding, simhash,
-                            token_files)
+                            token_files, whitening)
 from ledgerloom.llm.common import read
 
 
@@ -68,6 +68,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 whitened components of every vector."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
     "op9_sentencepiece": op9_sentencepiece,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_topk_search": search.ORACLE,
