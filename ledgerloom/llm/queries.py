@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import (chat, language, lines, mixing, pieces, projections, search, sharding, simhash,
+from ledgerloom.llm import (bpe, chat, language, lines, mixing, pieces, projections, search, sharding, simhash,
                             token_files, whitening)
 from ledgerloom.llm.common import read
 
@@ -68,6 +68,13 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the ranks of a byte-level vocabulary, and what they decode to."""
+    import public_tokenizers
+
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 whitened components of every vector."""
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
     "op9_sentencepiece": op9_sentencepiece,
+    "op11_byte_bpe": op11_byte_bpe,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
