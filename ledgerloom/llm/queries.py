@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (bpe, chat, language, lines, mixing, pieces, projections, search, sharding, simhash,
-                            token_files, whitening)
+                            token_files, trie, whitening)
 from ledgerloom.llm.common import read
 
 
@@ -75,6 +75,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 whitened components of every vector."""
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
@@ -92,10 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_topk_search": search.ORACLE,
     "op3_embedding_near_dedup": projections.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op12_conversation_trie": trie.ORACLE,
 }
