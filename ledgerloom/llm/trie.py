@@ -432,8 +432,8 @@ with recursive placed as (
 sizes as (select conv, count(*) as own from placed group by conv),
 hashed as (
   select conv, own, conv - ((conv % 20) + 20) % 20 as base, xor(4294967295, list_reduce(
-      list_concat([4294967295::bigint], list_transform(range(length(conv::varchar)), i -> ascii(substr(conv::varchar, (i + 1)::int, 1))::bigint)),
-      (crc, b) -> list_reduce(list_concat([xor(crc, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), (a, z) -> xor(a >> 1, (a & 1) * 3988292384)))) % 4 as h
+      list_concat([4294967295::bigint], list_transform(range(length(conv::varchar)), lambda i: ascii(substr(conv::varchar, (i + 1)::int, 1))::bigint)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384)))) % 4 as h
   from sizes),
 plan as (
   select a.conv, a.base, a.h, least(a.h, coalesce(b.own, 0)) as k, least(a.h, coalesce(b.own, 0)) + greatest(a.own - a.h, 0) as n

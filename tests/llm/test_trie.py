@@ -63,42 +63,43 @@ def test_trie_equals_dictionary_on_table(spark):
     assert nodes(chats) == plain([tuple(r) for r in chats.collect()])
 
 
-def test_odd_rows(chats_of):
-    rows = [(0, 0, "user", "a b"), (0, 1, None, None), (0, None, "user", "first"), (None, 0, "user", "x"), (1, 5, "user", ""),
+def odd():
+    return [(0, 0, "user", "a b"), (0, 1, None, None), (0, None, "user", "first"), (None, 0, "user", "x"), (1, 5, "user", ""),
             (2, 0, "user", "same"), (2, 0, "user", "same"), (2, 0, "user", "other"), (3, None, None, None), (21, 0, "user", "lonely"),
             (-7, 1, "user", "minus"), (-20, 0, "user", "base"), (40, 1, "assistant", "long " * 20_000), (41, 0, "user", "x"), (42, 0, "user", "x")]
-    assert nodes(chats_of(rows)) == plain(rows)
 
 
-def test_copies_and_shared_openings(chats_of):
+def copies(first):
     rng, rows = random.Random(2), []
-    for c in range(400):
+    for c in range(first, first + 400):
         kind = c % 4
         opening = [("user", "hello there")] if kind else []
         body = [("user", "copied"), ("assistant", "many times over")] if kind == 1 else [
             (rng.choice(["user", "assistant"]), rng.choice(["a", "b b", "c c c"])) for _ in range(rng.randint(0, 6))]
         rows += [(c, k, *t) for k, t in enumerate(opening + body)]
-    assert nodes(chats_of(rows)) == plain(rows)
+    return rows
 
 
-def test_long_conversations_and_blocks(chats_of):
-    block = trie.BLOCK
-    words = lambda c, k: ("user", f"turn {k}")
-    rows = []
+def long_ones(first):
+    block, rows = trie.BLOCK, []
+    words = lambda k: ("user", f"turn {k}")
     for c, length in enumerate([block, block, block + 1, 2 * block, 2 * block + 5, 3 * block, 3 * block]):
-        rows += [(c * 20, k, *words(c, k)) for k in range(length)]
-    rows += [(1000, k, "user", f"own {k}") for k in range(2000)]  # most rows are in one conversation
-    rows += [(1020, k, *(words(0, k) if k < block + 3 else ("user", f"branch {k}"))) for k in range(2 * block)]
-    rows += [(1040, k, "user", f"turn {k}") for k in range(block)] + [(1040, block, "user", "off")]
+        rows += [(first + c * 20, k, *words(k)) for k in range(length)]
+    rows += [(first + 1000, k, "user", f"own {k}") for k in range(4000)]  # most rows are in one conversation
+    rows += [(first + 1020, k, *(words(k) if k < block + 3 else ("user", f"branch {k}"))) for k in range(2 * block)]
+    return rows + [(first + 1040, k, "user", f"turn {k}") for k in range(block)] + [(first + 1040, block, "user", "off")]
+
+
+def test_odd_rows_copies_and_long_conversations(chats_of):
+    rows = odd() + copies(10_000) + long_ones(20_000)
     assert nodes(chats_of(rows)) == plain(rows)
 
 
 def test_turnless_only_and_empty(chats_of):
     turnless = [c for c in range(1, 20) if zlib.crc32(str(c).encode()) % 4 >= 2]
     rows = [(c, 0, "user", "gone") for c in turnless]
-    assert nodes(chats_of(rows)) == plain(rows)
-    assert nodes(chats_of(rows))[0][:2] == (min(turnless), 0)
-    assert nodes(chats_of([])) == [] and nodes(chats_of([(None, 0, "user", "x")])) == []
+    assert nodes(chats_of(rows)) == plain(rows) and plain(rows)[0][:2] == (min(turnless), 0)
+    assert nodes(chats_of([(None, 0, "user", "x")])) == []
 
 
 def test_order_and_common_prefixes_equal_sorting():
