@@ -8,10 +8,10 @@ from ledgerloom.catalog import frames as fr
 from ledgerloom.catalog import sqlfn as sf
 from ledgerloom.catalog.frames import any_of, lit
 from ledgerloom.catalog.ingest_queries import _BNK2, _URLS
-from ledgerloom.catalog.layout_queries import CHUNKS, FIT, ROWED, SECTIONS, TAGGED, _DEC, _TRIM, section_sql
+from ledgerloom.catalog.layout_queries import CHUNKS, FIT, ROWED, SECTIONS, TAGGED, _DEC, _TRIM, rsql, section_sql
 from ledgerloom.catalog.registry import query
 from ledgerloom.catalog.transaction_queries import _BYBAL, _PREV, _SUMMARY, _WORDS, parse_sql
-from ledgerloom.catalog.summary_queries import _MONTHLY, YEAR, doubles, enriched, esql
+from ledgerloom.catalog.summary_queries import _MONTHLY, YEAR, _date_variants_sql, _variants, doubles, enriched, esql
 from ledgerloom.functions import lexicon as lx
 from ledgerloom.functions import money as mn
 from ledgerloom.functions.fuzzy import ratio
@@ -379,13 +379,88 @@ def fuzzy_ratio(spark, folder):
     return table(spark, folder, "part").select(F.col("p_partkey").alias("k"), a.alias("a"), b.alias("b"), ratio(a, b).alias("score"))
 
 
-@query("joi6_align_labels")
+# Greedy alignment: page by page, a recursion over the labels in order that carries tags and used rows.
+_CLEAN = "lower(trim(trim(trim(replace(replace({}, ',', ''), '$', ''), '-'), '('), ')'))"
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _ratio_sql(a, b):
+    """Similarity of two texts by the table of common subsequences, one list per character."""
+    row = (f"list_reduce(list_prepend([0], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda row, j: row || [case when "
+           f"substr({b}, j[1], 1) = substr({a}, x[1], 1) then prev[j[1]] + 1 else greatest(prev[j[1] + 1], row[-1]) end])")
+    rows = f"list_reduce(list_prepend(list_transform(range(length({b}) + 1), lambda i: 0), list_transform(range(1, length({a}) + 1), lambda i: [i])), lambda prev, x: {row})"
+    return f"({rows})[-1] * 200.0::double / (length({a}) + length({b}))"
+
+
+def _choice_sql(candidates, variants, threshold):
+    """Place of the candidate most similar to a variant; an equal one before all others."""
+    equal = f"list_filter({variants}, lambda v: len(list_filter({candidates}, lambda c: c.t = v)) > 0)[1]"
+    able = f"list_filter({candidates}, lambda c: least(length(c.t), length({variants}[v])) * 200.0 >= {threshold} * (length(c.t) + length({variants}[v])))"
+    score = _ratio_sql(f"{variants}[v]", "c.t")
+    scored = f"flatten(list_transform(range(1, len({variants}) + 1), lambda v: list_transform({able}, lambda c: {{'s': {score}, 'v': -v, 'i': -c.i}})))"
+    best = f"list_filter({scored}, lambda c: c.s >= {threshold})"
+    return (f"case when {equal} is not null then list_min(list_transform(list_filter({candidates}, lambda c: c.t = {equal}), lambda c: c.i)) "
+            f"else -(list_sort({best}, 'DESC')[1].i) end")
+
+
+def _aligned_sql():
+    dates = _date_variants_sql()
+    head, tail = dates.rsplit(" select ", 1)
+    tail = tail.replace("array_to_string(list_sort(list_distinct(v)), '|') variants", "list_transform(list_sort(list_distinct(v)), lambda x: lower(x)) variants")
+    amounts = lambda cents: f"list_transform(string_split({_variants(cents)}, '|'), lambda x: {_CLEAN.format('x')})"
+    labels = (", labels0 as (select t.stem, t.page page_index, row_number() over (partition by t.stem, t.page order by t.seq) k, d.variants dv, "
+              f"{amounts('t.cents')} av, case when t.balance_cents is not null then {amounts('t.balance_cents')} end bv "
+              f"from txn t join (select {tail}) d on d.k = t.k), labels as (select stem, page_index, k, {_ONCE.format('dv')} dv, {_ONCE.format('av')} av, "
+              f"{_ONCE.format('bv')} bv from labels0)")
+    pages = (f", seen as (select stem, page_index, row_number() over (partition by stem, page_index order by pos) i, lower(text) t, {_CLEAN.format('text')} c, row_index r, row_pos a, "
+             "lead(lower(text)) over (partition by stem, page_index order by pos) t2, lead(row_index) over (partition by stem, page_index order by pos) r2 from rowed), "
+             "words as (select stem, page_index, list({'i': i, 't': t, 'c': c, 'r': r, 'a': a} order by i) w, flatten(list(case when r = r2 then "
+             "[{'i': i, 't': t, 'r': r}, {'i': i, 't': t || ' ' || t2, 'r': r}] else [{'i': i, 't': t, 'r': r}] end order by i)) d from seen group by 1, 2)")
+    near = "list_transform(list_filter(w, lambda x: x.r >= w[date].r and x.r < w[date].r + 3), lambda x: {'i': x.i, 't': x.c, 'r': x.r, 'a': x.a})"
+    follows = lambda k, n: (f"coalesce(w[date + {k}].r = w[date].r and (regexp_full_match(w[date + {k}].t, '[0-9]{{{n}}}') "
+                            f"or w[date + {k}].t in (',', '/', '-')), false)")
+    between = ("list_filter(near, lambda x: x.r = w[date].r and w[amount].r = w[date].r and x.a > w[date].a and x.a < w[amount].a and named[x.i] = 'O')")
+    stages = [f"select f.stem, f.page_index, l.k, f.w, f.d, f.tags, f.used, l.dv, l.av, l.bv, list_filter(f.d, lambda c: not list_contains(f.used, c.r)) free "
+              "from fold f join labels l on l.stem = f.stem and l.page_index = f.page_index and l.k = f.k + 1",
+              f"select *, {_choice_sql('free', 'dv', lx.DATE_MATCH)} date from ({{}})",
+              f"select *, case when date is not null then {near} else [] end near from ({{}})",
+              f"select *, {_choice_sql('near', 'av', lx.AMOUNT_MATCH)} amount from ({{}})",
+              f"select *, {follows(1, '1,2')} has_day, {follows(1, '1,2')} and {follows(2, '2,4')} has_year from ({{}})",
+              "select *, list_transform(tags, lambda t, i: case when i = amount then 'B-AMOUNT' when i = date then 'B-DATE' when i = date + 1 and has_day then 'I-DATE' "
+              "when i = date + 2 and has_year then 'I-DATE' else t end) named from ({})",
+              f"select *, list_transform(list_sort(list_transform({between}, lambda x: {{'a': x.a, 'i': x.i}})), lambda x: x.i) line from ({{}})",
+              "select *, list_transform(named, lambda t, i: case when i = line[1] then 'B-DESC' when list_contains(line, i) then 'I-DESC' else t end) told from ({})",
+              "select *, case when bv is not null then list_filter(near, lambda x: told[x.i] = 'O' and x.i <> amount) else [] end rest from ({})",
+              f"select *, case when len(rest) > 0 then {_choice_sql('rest', 'bv', lx.AMOUNT_MATCH)} end balance from ({{}})",
+              "select stem, page_index, k, w, d, case when amount is null then tags when balance is null then told else list_transform(told, lambda t, i: "
+              "case when i = balance then 'B-BALANCE' else t end) end, case when amount is null then used else used || [w[date].r] end from ({})"]
+    body = stages[0]
+    for stage in stages[1:]:
+        body = stage.replace("({})", f"({body})")
+    fold = (", fold as (select stem, page_index, 0::bigint k, w, d, list_transform(w, lambda x: 'O') tags, []::bigint[] used from words union all " + body + ")")
+    last = (", done as (select stem, page_index, arg_max(tags, k) tags from fold group by 1, 2), aligned as (select s.stem, s.page_index, s.i, d.tags[s.i] tag "
+            "from seen s join done d using (stem, page_index)) ")
+    return head + labels + pages + fold + last
+
+
+ALIGNED = _aligned_sql()
+
+
+@query("joi6_align_labels", rsql(ALIGNED + (
+    "select r.stem, r.page_index, r.pos, r.text, a.tag from (select *, row_number() over (partition by stem, page_index order by pos) i from rowed) r "
+    "join aligned a using (stem, page_index, i)")))
 def align_labels(spark, folder):
     txns = dv.statement_txns(spark, folder).select("stem", F.col("page").alias("page_index"), "seq", "date", "amount", "balance_after")
     return al.align_tokens(dv.statement_tokens(spark, folder), txns).select("stem", "page_index", "pos", "text", "tag")
 
 
-@query("joi6_alignment_by_statement")
+@query("joi6_alignment_by_statement", rsql(ALIGNED + (
+    ", counts as (select stem, page page_index, count(*) n from txn group by 1, 2), "
+    "hits as (select stem, page_index, least(count(*) filter (tag = 'B-DATE'), count(*) filter (tag = 'B-AMOUNT')) aligned from aligned group by 1, 2), "
+    f"rated as (select stem, aligned, coalesce(n, 0) n, case when n > 0 then {sf.half_even('aligned * 1000', 'n')} else 1000 end tenths from hits left join counts using (stem, page_index)), "
+    "sums as (select stem, count(*) pages, cast(sum(aligned) as bigint) aligned, cast(sum(n) as bigint) n_txns, cast(sum(tenths) as bigint) tenths from rated group by rollup(stem)), "
+    f"rates as (select *, case when n_txns > 0 then ({sf.half_even('aligned * 1000', 'n_txns')}) / 10.0 else 0.0 end rate from sums) "
+    f"select stem, pages, aligned, n_txns, ({sf.half_even('tenths', 'pages')}) / 10.0 page_rate, rate, rate < 90 as warning from rates")))
 def alignment_by_statement(spark, folder):
     txns = dv.statement_txns(spark, folder).select("stem", "page", "seq", "date", "amount", "balance_after")
     return label_plan.alignment_summary(label_plan.aligned_pages(dv.statement_tokens(spark, folder), txns)[1])
