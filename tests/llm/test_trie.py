@@ -34,24 +34,27 @@ def plain(rows):
     for c, own in turns.items():
         h = zlib.crc32(str(c).encode()) % 4
         built[c] = tuple(turns.get(c - c % 20, [])[:h] + own[h:])
-    members = {}
-    for c, ts in built.items():
-        for d in range(len(ts) + 1):
-            members.setdefault(ts[:d], []).append(c)
-    children, leaves, saved = ({p: 0 for p in members} for _ in range(3))
-    for p in members:
-        if p:
-            children[p[:-1]] += 1
-    for p, own in members.items():
-        for d in range(len(p) + 1):
-            leaves[p[:d]] += not children[p]
-            saved[p[:d]] += (len(own) - 1) * len(WORD.findall(p[-1][1])) if p else 0
-    out = []
-    for p, own in members.items():
-        ends = ",".join(map(str, sorted(c for c in own if len(built[c]) == len(p))))
-        out.append((min(own), len(p), min(members[p[:-1]]) if p else None, len(own), children[p], leaves[p], saved[p],
-                    hashlib.sha256(ends.encode()).hexdigest()))
-    return sorted(out)
+    number, last, depth, above, members, ends = {}, [""], [0], [None], [[]], [[]]  # a node's number from its parent's and its turn
+    for c, ts in sorted(built.items()):
+        at = 0
+        members[0].append(c)
+        for turn in ts:
+            if (at, turn) not in number:
+                number[at, turn] = len(last)
+                for column, value in ((last, turn[1]), (depth, depth[at] + 1), (above, at), (members, []), (ends, [])):
+                    column.append(value)
+            at = number[at, turn]
+            members[at].append(c)
+        ends[at].append(c)
+    children = [0] * len(last)
+    for up in above[1:]:
+        children[up] += 1
+    leaves, saved = [not n for n in children], [(len(m) - 1) * len(WORD.findall(t)) for m, t in zip(members, last)]
+    for at in reversed(range(1, len(last))):  # a parent has a smaller number
+        leaves[above[at]] += leaves[at]
+        saved[above[at]] += saved[at]
+    return sorted((min(m), depth[k], None if above[k] is None else min(members[above[k]]), len(m), children[k], int(leaves[k]), saved[k],
+                   hashlib.sha256(",".join(map(str, ends[k])).encode()).hexdigest()) for k, m in enumerate(members))
 
 
 def nodes(frame):
