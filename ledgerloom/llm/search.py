@@ -10,9 +10,10 @@ it has at least one partial score of cutoff / lists; only rows with such an entr
 whose known entries, with that threshold for the unknown ones, still reach the cutoff. Phase 3: their missing partials
 are resolved, and the first ``k`` of a cell by score and id that reach the cutoff are sent and merged.
 
-Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; of
-rows with one id the smallest vector counts; vectors of different lengths don't meet; fewer than ``k`` other rows give
-fewer answers; ties go to the smaller id; an empty table gives an empty result. Extra columns are never looked at.
+Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; rows
+with one id are rows of their own, as candidates of each other too, and as queries each has answers of its own; vectors of
+different lengths don't meet; fewer than ``k`` other rows give fewer answers; ties go to the smaller id; an empty table
+gives an empty result. Extra columns are never looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ledgerloom.operators.scale import take_per_key
 
 LISTS, QUERY_BLOCK, ROW_BLOCK, CHUNK = 4, 16384, 8192, 64
 SCALE = 256
-SENT = "query_id long, vec_id long, score long"
+SENT = "query long, query_id long, row long, vec_id long, score long"
 
 
 def partials(asked: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -51,17 +52,16 @@ def cell_entries(table: pa.Table, k: int, resolve: bool) -> pa.Table:
     """Entries that a cell sends: phase 1, or with cutoffs phases 2 and 3."""
     asks = np.asarray(table["asked"])
     numbers = np.floor(SCALE * matrix(table["vector"], table.num_rows))
-    ids, limits = np.asarray(table["id"]), np.asarray(table["cutoff"].fill_null(-(2**62)))
-    rows, row_ids = numbers[~asks], ids[~asks]
-    order = np.argsort(row_ids)
-    rows, row_ids = rows[order], row_ids[order]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    asked, asked_ids, asked_limits = numbers[asks], ids[asks], limits[asks].astype(np.float64)
+    ids, marks, limits = np.asarray(table["id"]), np.asarray(table["row"]), np.asarray(table["cutoff"].fill_null(-(2**62)))
+    order = np.lexsort((marks[~asks], ids[~asks]))
+    rows, row_ids, row_marks = numbers[~asks][order], ids[~asks][order], marks[~asks][order]
+    found: list[tuple[np.ndarray, ...]] = []
+    asked, asked_ids, asked_marks, asked_limits = numbers[asks], ids[asks], marks[asks], limits[asks].astype(np.float64)
     for start in range(0, len(asked) if len(rows) else 0, CHUNK):
         parts = partials(asked[start:start + CHUNK], rows)
         whole = sum(parts)
         for q in range(len(whole)):
-            name = asked_ids[start + q]
+            mark = asked_marks[start + q]
             if resolve:
                 limit = asked_limits[start + q]
                 least = limit / LISTS
@@ -72,11 +72,12 @@ def cell_entries(table: pa.Table, k: int, resolve: bool) -> pa.Table:
             else:
                 size = min(k + 1, len(rows))  # one more, as the query itself may be among them
                 some = np.unique(np.concatenate([np.argpartition(p[q], len(rows) - size)[len(rows) - size:] for p in parts]))
-            some = some[row_ids[some] != name]
+            some = some[row_marks[some] != mark]
             best = some[first(whole[q, some], row_ids[some], k)]
-            found.append((np.full(len(best), name), row_ids[best], whole[q, best].astype(np.int64)))
-    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
-    return pa.table([pa.array(np.asarray(c, np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+            found.append((np.full(len(best), mark), np.full(len(best), asked_ids[start + q]), row_marks[best], row_ids[best],
+                          whole[q, best].astype(np.int64)))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 5
+    return pa.table([pa.array(np.asarray(c, np.int64)) for c in columns], ["query", "query_id", "row", "vec_id", "score"])
 
 
 def search(rows: DataFrame, asked: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
@@ -86,26 +87,26 @@ def search(rows: DataFrame, asked: Column, k: int = 5, vec_id: str = "vec_id", v
     given = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
                         F.coalesce(asked, F.lit(False)).alias("asked"))
     given = given.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    given = materialise(given.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")), "vectors")
+    given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so a row keeps its mark
     n, queries = given.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first()
     row_blocks, query_blocks = blocks_for(n, row_block), blocks_for(queries, query_block)
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     key = ["dim", "row_block", "query_block"]
-    there = given.select("id", "vector", F.lit(False).alias("asked"), F.lit(None).cast("long").alias("cutoff"),
-                         F.size("vector").alias("dim"), block_of("id", row_blocks).alias("row_block"), all_of(query_blocks).alias("query_block"))
+    there = given.select("row", "id", "vector", F.lit(False).alias("asked"), F.lit(None).cast("long").alias("cutoff"),
+                         F.size("vector").alias("dim"), block_of("row", row_blocks).alias("row_block"), all_of(query_blocks).alias("query_block"))
 
     def run(cutoffs: DataFrame | None) -> DataFrame:
         resolve = cutoffs is not None
         asks = given.filter("asked")
-        asks = asks.join(cutoffs, "id", "left") if resolve else asks.withColumn("cutoff", F.lit(None).cast("long"))
-        asks = asks.select("id", "vector", "asked", "cutoff", F.size("vector").alias("dim"),
-                           all_of(row_blocks).alias("row_block"), block_of("id", query_blocks).alias("query_block"))
+        asks = asks.join(cutoffs, "row", "left") if resolve else asks.withColumn("cutoff", F.lit(None).cast("long"))
+        asks = asks.select("row", "id", "vector", "asked", "cutoff", F.size("vector").alias("dim"),
+                           all_of(row_blocks).alias("row_block"), block_of("row", query_blocks).alias("query_block"))
         return asks.unionByName(there).groupBy(*key).applyInArrow(lambda table: cell_entries(table, k, resolve), SENT)
 
-    order = [F.col("score").desc(), F.col("vec_id")]
-    gathered = take_per_key(run(None), ["query_id"], order, k, "rank")
-    cutoffs = gathered.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
-    found = take_per_key(run(materialise(cutoffs, "cutoffs")), ["query_id"], order, k, "rank")
+    order = [F.col("score").desc(), F.col("vec_id"), F.col("row")]
+    gathered = take_per_key(run(None), ["query"], order, k, "rank")
+    cutoffs = gathered.filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("cutoff"))
+    found = take_per_key(run(materialise(cutoffs, "cutoffs")), ["query"], order, k, "rank")
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -42,6 +42,18 @@ def test_search_equals_brute_force(spark):
             scores = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:5]
             expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_search_keeps_rows_with_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [0.9, 0.0]), (7, [0.1, 0.0]), (7, [0.9, 0.0]), (8, [0.9, 0.3]), (50, None)]
+    got = search.search(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    good = [(k, i, np.floor(256 * np.array(np.float32(v), float)).astype(int)) for k, (i, v) in enumerate(rows) if v]
+    expected = []
+    for k, q, v in good:
+        if q % 50 == 0:
+            scores = sorted((-int(v @ w), i) for j, i, w in good if j != k)[:5]
+            expected += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == sorted(expected)
     assert search.search(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
