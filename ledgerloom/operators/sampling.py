@@ -52,21 +52,24 @@ def diverse_sample(files: DataFrame, per_bank: int = 3, known: list[str] | None
     """Files evenly spread over page counts per bank, one for banks already known (WIN4, WIN5).
 
     Files of a bank are ordered by page count, then MD5. Ranks come from bin counts (page count
-    and two hex digits), so even one huge bank is ranked in many tasks.
+    and two hex digits), so even one huge bank is ranked in many tasks. Files without a page count
+    come first in their bank; a file without a bank counts as unknown.
     """
     known = lx.KNOWN_BANKS if known is None else known
-    named = files.filter(F.col("bank") != "Unknown").withColumn("_h", F.md5("stem")).withColumn("_bin", F.substring("_h", 1, 2))
-    ranked = exact_rank(named, ["bank"], ["pages", "_bin"], [F.col("_h"), F.col("stem")], "_rank", "_total")
+    unknown = F.coalesce("bank", F.lit("Unknown")) == "Unknown"
+    named = files.filter(~unknown).withColumn("_h", F.md5("stem")).withColumn("_bin", F.substring("_h", 1, 2))
+    named = named.withColumn("_pages", F.coalesce("pages", F.lit(-1)))  # bins have no nulls
+    ranked = exact_rank(named, ["bank"], ["_pages", "_bin"], [F.col("_h"), F.col("stem")], "_rank", "_total")
     limit = F.when(F.lower("bank").isin(*known), 1).otherwise(per_bank)
     at = F.transform(F.sequence(F.lit(0), limit - 1), lambda i: F.floor(i * (F.col("_total") / limit)).cast("long"))
     keep = (F.col("_total") <= limit) | F.array_contains(at, F.col("_rank") - 1)
-    spread = ranked.filter(keep).drop("_h", "_bin", "_rank", "_total")
-    return spread.unionByName(closest_pages(files.filter(F.col("bank") == "Unknown"), per_bank))
+    spread = ranked.filter(keep).drop("_h", "_bin", "_pages", "_rank", "_total")
+    return spread.unionByName(closest_pages(files.filter(unknown), per_bank))
 
 
 def closest_pages(unknown: DataFrame, k: int, pages: int = 4) -> DataFrame:
-    """The ``k`` files closest to four pages (WIN5)."""
-    return unknown.orderBy(F.abs(F.col("pages") - pages), F.md5("stem"), "stem").limit(k)
+    """The ``k`` files closest to four pages (WIN5); those without a page count come last."""
+    return unknown.orderBy(F.abs(F.col("pages") - pages).asc_nulls_last(), F.md5("stem"), "stem").limit(k)
 
 
 def group_split(rows: DataFrame, test_percent: int = 15, seed: int = 42) -> DataFrame:

@@ -164,6 +164,14 @@ def test_fill_to_target(spark):
     assert 0 not in pages and 6 + sum(pages) >= 10 and 6 + sum(pages) - min(pages) < 10 + max(pages)
 
 
+def test_evenly_spaced_keeps_files_without_pages_or_bank(spark):
+    rows = [("Chase", "a", None), ("Chase", "b", 5), ("Big", "c", 1), ("Big", "d", None), ("Big", "e", 9), (None, "f", 4), ("Unknown", "g", None),
+            ("Unknown", "h", 3)]
+    files = spark.createDataFrame(rows, "bank string, stem string, pages int")
+    got = sampling.diverse_sample(files, 3, known=["chase"]).collect()
+    assert {r.stem for r in got} == {"a", "c", "d", "e", "f", "g", "h"}
+
+
 def test_evenly_spaced(spark):
     files = spark.createDataFrame([("Big", f"s{i}", i) for i in range(10)] + [("Chase", f"c{i}", i) for i in range(4)], "bank string, stem string, pages long")
     got = sampling.diverse_sample(files, 3).collect()
