@@ -805,10 +805,21 @@ def retrain_trigger(spark, folder):
     return jobs.retrain_due(jobs.run_batches(spark, pages, "str4", jobs.retrain_counter), lx.MIN_PAGES_FOR_RETRAIN)
 
 
+@query("str4_retrain_signals", (
+    "select source, rn // 50 as signal, rn pages from (select coalesce(source, '') source, row_number() over (partition by source order by doc_id) rn "
+    "from documents where (doc_id // 5) % 4 = 0) where rn % 50 = 0"))
+def retrain_signals(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    stream = _staged(spark, "str4", docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)), "doc_id").filter(F.floor(F.col("doc_id") / 5) % 4 == 0)
+    signals = jobs.run_retrain_signals(spark, stream, "source", lx.MIN_PAGES_FOR_RETRAIN)
+    return signals.select(F.coalesce("key", F.lit("")).alias("source"), "signal", "pages")
+
+
 @query("str5_running_balances", fr.sql(fr.TXN, (
     "select stem, seq, last_value(balance_cents ignore nulls) over (partition by stem order by seq rows between unbounded preceding and 1 preceding) / 100.0 prev_balance from txn")))
 def running_balances(spark, folder):
     txns = dv.statement_txns(spark, folder).select("stem", "seq", "amount", "balance_after")
-    stream = _staged(spark, "str5", txns, F.floor(F.col("seq") / 25), "stem")  # every statement in four batches, in order
+    shuffled = F.pmod(F.xxhash64("stem", "seq"), F.lit(4))  # eight files, every statement in all of them and out of order
+    stream = _staged(spark, "str5", txns, shuffled, "seq")
     rows = jobs.run_balances(spark, stream)
     return doubles(rows.select("stem", "seq", "prev_balance"), "prev_balance")

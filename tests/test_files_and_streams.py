@@ -1,7 +1,10 @@
 """JSON page folders, listings, sinks, and streams that equal their batch results."""
 
 import json
+import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import derive as dv
@@ -65,20 +68,68 @@ def split_orders(spark, tmp_path):
     return orders, spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def test_balances_across_batches_equal_batch(spark, tmp_path):
-    orders, stream = split_orders(spark, tmp_path)
-    txns = dv.txns_of_orders(orders).select("stem", "seq", "amount", "balance_after").cache()
-    from ledgerloom.operators.scale import previous_value
-    expected = {(r.stem, r.seq): r.p for r in previous_value(txns, ["stem"], "seq", "balance_after", "p").collect()}
-    # Statements cut by a batch border get their carry from the state table.
-    known = txns.select("stem", "seq", "balance_after")
-
-    def prepare(batch):
-        keys = batch.select(F.concat(F.lit("stmt_"), F.floor(F.col("o_orderkey") / 100).cast("string")).alias("stem"), (F.col("o_orderkey") % 100).alias("seq"))
-        return keys.join(known, ["stem", "seq"]).withColumn("amount", F.lit(0))
-
-    got = jobs.run_balances(spark, stream, prepare).collect()
-    assert {(r.stem, r.seq): r.prev_balance for r in got} == expected
+def files_of(spark, folder, schema, batches):
+    """A stream that reads one given list of rows per batch."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+BALANCES = "stem string, seq long, amount decimal(18,2), balance_after decimal(18,2)"
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_balances_of_shuffled_rows_equal_batch(spark, tmp_path, block):
+    draw = random.Random(block)
+    rows = [(stem, seq, Decimal(draw.randrange(-500, 500)) / 100, None if draw.random() < 0.6 else Decimal(draw.randrange(10**6)) / 100)
+            for stem, size in (("a", 60), ("b", 25), (None, 12), ("empty", 3)) for seq in range(size)]
+    rows = [(stem, seq, amount, None if stem == "empty" else balance) for stem, seq, amount, balance in rows]
+    expected, last = {}, {}
+    for stem, seq, amount, balance in rows:  # in order
+        expected[stem, seq] = (amount, balance, last.get(stem))
+        last[stem] = last.get(stem) if balance is None else balance
+    draw.shuffle(rows)
+    got = jobs.run_balances(spark, files_of(spark, tmp_path / "in", BALANCES, [rows[i::4] for i in range(4)]), block).collect()
+    assert len(got) == len(rows)
+    assert {(r.stem, r.seq): (r.amount, r.balance_after, r.prev_balance) for r in got} == expected
+
+
+def test_late_and_repeated_balances_correct_later_rows(spark, tmp_path):
+    batches = [[("s", 5, None, None), ("s", 9, None, Decimal("9.00")), ("s", None, Decimal("1.50"), Decimal("2.50"))],
+               [("s", 2, None, Decimal("2.00"))], [("s", 2, None, Decimal("7.25")), ("s", 2, None, None), ("s", 12, None, None)]]
+    got = jobs.run_balances(spark, files_of(spark, tmp_path / "in", BALANCES, batches), 4).collect()
+    seen = {r.seq: (r.balance_after, r.prev_balance) for r in got}
+    assert len(got) == 5 and seen == {2: (Decimal("7.25"), None), 5: (None, Decimal("7.25")), 9: (Decimal("9.00"), Decimal("7.25")),
+                                      12: (None, Decimal("9.00")), None: (Decimal("2.50"), None)}
+
+
+def test_a_batch_writes_only_changed_positions(spark, tmp_path):
+    """Ten rows of one block, then one balance in their middle: the log gains it and the rows up to the next balance."""
+    first = [("s", seq, None, Decimal(seq) if seq in (0, 7) else None) for seq in range(10) if seq != 4]
+    log = []
+    latest = jobs.latest_balances
+    try:
+        jobs.latest_balances = lambda rows: log.append(rows) or latest(rows)
+        jobs.run_balances(spark, files_of(spark, tmp_path / "in", BALANCES, [first, [("s", 4, None, Decimal(4))]]))
+    finally:
+        jobs.latest_balances = latest
+    assert sorted(r.seq for r in log[0].filter("batch_id = 1").collect()) == [4, 5, 6, 7]
+
+
+def test_retrain_signal_once_per_crossing(spark, tmp_path):
+    sizes = [{"a": 30, "b": 9, None: 3}, {"a": 75, None: 8}, {"b": 1, "a": 5}, {"c": 4}]
+    batches = [[(key,) for key, n in batch.items() for _ in range(n)] for batch in sizes]
+    stream = files_of(spark, tmp_path / "in", "bank string", batches)
+    rows = jobs.run_retrain_signals(spark, stream, "bank", 10).collect()
+    assert sorted((str(r.key), r.signal, r.pages) for r in rows) == sorted(
+        [("a", k, 10 * k) for k in range(1, 12)] + [("b", 1, 10), ("None", 1, 10)])
+
+
+def test_new_statements_across_batches(spark, tmp_path):
+    stream = files_of(spark, tmp_path / "in", "k string", [[("a",), ("b",), ("a",)], [("b",), (None,), ("old",)], [("c",), (None,), ("a",)]])
+    known = spark.createDataFrame([("old",)], "k string")
+    assert sorted(str(r.k) for r in jobs.run_new_statements(spark, stream, "k", known).collect()) == ["None", "a", "b", "c"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def test_monthly_stream_equals_batch(spark, tmp_path):
