@@ -614,7 +614,21 @@ def _samples(spark, folder):
                                                    F.col("true_type").alias("type"))
 
 
-@query("txn11_type_features")
+_STOP = "[" + ", ".join(lit(w) for w in lx.STOP_WORDS) + "]"
+_FLAGS11 = ", ".join(f"case when contains(lower(coalesce(description, '')), {lit(w)}) then 1.0 else 0.0 end"
+                     for w in lx.MODEL_DEBIT_WORDS + lx.MODEL_CREDIT_WORDS)
+
+
+@query("txn11_type_features", fr.sql(fr.TXN, (
+    f", ws as (select *, [x for x in regexp_extract_all(lower(coalesce(description, '')), '{ml.TERM}') if not list_contains({_STOP}, x)] w from txn), "
+    "tm as (select k, w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] t from ws), "
+    "ct as (select k, term, count(*) tf from (select k, unnest(t) term from tm) group by 1, 2), "
+    "vo as (select term, sum(tf) n, ln(cast((select count(*) from txn) + 1 as double) / (count(*) + 1)) + 1 wt from ct group by 1 order by n desc, term limit 50), "
+    "rk as (select term, wt, row_number() over (order by n desc, term) r from vo), "
+    "wv as (select k, r, tf * wt v from ct join rk using (term)), "
+    "dn as (select k, list(coalesce(v, 0.0) order by r) v, sqrt(coalesce(sum(v * v), 0)) norm from (select k from txn) cross join rk left join wv using (k, r) group by 1) "
+    "select k, [round(cast(x as double), 6) for x in [case when cents < 0 then 1.0 else 0.0 end, ln(1 + abs(cents / 100.0)), coalesce(page, 0) / 20.0, "
+    f"{_FLAGS11}] || [case when norm > 0 then y / norm else y end for y in v]] features from txn join dn using (k)")))
 def type_features(spark, folder):
     samples = _samples(spark, folder)
     featured = ml.type_features(samples, ml.fit_text_terms(samples))
@@ -689,9 +703,10 @@ def learned_tags(spark, folder):
     return ml.predict_tags(featured, model).select("stem", "page_index", "pos", "true_tag", "tag", F.round("conf", 4).alias("conf"))
 
 
-@query("tag10_model_facts", fr.sql(fr.TOKENS, "select true_tag truth, count(*) n, true in_range, true above_majority from tokens group by 1"))
+@query("tag10_model_facts", fr.sql(fr.TOKENS, f"select true_tag truth, count(*) n, true in_range, true above_majority from tokens where {_SPLIT} group by 1"))
 def tagging_model_facts(spark, folder):
-    return _facts(learned_tags(spark, folder), "true_tag", "tag", "conf", 0)
+    held_out = sp.group_split(learned_tags(spark, folder)).filter(F.col("split") == "test")  # no statement that the tagger was fitted on
+    return _facts(held_out, "true_tag", "tag", "conf", 0)
 
 
 # --- whole flows -----------------------------------------------------------------------------------

@@ -55,6 +55,18 @@ DEBIT_WORDS = ["fee", "service charge", "bill payment", "loan payment", "ach deb
                "check paid", "check #", "wire out", "transfer out"]
 MODEL_DEBIT_WORDS = ["fee", "withdrawal", "purchase", "debit", "check"]
 MODEL_CREDIT_WORDS = ["deposit", "credit", "payroll", "refund", "interest"]
+# Spark's English stop words of two letters or more, without contractions (no token has an apostrophe)
+STOP_WORDS = [
+    "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he",
+    "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no",
+    "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will", "just", "don", "should", "now",
+    "cannot", "could", "ought", "would"]
 NSF_WORDS = ["NSF", "INSUFFICIENT", "OVERDRAFT", "OD FEE", "RETURNED ITEM"]
 NSF_WORDS_FALLBACK = ["NSF", "INSUFFICIENT", "OVERDRAFT"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,44 +13,47 @@ from ledgerloom.functions import lexicon as lx
 from ledgerloom.operators.layout import token_shapes
 
 TEXT_TERMS = 50
+#: A word of two letters, digits or underscores or more, in any script.
+TERM = r"[\p{L}\p{N}_]{2,}"
 LAYERS = [64, 32]
 
 
-def fit_text_terms(samples: DataFrame, size: int = TEXT_TERMS) -> PipelineModel:
-    """Vocabulary of the ``size`` most frequent words and word pairs, and their document frequencies."""
-    return Pipeline(stages=[
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size),
-        IDF(inputCol="tf", outputCol="tfidf")]).fit(_terms(samples))
+def _terms(samples: DataFrame) -> DataFrame:
+    """``terms`` of a description: its words of two letters or more without stop words, then its pairs of such words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("description", F.lit(""))), F.lit(TERM), F.lit(0))
+    words = samples.withColumn("_words", F.filter(found, lambda w: ~w.isin(lx.STOP_WORDS)))
+    following = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with("_words", following, lambda one, two: F.concat(one, F.lit(" "), two)), lambda pair: pair.isNotNull())
+    return words.withColumn("terms", F.concat("_words", pairs)).drop("_words")
 
 
-def _terms(samples: DataFrame) -> DataFrame:
-    text = samples.withColumn("_text", F.lower(F.coalesce("description", F.lit(""))))
-    words = Pipeline(stages=[
-        RegexTokenizer(inputCol="_text", outputCol="_raw", pattern=r"\b\w\w+\b", gaps=False),
-        StopWordsRemover(inputCol="_raw", outputCol="_words"),
-        NGram(inputCol="_words", outputCol="_pairs", n=2)]).fit(text).transform(text)
-    return words.withColumn("terms", F.concat("_words", "_pairs")).drop("_text", "_raw", "_words", "_pairs")
+def fit_text_terms(samples: DataFrame, size: int = TEXT_TERMS) -> list[tuple[str, float]]:
+    """The ``size`` most frequent words and word pairs, ties by code point, each with its weight: inverse document frequency + 1.
+
+    Counts are over all samples and combined before the shuffle; only the vocabulary, ``size`` rows, comes to the driver.
+    """
+    counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), (
+        F.size("terms") - F.size(F.array_remove("terms", t))).alias("tf")))
+    terms = _terms(samples).select(F.inline(counted)).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("texts"))
+    weight = F.log((F.lit(samples.count()) + 1) / (F.col("texts") + 1)) + 1
+    return [(r.term, r.weight) for r in terms.orderBy(F.desc("n"), "term").limit(size).select("term", weight.alias("weight")).collect()]
 
 
-def type_features(samples: DataFrame, terms: PipelineModel) -> DataFrame:
+def type_features(samples: DataFrame, terms: list[tuple[str, float]]) -> DataFrame:
     """Feature vector per transaction (TXN11): sign, size, page, ten word flags, text terms.
 
-    Text weights are tf * (idf + 1) with unit length; MLlib's idf lacks the + 1, so the raw
-    counts are added back.
+    Text weights are counts times the weights of ``fit_text_terms``, with unit length; a description without any of the
+    terms, or null, has zeros.
     """
-    weighted = terms.transform(_terms(samples))
-    raw = F.zip_with(vector_to_array("tf"), vector_to_array("tfidf"), lambda a, b: a + b)
+    counts = [(F.size("terms") - F.size(F.array_remove("terms", term))) * F.lit(weight) for term, weight in terms]
+    weighted = _terms(samples).withColumn("_raw", F.array(*counts).cast("array<double>"))
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v * v))
-    text = F.when(norm > 0, F.transform("_raw", lambda v: v / norm)).otherwise(F.col("_raw"))
+    text = F.when(F.col("_norm") > 0, F.transform("_raw", lambda v: v / F.col("_norm"))).otherwise(F.col("_raw"))
     lower = F.lower(F.coalesce("description", F.lit("")))
     amount = F.col("amount").cast("double")
-    flags = [lower.contains(w).cast("double").alias(f"_w{i}")
-             for i, w in enumerate(lx.MODEL_DEBIT_WORDS + lx.MODEL_CREDIT_WORDS)]
-    columns = weighted.withColumn("_raw", raw).select(
-        *samples.columns, (amount < 0).cast("double").alias("_sign"), F.log1p(F.abs(amount)).alias("_size"),
-        (F.coalesce("page", F.lit(0)) / 20.0).alias("_page"), *flags, array_to_vector(text).alias("_terms"))
-    names = ["_sign", "_size", "_page", *[f"_w{i}" for i in range(len(flags))], "_terms"]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(columns).drop(*names)
+    flags = [lower.contains(w).cast("double") for w in lx.MODEL_DEBIT_WORDS + lx.MODEL_CREDIT_WORDS]
+    row = F.array((amount < 0).cast("double"), F.log1p(F.abs(amount)), F.coalesce("page", F.lit(0)) / 20.0, *flags)
+    return weighted.withColumn("_norm", norm).select(*samples.columns, array_to_vector(F.concat(row, text)).alias("features"))
 
 
 def fit_typing(featured: DataFrame, network: bool = False) -> PipelineModel:
@@ -61,7 +64,7 @@ def fit_typing(featured: DataFrame, network: bool = False) -> PipelineModel:
     """
     labelled = featured.withColumn("label", (F.col("type") == "debit").cast("double"))
     if network:
-        size = featured.select("features").schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 13 + TEXT_TERMS)
+        size = featured.select(F.size(vector_to_array("features"))).first()[0]
         stage = MultilayerPerceptronClassifier(layers=[size, *LAYERS, 2], seed=42, maxIter=30)
         return Pipeline(stages=[stage]).fit(labelled)
     counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
@@ -96,8 +99,8 @@ def token_features(tokens: DataFrame) -> DataFrame:
 
 
 def fit_tagger(featured: DataFrame, weights: DataFrame) -> PipelineModel:
-    """Token tagger on ``features, true_tag`` with class weights (TAG10). ``weights`` has nine rows."""
-    weighted = featured.join(F.broadcast(weights.withColumnRenamed("tag", "true_tag")), "true_tag")
+    """Token tagger on ``features, true_tag`` with class ``weights`` per tag (TAG10)."""
+    weighted = featured.join(weights.withColumnRenamed("tag", "true_tag"), "true_tag")
     return Pipeline(stages=[
         StringIndexer(inputCol="true_tag", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         LogisticRegression(family="multinomial", weightCol="weight", maxIter=15)]).fit(weighted)
