@@ -1,6 +1,7 @@
 """Search, embedding dedup, chat, mixing, sharding, pipeline: brute force on small tables, odd rows, empty tables."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -195,6 +196,73 @@ def test_sharding(docs_of, odd_rows):
     assert sharding.assign(docs_of([])).count() == 0
 
 
+def spread_of(got):
+    found = {}
+    for r in got:
+        found.setdefault(r.text_crc32, {}).setdefault(r.shard, 0)
+        found[r.text_crc32][r.shard] += 1
+    return found
+
+
+def evened(got, shards=24):
+    size = [sum(r.shard == s for r in got) for s in range(shards)]
+    slots = all(sorted(r.slot for r in got if r.shard == s) == list(range(size[s])) for s in range(shards))
+    return max(size) - min(size) <= 1 and slots
+
+
+def test_sharding_where_all_rows_are_linked(docs_of):
+    got = sharding.assign(docs_of([(100 * g + k, f"text {g}") for g in range(60) for k in range(100)])).collect()
+    assert len(got) == 6000 and evened(got)
+    most = [max(v.values()) for v in spread_of(got).values()]
+    # 250 rows a shard hold two hubs and a half: what is cut is cut by the exact counts alone
+    assert sum(m == 100 for m in most) >= 48 and sum(len(v) == 1 for v in spread_of(got).values()) >= 40
+
+
+def test_a_group_that_fits_a_shard_is_whole(docs_of):
+    rows = [*[(k, "the common text") for k in range(90)], *[(1000 + k, f"text {k}") for k in range(120 * 24 - 90)]]
+    got = sharding.assign(docs_of(rows)).collect()
+    assert evened(got) and list(spread_of(got)[zlib.crc32(b"the common text")].values()) == [90]
+
+
+def test_a_third_of_all_rows_with_a_null_id(docs_of):
+    rows = [*[(None, "the common text") for _ in range(800)], *[(k, f"text {k // 2}") for k in range(1600)]]
+    got = sharding.assign(docs_of(rows)).collect()
+    assert len(got) == 2400 and evened(got)
+    found = spread_of(got)
+    assert sum(sorted(found.pop(zlib.crc32(b"the common text")).values())[-8:]) >= 700  # eight shards could hold them all
+    assert sum(len(v) > 1 for v in found.values()) <= 30
+
+
+def plain_rounds(pieces, limits):
+    """Hubs' pieces that ``propagate`` may leave cut: no shard has room for a piece of theirs beside another one."""
+    load = [0] * len(limits)
+    for _, _, shard, n in pieces:
+        load[shard] += n
+    shards = {}
+    for hub, _, shard, n in pieces:
+        shards.setdefault(hub, {}).setdefault(shard, 0)
+        shards[hub][shard] += n
+    stuck = 0
+    for held in shards.values():
+        best = max(min(sum(held.values()), n + max(0, limits[s] - load[s])) for s, n in held.items())
+        to = [s for s, n in held.items() if min(sum(held.values()), n + max(0, limits[s] - load[s])) == best]
+        stuck += len(held) > 1 and not any(n <= limits[t] - load[t] for t in to for s, n in held.items() if s != t)
+    return load, shards, stuck
+
+
+def test_propagation_ends_where_nothing_can_move(spark):
+    rng = random.Random(3)
+    pieces = [(hub, shard, shard, rng.randint(1, 30)) for hub in range(80) for shard in rng.sample(range(6), rng.randint(1, 4))]
+    load, before, _ = plain_rounds(pieces, [0] * 6)
+    limits = [int(1.2 * sum(load) / 6) + 1] * 6
+    got = sharding.propagate(spark.createDataFrame(pieces, "hub long, start int, shard int, n long"), limits).collect()
+    assert sorted((r.hub, r.start, r.n) for r in got) == sorted((h, s, n) for h, s, _, n in pieces)
+    after_load, after, stuck = plain_rounds([tuple(r) for r in got], limits)
+    assert all(b <= max(limit, a) for a, b, limit in zip(load, after_load, limits))
+    assert sum(len(v) > 1 for v in after.values()) == stuck < sum(len(v) > 1 for v in before.values()) / 2
+    assert sum(map(len, after.values())) < sum(map(len, before.values()))
+
+
 def test_pipeline(spark):
     docs, folder = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001"
     columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
