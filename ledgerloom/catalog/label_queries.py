@@ -1,7 +1,9 @@
 """Feedback, labelling, sampling, join, response, model and streaming queries."""
 
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import frames as fr
@@ -9,7 +11,7 @@ from ledgerloom.catalog import sqlfn as sf
 from ledgerloom.catalog.frames import any_of, lit
 from ledgerloom.catalog.ingest_queries import _BNK2, _URLS
 from ledgerloom.catalog.layout_queries import CHUNKS, FIT, ROWED, SECTIONS, TAGGED, _DEC, _TRIM, rsql, section_sql
-from ledgerloom.catalog.registry import query
+from ledgerloom.catalog.registry import ORACLES, query
 from ledgerloom.catalog.transaction_queries import _BYBAL, _PREV, _SUMMARY, _WORDS, parse_sql
 from ledgerloom.catalog.summary_queries import _MONTHLY, YEAR, _date_variants_sql, _variants, doubles, enriched, esql
 from ledgerloom.functions import lexicon as lx
@@ -593,12 +595,45 @@ def statement_listing(spark, folder):
 @query("snk1_json_export", esql("select stem, seq, month_key, category, cents / 100.0 amount from enriched"))
 def json_export(spark, folder):
     target = _written(spark, folder, "export")
-    rows = enriched(spark, folder)
-    fs.export_summary(rows, en.source_order(rows), target)
+    rows = materialise(enriched(spark, folder), "enriched")  # one pass writes the rows, five sum them up
+    fs.export_summary(rows, plan.summary_tables(rows), target)
     read = spark.read.schema("stem string, seq long, month_key string, category string, amount double").json(f"{target}/transactions")
     return read
 
 
+#: Key column and measures of each exported table, and the query whose statement gives the same rows.
+_EXPORTED = {
+    "monthly": ("month_key", ["income", "expenses", "n", "net"], "agg1_monthly_cashflow"),
+    "categories": ("category", ["total", "share"], "agg2_category_totals"),
+    "balances": ("parsed_date", ["balance"], "agg3_daily_balances"),
+    "merchants": ("merchant", ["n", "total"], "agg4_top_merchants"),
+    "portfolio": ("'all'", ["total_income", "total_expenses", "months_analyzed", "total_transactions", "flagged_transactions",
+                            "net_cashflow", "avg_monthly_spend"], "agg5_portfolio")}
+
+
+def _exported_sql():
+    parts = []
+    for name, (key, measures, twin) in _EXPORTED.items():
+        names, values = ", ".join(lit(m) for m in measures), ", ".join(f"cast({m} as double)" for m in measures)
+        parts.append(f"select {lit(name)} as tbl, cast({key} as varchar) as item, unnest([{names}]) as measure, unnest([{values}]) as val "
+                     f"from ({ORACLES[twin]}) as x")
+    return " union all ".join(parts)
+
+
+@query("snk1_summary_export", _exported_sql())
+def summary_export(spark, folder):
+    """All summary tables as they are read back from the export, a row per measure."""
+    target = _written(spark, folder, "export")
+    rows = materialise(enriched(spark, folder), "enriched")
+    tables = plan.summary_tables(rows)
+    fs.export_summary(rows, tables, target)
+    read = fs.read_summary(spark, target, {name: table.schema for name, table in tables.items()})
+    parts = [read[name].select(F.lit(name).alias("tbl"), F.expr(key).cast("string").alias("item"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("val")) for m in measures])))
+        for name, (key, measures, _) in _EXPORTED.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("snk2_page_write", fr.sql(fr.TOKENS, "select stem, page_index, count(*) word_count, string_agg(true_tag, ' ' order by pos) tags from tokens group by 1, 2"))
 def page_write(spark, folder):
     target = _written(spark, folder, "bio")

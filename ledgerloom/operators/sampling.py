@@ -33,19 +33,27 @@ def default_quotas() -> dict[str, int]:
     return {bank: quota for bank, _, quota in lx.SAMPLED_BANKS}
 
 
-def fill_to_target(unknown: DataFrame, picked: DataFrame, target: int, seed: int = 42) -> DataFrame:
+def fill_to_target(unknown: DataFrame, picked: DataFrame, target: int, seed: int = 42, digits: int = 4) -> DataFrame:
     """Unknown-bank files in random order while the page total is below the target (WIN3).
 
-    Every pick adds at least one page, so at most ``target`` files can be picked and a top-k
-    of that size is enough to decide; the running sum sees only those rows.
+    The random order is cut into ``16 ** digits`` bins by its leading digits. Page sums of the bins tell the one bin in
+    which the target is reached: files of earlier bins are in, files of later ones are out, and only that bin's files,
+    one in ``16 ** digits``, are summed one by one. The bins are all that is ever broadcast or ordered as a whole.
+    Files without pages or without a page count are never picked.
     """
-    order = [seeded(F.col("stem"), seed), F.col("stem")]
-    head = unknown.filter(F.col("pages") > 0).orderBy(*order).limit(target)
-    base = picked.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("_base"), F.lit(1).alias("_one"))
-    running = Window.partitionBy("_one").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (head.withColumn("_one", F.lit(1)).withColumn("_before", F.coalesce(F.sum("pages").over(running), F.lit(0)))
-            .join(F.broadcast(base), "_one").filter(F.col("_base") + F.col("_before") < target)
-            .drop("_one", "_before", "_base"))
+    order = [F.col("_draw"), F.col("stem")]
+    drawn = unknown.filter(F.col("pages") > 0).withColumn("_draw", F.coalesce(seeded(F.col("stem"), seed), F.lit("")))
+    drawn = drawn.withColumn("_bin", F.substring("_draw", 1, digits))
+    base = picked.agg((F.lit(target) - F.coalesce(F.sum("pages"), F.lit(0))).alias("_left"), F.lit(1).alias("_one"))
+    earlier = Window.partitionBy("_one").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = drawn.groupBy("_bin").agg(F.sum("pages").alias("_sum")).withColumn("_one", F.lit(1))
+    bins = (sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).join(F.broadcast(base), "_one")
+            .select("_bin", "_sum", (F.col("_left") - F.col("_before")).alias("_left")).filter("_left > 0"))
+    rows = drawn.join(F.broadcast(bins), "_bin")
+    inside = Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = (rows.filter("_sum > _left").withColumn("_before", F.coalesce(F.sum("pages").over(inside), F.lit(0)))
+            .filter("_before < _left"))
+    return rows.filter("_sum <= _left").select(*unknown.columns).unionByName(edge.select(*unknown.columns))
 
 
 def diverse_sample(files: DataFrame, per_bank: int = 3, known: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made rows with the result each rule implies."""
 
 import datetime
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -164,6 +165,22 @@ def test_fill_to_target(spark):
     assert 0 not in pages and 6 + sum(pages) >= 10 and 6 + sum(pages) - min(pages) < 10 + max(pages)
 
 
+def test_fill_to_a_million_pages(spark):
+    files = spark.range(400_000).select(F.concat(F.lit("f"), "id").alias("stem"), (F.col("id") % 8).alias("pages"))
+    picked = spark.createDataFrame([(1234,)], "pages long")
+    held, expected = 1234, set()
+    for draw, stem in sorted((hashlib.md5(f"42|f{k}".encode()).hexdigest(), f"f{k}") for k in range(400_000) if k % 8):
+        if held >= 1_000_000:
+            break
+        expected.add(stem)
+        held += int(stem[1:]) % 8
+    for digits in (1, 4):
+        got = sampling.fill_to_target(files.select("stem", "pages"), picked, 1_000_000, digits=digits)
+        assert {r.stem for r in got.collect()} == expected
+    whole = sampling.fill_to_target(files.select("stem", "pages"), picked, 10_000_000)
+    assert whole.count() == 350_000 and sampling.fill_to_target(files.select("stem", "pages"), picked, 1234).count() == 0
+
+
 def test_evenly_spaced_keeps_files_without_pages_or_bank(spark):
     rows = [("Chase", "a", None), ("Chase", "b", 5), ("Big", "c", 1), ("Big", "d", None), ("Big", "e", 9), (None, "f", 4), ("Unknown", "g", None),
             ("Unknown", "h", 3)]
