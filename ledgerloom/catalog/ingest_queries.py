@@ -57,11 +57,13 @@ _CHOSEN = (", nat as (select *, false used_ocr from tokens where (k // 20) % 4 =
            "join cnt using (stem, page_index) where used_ocr = (n < 20 and m > n)) ")
 
 
-def _chosen(spark, folder):
+def _word_sources(spark, folder):
     tokens = dv.statement_tokens(spark, folder)
-    native = tokens.filter((F.floor(F.col("k") / 20) % 4 == 0) | (F.col("pos") < 12))
-    ocr = tokens.filter(F.col("conf") >= 0.8)
-    return ig.choose_words(native, ocr).select("stem", "page_index", "pos", "text", "used_ocr")
+    return tokens.filter((F.floor(F.col("k") / 20) % 4 == 0) | (F.col("pos") < 12)), tokens.filter(F.col("conf") >= 0.8)
+
+
+def _chosen(spark, folder):
+    return ig.choose_words(*_word_sources(spark, folder)).select("stem", "page_index", "pos", "text", "used_ocr")
 
 
 @query("src7_word_source", fr.sql(fr.TOKENS, _CHOSEN + "select * from chosen"))
@@ -69,6 +71,13 @@ def word_source(spark, folder):
     return _chosen(spark, folder)
 
 
+@query("src7_word_choices", fr.sql(fr.TOKENS, _CHOSEN + (
+    "select count(*) pages, count(*) filter (n < 20 and m > n) ocr_pages, cast(coalesce(sum(n) filter (n < 20 and m > n), 0) as bigint) native_left_out, "
+    "cast(coalesce(sum(m) filter (not (n < 20 and m > n)), 0) as bigint) ocr_left_out from cnt")))
+def word_choices(spark, folder):
+    return ig.word_choices(*_word_sources(spark, folder))
+
+
 @query("src8_extraction_stats", fr.sql(fr.TOKENS, _CHOSEN + (
     ", pg as (select stem, page_index, count(*) wc, bool_or(used_ocr) o from chosen group by 1, 2) select stem, count(*) pages, "
     "cast(sum(wc) as bigint) words_total, count(*) filter (o) ocr_pages from pg group by rollup(stem)")))
@@ -221,6 +230,22 @@ def statement_content(spark, folder):
         "doc_id", fl.statement_score(F.col("text")).alias("score"), fl.is_statement_text(F.col("text")).alias("keep"))
 
 
+@query("flt2_scoring_counts", fr.sql(fr.FILES, (
+    f", sc as (select text, {_score_sql('text')} score from files) select count(*) filter (text is null) no_text, "
+    "count(*) filter (text is not null and score is null) too_short, count(score) scored, count(*) filter (score >= 2) kept from sc")))
+def scoring_counts(spark, folder):
+    return fl.scoring_counts(dv.statement_files(spark, folder))
+
+
+@query("flt3_candidate_counts", fr.sql(fr.FILES, (
+    f"select case when size is null or size < 10000 then 'small' when {any_of('lower(name)', lx.NON_CANDIDATE_NAMES)} then 'name' "
+    "when text is null or length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50 then 'short_text' "
+    "when doc_id % 10 = 4 then 'known' else 'kept' end fate, count(*) n from files group by 1")))
+def candidate_counts(spark, folder):
+    files = dv.statement_files(spark, folder)
+    return fl.candidate_counts(files, files.filter(F.col("doc_id") % 10 == 4))
+
+
 @query("flt3_candidate_files", fr.sql(fr.FILES, (
     f"select doc_id, name from files where size >= 10000 and not {any_of('lower(name)', lx.NON_CANDIDATE_NAMES)} and "
     "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 50 and doc_id % 10 <> 4")))

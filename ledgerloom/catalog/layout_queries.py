@@ -115,6 +115,13 @@ def trim_sections(spark, folder):
     return ly.trim_sections(tokens(spark, folder)).select("stem", "page_index", "pos", "text")
 
 
+@query("lay6_trimmed_counts", fr.sql(fr.TOKENS, _TRIM + (
+    "select count(*) filter (pos < s) preamble, count(*) filter (pos >= s and (e is null or pos < e)) kept, "
+    "count(*) filter (pos >= s and pos >= e) closing from tokens join tst using (stem, page_index) left join en using (stem, page_index)")))
+def trimmed_counts(spark, folder):
+    return ly.trimmed_counts(tokens(spark, folder))
+
+
 def _phrase(p, kind):
     before = f"substr(txt, 1, instr(txt, {lit(p)}) - 1)"
     return (f"case when contains(txt, {lit(p)}) then [{{'pos': length({before}) - length(replace({before}, ' ', '')), 'type': '{kind}'}}] "

@@ -21,30 +21,51 @@ def is_statement_name(url: Column) -> Column:
             & (F.length(F.replace(name, F.lit(".pdf"), F.lit(""))) >= 3))
 
 
-def statement_score(text: Column) -> Column:
-    """Number of statement indicators in the text, 0-5; null for too little text (FLT2)."""
+def statement_score(text: Column, min_chars: int = lx.MIN_STATEMENT_TEXT) -> Column:
+    """Number of statement indicators in the text, 0-5; null for a text of under ``min_chars`` characters (FLT2)."""
     dollars = text.contains("$") & (F.regexp_count(text, F.lit(lx.DOLLARS)) >= 3)
 
     def score(lower: Column) -> Column:
         hits = sum((lower.contains(w).cast("int") for w in lx.CONTENT_TXN), F.lit(0))
         signs = [contains_any_long(lower, words) for words in (lx.CONTENT_BANK, lx.CONTENT_ACCOUNT, lx.CONTENT_PERIOD)]
         total = sum((sign.cast("int") for sign in [*signs, hits >= 3, dollars]), F.lit(0))
-        return F.when(F.length(strip(lower)) >= lx.MIN_STATEMENT_TEXT, total)
+        return F.when(F.length(strip(lower)) >= min_chars, total)
 
     return bind(F.lower(text), score)
 
 
-def is_statement_text(text: Column) -> Column:
-    return F.coalesce(statement_score(text) >= 2, F.lit(False))
+def is_statement_text(text: Column, min_chars: int = lx.MIN_STATEMENT_TEXT) -> Column:
+    return F.coalesce(statement_score(text, min_chars) >= 2, F.lit(False))
 
 
-def candidate_files(files: DataFrame, existing: DataFrame) -> DataFrame:
+def scoring_counts(files: DataFrame, min_chars: int = lx.MIN_STATEMENT_TEXT) -> DataFrame:
+    """Files without a text, with one too short for a score, with a score and with enough indicators (FLT2)."""
+    scored = files.select(F.col("text").isNull().alias("none"), statement_score(F.col("text"), min_chars).alias("score"))
+    return scored.agg(F.count_if("none").alias("no_text"), F.count_if(~F.col("none") & F.col("score").isNull()).alias("too_short"),
+                      F.count("score").alias("scored"), F.count_if(F.col("score") >= 2).alias("kept"))
+
+
+def _candidate_tests(min_bytes: int, min_chars: int) -> dict[str, Column]:
+    """What a candidate must pass, by the name of the reason to remove it."""
+    return {"small": F.col("size") >= min_bytes, "name": ~contains_any(F.lower("name"), lx.NON_CANDIDATE_NAMES),
+            "short_text": F.length(strip(F.col("text"))) >= min_chars}
+
+
+def candidate_files(files: DataFrame, existing: DataFrame, min_bytes: int = lx.MIN_PDF_BYTES,
+                    min_chars: int = lx.MIN_CANDIDATE_TEXT) -> DataFrame:
     """New files worth scanning: unknown name, big enough, plausible name, readable text (FLT3)."""
-    name = F.lower("name")
-    text = strip(F.col("text"))
-    return (files.filter((F.col("size") >= lx.MIN_PDF_BYTES) & ~contains_any(name, lx.NON_CANDIDATE_NAMES)
-                         & (F.length(text) >= lx.MIN_CANDIDATE_TEXT))
-            .join(existing.select("name"), "name", "left_anti"))
+    tests = _candidate_tests(min_bytes, min_chars)
+    return files.filter(tests["small"] & tests["name"] & tests["short_text"]).join(existing.select("name"), "name", "left_anti")
+
+
+def candidate_counts(files: DataFrame, existing: DataFrame, min_bytes: int = lx.MIN_PDF_BYTES,
+                     min_chars: int = lx.MIN_CANDIDATE_TEXT) -> DataFrame:
+    """Files per ``fate``: the first test that removes them, ``known`` or ``kept``; a test of a null fails (FLT3)."""
+    held = existing.select(F.col("name").alias("_known")).distinct()
+    fate = F.when(F.col("_known").isNotNull(), "known").otherwise("kept")
+    for reason, passed in reversed(_candidate_tests(min_bytes, min_chars).items()):
+        fate = F.when(F.coalesce(passed, F.lit(False)), fate).otherwise(reason)
+    return files.join(held, F.col("name") == F.col("_known"), "left").groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def training_filter(pages: DataFrame, labelled: DataFrame | None = None, min_alignment: float = 50.0,

@@ -41,17 +41,28 @@ def clean_tokens(tokens: DataFrame, ocr: bool) -> DataFrame:
     return kept.filter(F.col("ocr_conf").cast("int") >= lx.MIN_OCR_CONFIDENCE) if ocr else kept
 
 
-def choose_words(native: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Per page the native tokens, or OCR tokens when natives are few and OCR has more (SRC7)."""
+def choose_words(native: DataFrame, ocr: DataFrame, min_native: int = lx.MIN_NATIVE_WORDS) -> DataFrame:
+    """Per page the native tokens, or OCR tokens when there are under ``min_native`` and OCR has more (SRC7)."""
     both = native.withColumn("used_ocr", F.lit(False)).unionByName(
         ocr.withColumn("used_ocr", F.lit(True)), allowMissingColumns=True)
     page = Window.partitionBy("stem", "page_index")
     n_native = F.count_if(~F.col("used_ocr")).over(page)
     n_ocr = F.count_if(F.col("used_ocr")).over(page)
-    wants_ocr = (n_native < lx.MIN_NATIVE_WORDS) & (n_ocr > n_native)
+    wants_ocr = (n_native < min_native) & (n_ocr > n_native)
     return both.withColumn("_ocr", wants_ocr).filter(F.col("used_ocr") == F.col("_ocr")).drop("_ocr")
 
 
+def word_choices(native: DataFrame, ocr: DataFrame, min_native: int = lx.MIN_NATIVE_WORDS) -> DataFrame:
+    """Pages, those read by OCR, and the tokens of either source that ``choose_words`` leaves out (SRC7)."""
+    page = ["stem", "page_index"]
+    both = native.select(*page, F.lit(1).alias("n"), F.lit(0).alias("o")).unionByName(ocr.select(*page, F.lit(0).alias("n"), F.lit(1).alias("o")))
+    sizes = both.groupBy(*page).agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
+    by_ocr = (F.col("n") < min_native) & (F.col("o") > F.col("n"))
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0))
+    return sizes.agg(F.count(F.lit(1)).alias("pages"), F.count_if(by_ocr).alias("ocr_pages"),
+                     total(by_ocr, "n").alias("native_left_out"), total(~by_ocr, "o").alias("ocr_left_out"))
+
+
 def extraction_stats(pages: DataFrame) -> DataFrame:
     """Pages, words and OCR pages per statement plus a grand total with a null stem (SRC8)."""
     return pages.rollup("stem").agg(

@@ -122,8 +122,8 @@ def page_columns(flagged: DataFrame) -> DataFrame:
     return located.groupBy(*PAGE).agg(*[F.first(f"{kind}_x").alias(f"{kind}_x") for kind in lx.DEFAULT_COLUMNS])
 
 
-def trim_sections(tokens: DataFrame) -> DataFrame:
-    """Keep the transaction area of each page (LAY6); positions stay those of the full page.
+def _with_area(tokens: DataFrame, min_preamble: int) -> DataFrame:
+    """Tokens with the positions ``_start`` and ``_stop`` (null: none) of their page's transaction area.
 
     Header phrases are compared with two- to four-token runs.
     """
@@ -142,11 +142,26 @@ def trim_sections(tokens: DataFrame) -> DataFrame:
     firsts = [F.coalesce(F.min(F.when(F.col(f"_g{len(h.split())}") == h, F.col("pos"))).over(page), F.lit(0))
               for h in lx.TXN_START_HEADERS]
     staged = grams.withColumn("_start", F.greatest(*firsts)).withColumn(
-        "_start", F.when(F.col("_start") < lx.MIN_PREAMBLE, 0).otherwise(F.col("_start")))
+        "_start", F.when(F.col("_start") < min_preamble, 0).otherwise(F.col("_start")))
     stop = F.min(F.when(at_header(lx.TXN_END_HEADERS) & (F.col("pos") >= F.col("_start")), F.col("pos"))).over(page)
-    return (staged.withColumn("_stop", stop)
-            .filter((F.col("pos") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))))
-            .drop("_start", "_stop", "_g1", "_g2", "_g3", "_g4"))
+    return staged.withColumn("_stop", stop).drop("_g1", "_g2", "_g3", "_g4")
+
+
+def trim_sections(tokens: DataFrame, min_preamble: int = lx.MIN_PREAMBLE) -> DataFrame:
+    """Keep the transaction area of each page (LAY6); positions stay those of the full page.
+
+    What precedes the area stays if it has under ``min_preamble`` tokens.
+    """
+    inside = (F.col("pos") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
+    return _with_area(tokens, min_preamble).filter(inside).drop("_start", "_stop")
+
+
+def trimmed_counts(tokens: DataFrame, min_preamble: int = lx.MIN_PREAMBLE) -> DataFrame:
+    """Tokens before, in and after the transaction areas (LAY6)."""
+    before = F.col("pos") < F.col("_start")
+    after = ~before & F.coalesce(F.col("pos") >= F.col("_stop"), F.lit(False))
+    return _with_area(tokens, min_preamble).agg(F.count_if(before).alias("preamble"), F.count_if(~before & ~after).alias("kept"),
+                                                F.count_if(after).alias("closing"))
 
 
 def page_arrays(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import align, banks, evaluate, feedback, ingest, labelling, responses, summary, tagging
+from ledgerloom.functions import lexicon as lx
+from ledgerloom.operators import align, banks, evaluate, feedback, filters, ingest, labelling, layout, responses, summary, tagging
 from ledgerloom.operators import transactions as tx
 from ledgerloom.session import shared_dir
 
@@ -111,3 +112,38 @@ class NoSharedFolder:
 def test_unset_shared_folder_raises():
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(NoSharedFolder)
+
+
+def test_thresholds_are_arguments_and_what_they_remove_is_counted(spark):
+    long = "statement of your account " * 10
+    rows = [("a.pdf", 20_000, long), ("b.pdf", 9_999, long), ("c.pdf", None, long), ("d.pdf", 20_000, "short"), ("e.pdf", 20_000, None),
+            (None, 20_000, long), ("f.pdf", 20_000, long)]
+    files = spark.createDataFrame(rows, "name string, size long, text string")
+    known = files.filter("name = 'f.pdf'")
+    fates = lambda **kw: {r.fate: r.n for r in filters.candidate_counts(files, known, **kw).collect()}
+    assert fates() == {"kept": 1, "small": 2, "short_text": 2, "name": 1, "known": 1}
+    assert fates(min_bytes=1, min_chars=1) == {"kept": 3, "small": 1, "short_text": 1, "name": 1, "known": 1}
+    for kw in ({}, {"min_bytes": 1, "min_chars": 1}):
+        assert filters.candidate_files(files, known, **kw).count() == fates(**kw)["kept"]
+    assert tuple(filters.scoring_counts(files).first())[:3] == (1, 1, 5)
+    assert tuple(filters.scoring_counts(files, min_chars=0).first())[:3] == (1, 0, 6)
+    words = spark.createDataFrame([("s", p, k, f"w{k}") for p, n in ((0, 5), (1, 25)) for k in range(n)], "stem string, page_index int, pos int, text string")
+    more = spark.createDataFrame([("s", p, k, f"w{k}") for p, n in ((0, 9), (1, 30)) for k in range(n)], words.schema)
+    assert tuple(ingest.word_choices(words, more).first()) == (2, 1, 5, 30)
+    assert tuple(ingest.word_choices(words, more, min_native=100).first()) == (2, 2, 30, 0)
+    for least in (20, 100):
+        kept = ingest.choose_words(words, more, least)
+        left_out = ingest.word_choices(words, more, least).first()
+        assert kept.filter("not used_ocr").count() == 30 - left_out.native_left_out
+        assert kept.filter("used_ocr").count() == 39 - left_out.ocr_left_out
+    empty = words.limit(0)
+    assert tuple(ingest.word_choices(empty, empty).first()) == (0, 0, 0, 0)
+
+
+def test_a_short_preamble_stays_unless_asked_otherwise(spark):
+    header = lx.TXN_START_HEADERS[0].split()
+    page = [*["x"] * 10, *header, "paid", "rent"]
+    tokens = spark.createDataFrame([("s", 0, k, t) for k, t in enumerate(page)], "stem string, page_index int, pos int, text string")
+    assert tuple(layout.trimmed_counts(tokens).first()) == (0, len(page), 0)
+    assert tuple(layout.trimmed_counts(tokens, min_preamble=10).first()) == (10, len(page) - 10, 0)
+    assert layout.trim_sections(tokens).count() == len(page) and layout.trim_sections(tokens, 10).count() == len(page) - 10
