@@ -61,11 +61,15 @@ def candidate_files(files: DataFrame, existing: DataFrame, min_bytes: int = lx.M
 def candidate_counts(files: DataFrame, existing: DataFrame, min_bytes: int = lx.MIN_PDF_BYTES,
                      min_chars: int = lx.MIN_CANDIDATE_TEXT) -> DataFrame:
     """Files per ``fate``: the first test that removes them, ``known`` or ``kept``; a test of a null fails (FLT3)."""
-    held = existing.select(F.col("name").alias("_known")).distinct()
-    fate = F.when(F.col("_known").isNotNull(), "known").otherwise("kept")
+    fate = F.lit(None).cast("string")
     for reason, passed in reversed(_candidate_tests(min_bytes, min_chars).items()):
         fate = F.when(F.coalesce(passed, F.lit(False)), fate).otherwise(reason)
-    return files.join(held, F.col("name") == F.col("_known"), "left").groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
+    # counted by name before the join, so that no text is shuffled
+    tested = files.select("name", fate.alias("_fate")).groupBy("name", "_fate").agg(F.count(F.lit(1)).alias("_n"))
+    held = existing.select(F.col("name").alias("_known")).distinct()
+    known = F.when(F.col("_known").isNotNull(), "known").otherwise("kept")
+    return (tested.join(held, F.col("name") == F.col("_known"), "left").groupBy(F.coalesce("_fate", known).alias("fate"))
+            .agg(F.sum("_n").alias("n")))
 
 
 def training_filter(pages: DataFrame, labelled: DataFrame | None = None, min_alignment: float = 50.0,
