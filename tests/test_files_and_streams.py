@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerloom.sources import derive as dv
 from ledgerloom.sources import files as fs
 from ledgerloom.streaming import jobs
@@ -146,6 +147,17 @@ def test_monthly_stream_equals_batch(spark, tmp_path):
     assert key(jobs.merge_months(streamed)) == key(jobs.merge_months(deltas(orders)))
 
 
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_streamed_table_of_several_files(spark, tmp_path, parts):
+    """A table is a folder of files where it is large; the trigger counts the pages of all of them, or of none."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    (docs.repartition(parts) if parts else docs.limit(0)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(7).write.parquet(str(tmp_path / "other.parquet"))
+    row = entry.queries()["str4_retrain_trigger"](spark, str(tmp_path)).collect()
+    due = docs.filter(F.floor(F.col("doc_id") / 5) % 4 == 0).count() if parts else 0
+    assert [tuple(r) for r in row] == [(due, due >= 50)]
+
+
 def test_each_fingerprint_once(spark, tmp_path):
     _, stream = split_orders(spark, tmp_path)
     events = stream.select((F.col("o_custkey") % 7).alias("pdf_hash"), F.col("o_orderdate").cast("timestamp").alias("ts"))
