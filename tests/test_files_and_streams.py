@@ -34,6 +34,19 @@ def test_page_folders(spark, tmp_path):
     assert bio.tags == ["O"] and bio.tag_counts == {"O": 1}
 
 
+def test_pages_are_written_where_they_are_read(spark, tmp_path):
+    """One file per page, named by the task that wrote it, below a folder per statement; odd stems included."""
+    stems = ["a b", "x/y", "50%", None, ""]
+    tokens = spark.createDataFrame([(s, p, i, f"w{i}", 1, 2, 3, 4, 5.0, 6.0) for s in stems for p in (0, 11) for i in range(2)],
+                                   "stem string, page_index int, pos int, text string, x0 int, y0 int, x1 int, y1 int, top double, bottom double")
+    fs.write_page_files(fs.word_pages(tokens).withColumn("pdf", F.col("stem")), str(tmp_path / "out"))
+    names = sorted(str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*.json"))
+    assert len(names) == 10 and "a b/page_11_words.json" in names
+    read = fs.read_pages(spark, str(tmp_path / "out")).collect()
+    assert sorted((str(r.pdf), r.page_index, [w.text for w in r.words]) for r in read) == sorted(
+        (str(s), p, ["w0", "w1"]) for s in stems for p in (0, 11))
+
+
 def test_feedback_files(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"pdf_hash": "h", "bank_format": "Chase", "flagged_details": [{"page": 1, "description": "x", "confidence": 0.5}]}, indent=1))
     row = fs.read_feedback(spark, str(tmp_path)).collect()[0]
