@@ -98,9 +98,17 @@ def token_features(tokens: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(staged).drop(*names)
 
 
+def with_weights(featured: DataFrame, weights: DataFrame) -> DataFrame:
+    """The ``weight`` of each token's ``true_tag``.
+
+    The nine weights are broadcast: dealt by tag, tokens would lie in nine partitions, one of them with most of them.
+    """
+    return featured.join(F.broadcast(weights.withColumnRenamed("tag", "true_tag")), "true_tag")
+
+
 def fit_tagger(featured: DataFrame, weights: DataFrame) -> PipelineModel:
     """Token tagger on ``features, true_tag`` with class ``weights`` per tag (TAG10)."""
-    weighted = featured.join(weights.withColumnRenamed("tag", "true_tag"), "true_tag")
+    weighted = with_weights(featured, weights)
     return Pipeline(stages=[
         StringIndexer(inputCol="true_tag", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         LogisticRegression(family="multinomial", weightCol="weight", maxIter=15)]).fit(weighted)

@@ -6,9 +6,15 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerloom.functions import lexicon as lx
 from ledgerloom.operators import learn as ml
+from ledgerloom.operators import scale
+from ledgerloom.sources import derive as dv
+
+SMALL = "/root/testdata/sf0.001"
 
 SCHEMA = "k long, amount decimal(18,2), page int, description string"
 
@@ -45,3 +51,27 @@ def test_text_features_equal_a_plain_count(spark, size):
 def test_no_samples_have_no_terms(spark):
     samples = spark.createDataFrame([], SCHEMA)
     assert ml.fit_text_terms(samples) == [] and ml.type_features(samples, []).count() == 0
+
+
+def test_tokens_are_not_dealt_by_tag(spark):
+    tokens = spark.range(50_000).select("id", F.when(F.col("id") % 10 < 8, "O").otherwise("B-DATE").alias("true_tag"))
+    histogram = tokens.groupBy(F.col("true_tag").alias("tag")).agg((F.count(F.lit(1)) / 50_000).alias("weight"))
+    plan = ml.with_weights(tokens, histogram)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tagger_facts_count_every_token(spark):
+    rows = entry.queries()["tag10_model_facts"](spark, SMALL).collect()
+    assert sum(r.n for r in rows) == dv.statement_tokens(spark, SMALL).count()
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
+    """Whole statements, about as many orders in a task however many there are; adaptive execution would join them up."""
+    for rows, parts in ((3_000, 1), (90_000, 4), (390_000, 7)):
+        folder = tmp_path / str(rows)
+        spark.read.parquet(f"{SMALL}/orders.parquet").limit(1).drop("o_orderkey").crossJoin(
+            spark.range(rows).withColumnRenamed("id", "o_orderkey")).write.parquet(str(folder / "orders.parquet"))
+        tasks = dv.statement_txns(spark, str(folder)).groupBy("stem", F.spark_partition_id().alias("task")).count().groupBy("task").agg(
+            F.sum("count").alias("n"), F.max("count").alias("largest")).collect()
+        assert len(tasks) == parts and sum(t.n for t in tasks) == rows and max(t.n for t in tasks) < 1.5 * scale.ROWS_PER_TASK
+        assert min(t.largest for t in tasks) == 100
