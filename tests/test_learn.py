@@ -67,7 +67,7 @@ def test_tagger_facts_count_every_token(spark):
 
 def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
     """Whole statements, about as many orders in a task however many there are; adaptive execution would join them up."""
-    for rows, parts in ((3_000, 1), (90_000, 4), (390_000, 7)):
+    for rows, parts in ((3_000, 1), (90_000, 4), (700_000, 6)):
         folder = tmp_path / str(rows)
         spark.read.parquet(f"{SMALL}/orders.parquet").limit(1).drop("o_orderkey").crossJoin(
             spark.range(rows).withColumnRenamed("id", "o_orderkey")).write.parquet(str(folder / "orders.parquet"))
