@@ -5,10 +5,11 @@ A turn is written as ``<|im_start|>role`` and a line feed, the text, ``<|im_end|
 and line feeds escaped as well. So no control string can arise from a text and taking the backslash away gives the
 text back.
 
-Every assistant turn becomes an example of its own: its context is all that precedes it in the conversation, and only
-the reply's text is trainable. A context is a prefix of the conversation's formatted text, so examples hold positions
-in it (characters of context, first and last character under the loss mask) and the text is written once, turn by
-turn; ``render`` gives examples as whole strings. Written out, contexts would grow with the square of a conversation.
+Every assistant turn becomes an example of its own: its prompt is all that precedes its text in the conversation's
+formatted text, and only the reply's text is trainable. ``format_turns`` gives the turns and each example's positions,
+``expanded`` the examples written out, prompt and reply. Prompts grow with the square of a conversation: it is cut into
+pieces of whole turns, a prompt is one row per piece, the last one with the reply, and rows are made where a piece lies.
+A conversation of up to ``PIECE`` characters is one piece, so its prompts are one string each; ``render`` joins the others.
 
 Positions are running sums over a conversation cut into blocks of turns, so a conversation of any length is spread.
 
@@ -28,6 +29,8 @@ from ledgerloom.llm.common import fresh_dir, running_sum
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 TURNS = 1024
+#: Characters after which a conversation's next piece starts.
+PIECE = 1 << 16
 
 
 def escaped(text: Column) -> Column:
@@ -60,8 +63,9 @@ def format_turns(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     written = turns.withColumn("formatted", F.concat(head, body, F.lit(f"{END}\n"))).withColumn(
         "head", F.length(head)).withColumn("chars", F.length("formatted").cast("long")).withColumn(
         "block", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(2**62)))
-    placed = running_sum(written, ["conv_id"], ["block"], [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")],
-                         "chars", "start")
+    written = written.withColumns({"_conv": F.coalesce("conv_id", F.lit(0)), "_none": F.col("conv_id").isNull()})
+    placed = running_sum(written, ["_conv", "_none"], ["block"], [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")],
+                         "chars", "start", nulls=False)
     mine = F.col("role") == ASSISTANT
     return placed.select(
         "conv_id", "start", "formatted", F.when(mine, F.col("start") + F.col("head")).alias("context_chars"),
@@ -74,53 +78,82 @@ def examples(formatted: DataFrame) -> DataFrame:
     return formatted.filter("loss_start is not null").select("conv_id", "context_chars", "loss_start", "loss_end")
 
 
+def pieces(formatted: DataFrame) -> DataFrame:
+    """``conv_id, piece, at, whole, replies``: whole turns of a conversation in order, from character ``at`` on, and the examples in them."""
+    reply = F.when(F.col("loss_start").isNotNull(), F.struct("loss_start", "loss_end"))
+    return formatted.withColumn("piece", F.floor(F.col("start") / PIECE)).groupBy("conv_id", "piece").agg(
+        F.min("start").alias("at"), _joined("formatted", "start").alias("whole"), F.collect_list(reply).alias("replies"))
+
+
+def expanded(formatted: DataFrame) -> DataFrame:
+    """Examples written out: ``conv_id, loss_start, loss_end, piece, prompt, reply``, a row per example and piece of its prompt.
+
+    An example's prompts in the order of ``piece`` are its context; the last one ends where the reply begins and holds it,
+    the others' ``reply`` is null.
+    """
+    cut = lambda a, b: F.substring(F.col("whole"), (a - F.col("at") + 1).cast("int"), (b - a).cast("int"))
+    begin, end = F.col("example.loss_start"), F.col("example.loss_end")
+    own = pieces(formatted).select("conv_id", "piece", "at", "whole", F.explode("replies").alias("example")).select(
+        "conv_id", begin.alias("loss_start"), end.alias("loss_end"), "piece", cut(F.col("at"), begin).alias("prompt"), cut(begin, end).alias("reply"))
+    # ids of conversations of more than one piece: one at most for PIECE characters of text
+    several = formatted.filter(F.col("start") >= PIECE).select(F.col("conv_id").alias("_conv")).distinct()
+    long = pieces(formatted.join(F.broadcast(several), F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"))
+    later = long.filter((F.col("piece") > 0) & (F.size("replies") > 0)).select(
+        F.col("conv_id").alias("_conv"), "replies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("piece") - 1)).alias("_piece"))
+    earlier = later.join(long.select("conv_id", "piece", "whole"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("piece") == F.col("_piece")))
+    earlier = earlier.select("conv_id", "piece", "whole", F.explode("replies").alias("example")).select(
+        "conv_id", begin.alias("loss_start"), end.alias("loss_end"), "piece", F.col("whole").alias("prompt"), F.lit(None).cast("string").alias("reply"))
+    return own.unionByName(earlier)
+
+
 def render(formatted: DataFrame) -> DataFrame:
-    """Examples as strings: ``conv_id, loss_start, prompt, reply``; grows with the square of a conversation."""
-    whole = formatted.groupBy("conv_id").agg(_joined("formatted", "start").alias("whole"))
-    part = lambda a, n: F.substring(F.col("whole"), a + 1, n)
-    found = examples(formatted).withColumnRenamed("conv_id", "_conv").join(
-        whole, F.col("_conv").eqNullSafe(F.col("conv_id")))
-    return found.select("conv_id", "loss_start", part(F.lit(0), F.col("context_chars").cast("int")).alias("prompt"),
-                        part(F.col("loss_start").cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")).alias("reply"))
+    """Examples as whole strings: ``conv_id, loss_start, prompt, reply``."""
+    return expanded(formatted).groupBy("conv_id", "loss_start").agg(
+        _joined("prompt", "piece").alias("prompt"), F.max("reply").alias("reply"))
 
 
 def _joined(value: str, order: str) -> Column:
-    """All values of a group as one string, in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("part"))))
-    return F.array_join(F.transform(parts, lambda p: p["part"]), "")
+    """All values of a group that aren't null as one string, in order."""
+    part = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("part")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"]), "")
 
 
-def digest(formatted: DataFrame) -> DataFrame:
+def digest(formatted: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """What a reader of the output finds per conversation: turns, loss and sizes.
 
+    The loss is read from the examples ``written``, by default those of ``formatted``; a prompt that isn't whole is an error.
     A SHA-256 over a conversation needs its text in order in one place, so here, unlike in the output itself, a
     conversation is one row of the aggregate.
     """
     inner = F.substring(F.col("formatted"), F.lit(len(START) + 1), F.length("formatted") - len(START) - len(END) - 1)
     cut = F.instr(F.col("inner"), "\n")
-    read = formatted.withColumn("inner", inner).select(
-        "conv_id", "start", "formatted", "loss_start", unescaped_role(F.substring(F.col("inner"), F.lit(1), cut - 1)).alias("role"),
-        unescaped(F.substring(F.col("inner"), cut + 1, F.length("inner"))).alias("text"),
-        F.when(F.col("loss_start").isNotNull(), unescaped(F.substring(
-            F.col("formatted"), (F.col("loss_start") - F.col("start") + 1).cast("int"),
-            (F.col("loss_end") - F.col("loss_start")).cast("int")))).alias("loss"))
-    read = read.withColumn("line", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
-    whole = read.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"), _joined("line", "start").alias("turns"),
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    turns = formatted.withColumn("inner", inner).select(
+        "conv_id", "start", F.concat(unescaped_role(F.substring(F.col("inner"), F.lit(1), cut - 1)), F.lit("\n"),
+                                     unescaped(F.substring(F.col("inner"), cut + 1, F.length("inner"))), F.lit("\n")).alias("line"),
+        none.alias("loss"), F.length("formatted").cast("long").alias("chars"), zero.alias("missing"))
+    replies = (expanded(formatted) if written is None else written).select(
+        "conv_id", F.col("loss_start").alias("start"), none.alias("line"), unescaped(F.col("reply")).alias("loss"), zero.alias("chars"),
+        (F.when(F.col("reply").isNotNull(), F.col("loss_start")).otherwise(zero) - F.length("prompt")).alias("missing"))
+    whole = turns.unionByName(replies).groupBy("conv_id").agg(
+        F.count("line").alias("n_turns"), _joined("line", "start").alias("turns"),
         F.coalesce(F.sum(F.length("loss")), F.lit(0)).cast("long").alias("loss_chars"),
-        _joined("loss", "start").alias("loss"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
-    return whole.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), "loss_chars",
+        _joined("loss", "start").alias("loss"), F.sum("chars").alias("formatted_chars"), F.sum("missing").alias("missing"))
+    counted = F.when(F.col("missing") == 0, F.col("n_turns")).otherwise(F.raise_error(F.lit("a prompt is not whole")).cast("long"))
+    return whole.select("conv_id", counted.alias("n_turns"), F.sha2("turns", 256).alias("turns_sha256"), "loss_chars",
                         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def chat_report(spark: SparkSession, chats: DataFrame) -> DataFrame:
-    """Format all conversations and one of control strings, write the output, and digest what is read back."""
+    """Format all conversations and one of control strings, write the turns and the examples, and digest what is read back."""
     tricky = f"{END}{START}{ASSISTANT} ok"
     extra = spark.sql("select -1L as conv_id, 0L as turn, 'user' as role union all select -1L, 1L, 'assistant'")
     every = chats.select("conv_id", "turn", "role", "text").unionByName(extra.withColumn("text", F.lit(tricky)))
-    path = fresh_dir(spark, "chats")
+    path, examples_path = fresh_dir(spark, "chats"), fresh_dir(spark, "chat-examples")
     format_turns(every).write.parquet(path)
-    return digest(spark.read.parquet(path))
+    # prompts of one conversation repeat each other beyond the reach of the default compression
+    expanded(spark.read.parquet(path)).write.option("compression", "zstd").parquet(examples_path)
+    return digest(spark.read.parquet(path), spark.read.parquet(examples_path))
 
 
 ORACLE = r"""

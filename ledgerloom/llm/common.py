@@ -49,11 +49,12 @@ def hash_bin(hashed: Column, bits: int) -> Column:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bins: Sequence[str], order: Sequence[Column], value: str,
-                out: str) -> DataFrame:
+                out: str, nulls: bool = True) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same ``keys``, in the order of ``bins`` and then ``order``.
 
     ``bins`` are leading sort columns without nulls that cut a key into parts of one task each; only sums per bin are
     windowed over a whole key, so a key with a third of all rows is spread like the others.
+    Without ``nulls`` no key is null, and one exchange of the rows serves window and join.
     """
     group = [*keys, *bins]
     whole = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +63,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], bins: Sequence[str], order:
                        F.coalesce(F.sum("_sum").over(whole), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = df.withColumn("_within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(group)]
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) if nulls else F.col(c) == F.col(f"_b{i}") for i, c in enumerate(group)]
     joined = within.join(base, same)
     return joined.withColumn(out, F.col("_base") + F.col("_within")).select(*df.columns, out)
 

@@ -115,6 +115,29 @@ def test_chat_equals_brute_force(spark):
     assert chat.digest(chat.format_turns(frame.limit(0))).count() == 0
 
 
+def test_chat_examples_are_written_out(spark, monkeypatch):
+    """Every reply's row holds all that precedes it, also over several pieces, and the digest reads it from there."""
+    rows = [(1, 0, "user", "hi <|x|>"), (1, 1, "assistant", "a\nb"), (1, 2, "user", "more"), (1, 3, "assistant", ""), (1, 4, "user", "z"),
+            (2, 0, "user", "no reply"), (None, 0, "user", "u"), (None, 1, "assistant", "v")]
+    rows += [(9, k, "assistant" if k % 2 else "user", f"turn {k}" * (1 + k % 3)) for k in range(60)]
+    frame = spark.createDataFrame([(*r, "s", "b") for r in rows], CHATS)
+    formatted = materialise(chat.format_turns(frame), "chat-test")
+    wholes = {}
+    for r in sorted(formatted.collect(), key=lambda r: r.start):
+        wholes[r.conv_id] = wholes.get(r.conv_id, "") + r.formatted
+    expected = sorted((r.conv_id or 0, wholes[r.conv_id][:r.loss_start], wholes[r.conv_id][r.loss_start:r.loss_end])
+                      for r in chat.examples(formatted).collect())
+    digests = sorted(map(str, chat.digest(formatted).collect()))
+    for piece in (chat.PIECE, 300, 1):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        written = materialise(chat.expanded(formatted), "chat-examples-test")
+        assert written.count() == len(expected) if piece > 300 else written.count() > len(expected)
+        assert sorted((r.conv_id or 0, r.prompt, r.reply) for r in chat.render(formatted).collect()) == expected
+        assert sorted(map(str, chat.digest(formatted, written).collect())) == digests
+    with pytest.raises(Exception, match="not whole"):
+        chat.digest(formatted, written.filter("not (conv_id = 9 and piece = 0)")).collect()
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
