@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ledgerloom.functions import lexicon as lx
 from ledgerloom.operators import learn as ml
-from ledgerloom.operators import scale
+from ledgerloom.operators import scale, tagging
 from ledgerloom.sources import derive as dv
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +75,16 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
             F.sum("count").alias("n"), F.max("count").alias("largest")).collect()
         assert len(tasks) == parts and sum(t.n for t in tasks) == rows and max(t.n for t in tasks) < 1.5 * scale.ROWS_PER_TASK
         assert min(t.largest for t in tasks) == 100
+
+
+def test_token_tasks_are_smaller_and_sorted_less(spark, tmp_path):
+    """Tokens are dealt by half as many orders as transactions; rule tags and the decoder need no sort of their own for page windows."""
+    spark.read.parquet(f"{SMALL}/orders.parquet").limit(1).drop("o_orderkey").crossJoin(
+        spark.range(650_000).withColumnRenamed("id", "o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tokens = dv.statement_tokens(spark, str(tmp_path))
+    assert re.findall(r"hashpartitioning\(stem#\d+, (\d+)\), REPARTITION_BY_NUM", plan(tokens)) == ["11"]
+    own = plan(tokens).count("Sort [")
+    assert plan(tagging.rule_tags(tokens)).count("Sort [") == own + 2
+    predicted = tokens.withColumn("tag", F.col("pred_tag")).repartition(3, "stem")
+    assert plan(tagging.decode(predicted)).count("Sort [") == own + 2
