@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise, shared_dir, ship_package
 
-__all__ = ["WORD", "counted_join", "fresh_dir", "hash_bin", "id_order", "materialise", "null_last", "read", "running_sum", "shared_dir", "ship_package",
+__all__ = ["WORD", "counted_join", "fresh_dir", "hash_bin", "id_order", "let_go", "materialise", "null_last", "once_per_worker", "read", "running_sum", "shared_dir", "ship_package",
            "shuffle_parts", "store", "word_count"]
 
 #: A word: a run of characters that are neither the space nor one of U+0009 to U+000D.
@@ -102,6 +106,29 @@ def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+#: Cached builders of models; a worker process outlives its tasks and would hold whatever any of them built.
+_MODELS: list = []
+
+
+def once_per_worker(build: Callable) -> Callable:
+    """``build`` with its last result kept by the worker process until a task there calls ``let_go``."""
+    kept = functools.lru_cache(maxsize=1)(build)
+    _MODELS.append(kept)
+    return kept
+
+
+def let_go(*but: Callable) -> None:
+    """Drop the models that this worker process holds, except those of the given builders, and give their memory back."""
+    dropped = [model for model in _MODELS if model not in but and model.cache_info().currsize]
+    for model in dropped:
+        model.cache_clear()
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def single_thread() -> None:
     """Keep native tokenizer threads out of Spark's task slots."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -21,7 +21,6 @@ Extra columns are never looked at.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ship_package, texts_of
+from ledgerloom.llm.common import let_go, once_per_worker, ship_package, texts_of
 from ledgerloom.operators.scale import take_per_key
 
 SAMPLE_TEXTS, TEXT_CHARS, SAMPLE_CHARS = 96, 1000, 24_000
@@ -175,7 +174,7 @@ class Parser:
         return langs, np.array(scores, float), np.array(spans, float)
 
 
-@functools.cache
+@once_per_worker
 def parser_of(samples: tuple[tuple[str, str], ...]) -> Parser:
     """The automata of the samples, built once per worker process."""
     return Parser(samples)
@@ -216,6 +215,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     learned = samples(docs, doc_id, text, lang)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(parser_of)
         parser = parser_of(learned) if learned else None
         for batch in texts_of(batches, 1024):
             given = batch.column(1).to_pylist()
@@ -243,6 +243,7 @@ def keep_known(docs: DataFrame, min_phrase: float = MIN_PHRASE, doc_id: str = "d
     def phrase_chars(given: pd.Series) -> pd.Series:
         if not learned:
             return pd.Series(np.zeros(len(given)))
+        let_go(parser_of)
         names, _, spans = parser_of(learned).predict(given.where(given.notna(), None).tolist())
         return pd.Series(np.where(np.array(names, object) == UNKNOWN, 0.0, spans), dtype=float)
 

@@ -22,7 +22,6 @@ rows and null document ids stay rows. Extra columns are never looked at.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 import re
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ship_package, single_thread, texts_of
+from ledgerloom.llm.common import let_go, once_per_worker, ship_package, single_thread, texts_of
 
 BLANK = "▁"
 NBEST = 4
@@ -269,7 +268,7 @@ def edited(best: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> li
     return out + list(best[at:])
 
 
-@functools.cache
+@once_per_worker
 def model_of(path: str, remembered: int = CACHE) -> PieceModel:
     """The model, loaded once per worker process."""
     return PieceModel(path, remembered=remembered)
@@ -287,6 +286,7 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_i
     ship_package(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(model_of)
         loaded = model_of(model, remembered)
         for batch in texts_of(batches):
             given = [t or "" for t in batch.column(1).to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, ship_package, shuffle_parts, texts_of
+from ledgerloom.llm.common import let_go, materialise, ship_package, shuffle_parts, texts_of
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.simhash import LANES, QUERIES, SEED, VOTES, keep_least, shingle_hashes
 
@@ -192,6 +192,7 @@ def pairs(nodes: DataFrame, masks: list[tuple[int, int]], every: bool, salt: int
                      F.col("n").cast("long").alias("n"), "root", "parity"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         block: list[tuple[np.ndarray, np.ndarray]] = []
         last, lanes = None, 0
 
@@ -225,6 +226,7 @@ def verified(found: DataFrame, docs: DataFrame, places: DataFrame, doc_id: str,
     """The pairs ``(a, b)`` of ``found`` whose whole sets have similarity ``least``; ``places`` names a document per node."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in texts_of(batches):
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(t or "", shingle).tobytes() for t in batch.column(1).to_pylist()],
                                                              pa.binary())], ["node", "hashes"])
@@ -255,6 +257,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, least
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        let_go()
         for batch in texts_of(batches):
             sets = [shingle_set(t or "", shingle) for t in batch.column(2).to_pylist()]
             marks = [fingerprint(s) for s in sets]

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ledgerloom.llm import language, lines, pieces, similar, simhash, token_files
+from ledgerloom.llm import common, language, lines, pieces, similar, simhash, token_files
 from ledgerloom.llm.common import fresh_dir, read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -326,3 +326,15 @@ def test_pieces_odd_rows(docs_of, odd_rows):
     assert pieces.encode(docs_of([]), PIECES).count() == 0
 
 
+
+
+def test_a_worker_holds_one_model_and_lets_go_of_others():
+    """A worker outlives its stage: another sample replaces the automata, and another operator's task drops them."""
+    language.parser_of((("en", "some words"),))
+    language.parser_of((("en", "other words"), ("de", "andere")))
+    assert language.parser_of.cache_info().currsize == 1
+    pieces.model_of(PIECES)
+    common.let_go(language.parser_of)
+    assert (language.parser_of.cache_info().currsize, pieces.model_of.cache_info().currsize) == (1, 0)
+    common.let_go()
+    assert language.parser_of.cache_info().currsize == 0
