@@ -12,6 +12,7 @@ costs are its exact heuristic, so complete paths leave the agenda best first. Of
 ids, read from the end, is the best, and the others come in the order found. Pieces have the blank mark only in front and never a line feed inside, so every segmentation has
 cuts before a run of blank marks and around line feeds, and inside such a unit wherever no piece holds the two
 characters next to each other: the lattice is a chain of small ones, each solved once per distinct part and worker.
+The new parts of a batch of texts are solved together: one forward pass goes over all of them, place by place.
 A text's N best are found on the chain from the units where leaving the best costs least.
 
 Defined cases: a null text encodes like an empty one, to no pieces, with score 0 and no alternatives; a text that
@@ -42,6 +43,10 @@ NBEST = 4
 CACHE, LONG_UNIT = 1_000_000, 48
 #: Units whose N-best lists a worker remembers.
 WAYS = 20_000
+#: Parts of one forward pass over arrays, and the fewest that are worth one.
+TOGETHER, FEWEST = 8192, 32
+#: Characters of texts whose units are looked at together; a longer text stands alone.
+CHARS = 1 << 20
 NEVER = 1 << 62
 ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("edits", pa.list_(pa.struct(
     [("first", pa.int32()), ("removed", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
@@ -72,6 +77,7 @@ class PieceModel:
                 children[symbol] = (known[0], piece, price) if k == len(text) else known
                 children = known[0]
         self.neighbours = {p[k:k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
+        self.tables()
         self.longest = max(map(len, self.vocabulary))
         self.unknown_cost = max(c for _, c in self.vocabulary.values()) + 10_000_000
         self.unknown = sp.unk_id()
@@ -95,6 +101,23 @@ class PieceModel:
         self.ways: dict[tuple[str, int], list] = {}
         self.prefix = sp.normalize("x").startswith(BLANK)
 
+    def tables(self) -> None:
+        """The trie and the neighbours as sorted arrays, over symbols numbered from 1; 0 is any other character."""
+        self.symbols = sorted({c for p in self.vocabulary for c in p})
+        self.base = len(self.symbols) + 1
+        number = {c: k for k, c in enumerate(self.symbols, 1)}
+        self.symbols = np.array([ord(c) for c in self.symbols], np.int64)
+        self.near = np.array(sorted(number[p[0]] * self.base + number[p[1]] for p in self.neighbours), np.int64)
+        self.single = np.array([False, *(chr(c) in self.vocabulary for c in self.symbols.tolist())])
+        nodes, edges, queue = [(-1, 0)], [], [(0, self.trie)]
+        for state, children in queue:
+            for symbol, (below, piece, cost) in children.items():
+                edges.append((state * self.base + number[symbol], len(nodes)))
+                queue.append((len(nodes), below))
+                nodes.append((piece, cost))
+        self.steps, self.targets = np.array(sorted(edges) or [(-1, 0)], np.int64).T.copy()
+        self.node_piece, self.node_cost = np.array([n[0] for n in nodes], np.int32), np.array([n[1] for n in nodes], np.int64)
+
     def spelt(self, symbol: str) -> tuple[int, ...]:
         """Ids, last first, of a character without a piece."""
         raw = symbol.encode("utf-8", "surrogatepass")
@@ -217,22 +240,108 @@ class PieceModel:
                                      min([k[2] for k in known])))
         return found
 
+    def forward_all(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, int, int]]:
+        """``part`` for parts of a row of symbols, longest first, all of whose characters are pieces: the passes of ``forward`` side by side."""
+        rows, longest = len(starts), int(sizes[0])
+        inside = np.arange(longest)[:, None] < sizes
+        text = np.where(inside, symbols[np.minimum(starts + np.arange(longest)[:, None], len(symbols) - 1)], 0)
+        least, second = np.full((2, longest + 1, rows), NEVER, np.int64)
+        least[0] = 0
+        back, came = np.zeros((longest + 1, rows), np.int32), np.zeros((longest + 1, rows), np.int32)
+        for i in range(longest):
+            at, state = np.arange(np.searchsorted(-sizes, -i)), 0
+            for j in range(i + 1, min(longest, i + self.longest) + 1):
+                # Symbol 0 is also what follows a part's end, and no step has it.
+                wanted = state * self.base + text[j - 1, at]
+                place = np.minimum(np.searchsorted(self.steps, wanted), len(self.steps) - 1)
+                known = self.steps[place] == wanted
+                at, state = at[known], self.targets[place[known]]
+                if not len(at):
+                    break
+                ends = self.node_piece[state] >= 0
+                to, piece, cost = at[ends], self.node_piece[state[ends]], self.node_cost[state[ends]]
+                done, best, before = least[i, to] + cost, least[j, to], back[j, to]
+                less = done < best
+                second[j, to] = np.where(less, np.minimum(best, second[i, to] + cost), np.minimum(second[j, to], done))
+                least[j, to] = np.minimum(done, best)
+                won = less | ((done == best) & (piece < before))
+                back[j, to] = np.where(won, piece, before)
+                came[j, to[won]] = i
+        ids, first = np.zeros((rows, longest), self.kind), np.full(rows, longest)
+        live, place = np.arange(rows), sizes.copy()
+        while len(live):
+            first[live] -= 1
+            ids[live, first[live]] = back[place, live]
+            place = came[place, live]
+            live, place = live[place > 0], place[place > 0]
+        width = ids.itemsize
+        flat, every = ids.tobytes(), np.arange(rows)
+        cost, other = least[sizes, every], second[sizes, every]
+        gaps = np.where(other < NEVER, other - cost, NEVER)
+        stops = range(longest * width, (rows + 1) * longest * width, longest * width)
+        return [(flat[stop - (longest - a) * width:stop], c, g) for stop, a, c, g in zip(stops, first.tolist(), cost.tolist(), gaps.tolist())]
+
+    def meet(self, texts: list[list[str]]) -> None:
+        """Solve the units of some texts that aren't remembered, all new parts together.
+
+        Only what is remembered changes; units that stay out (long ones, rare characters) are solved when they are encoded.
+        """
+        memory = self.memory
+        new = [u for u in set().union(*texts) if u not in memory and len(u) <= LONG_UNIT]
+        if len(new) < FEWEST:
+            return
+        whole = "".join(new)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        symbols = np.minimum(np.searchsorted(self.symbols, codes), len(self.symbols) - 1)
+        symbols = np.where(self.symbols[symbols] == codes, symbols + 1, 0)
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = ~np.isin(symbols[:-1] * self.base + symbols[1:], self.near)
+        limits = np.cumsum([0, *map(len, new)])
+        cut[limits] = True
+        bounds = np.flatnonzero(cut)
+        listed = bounds.tolist()
+        parts = [whole[a:b] for a, b in zip(listed, listed[1:])]
+        found = {p: memory.get(p) for p in parts}
+        last = dict(zip(parts, range(len(parts))))
+        fresh = np.array([last[p] for p, f in found.items() if f is None], np.int64)
+        strange = np.concatenate([[0], np.cumsum(~self.single[symbols])])[bounds]
+        plain = fresh[strange[fresh] == strange[fresh + 1]]
+        sizes = np.diff(bounds)
+        plain = plain[np.argsort(-sizes[plain], kind="stable")]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k:k + TOGETHER]
+            for at, ids in zip(some.tolist(), self.forward_all(symbols, bounds[some], sizes[some])):
+                found[parts[at]] = self.keep(parts[at], ids)
+        ends = np.searchsorted(bounds, limits).tolist()
+        for unit, a, b in zip(new, ends, ends[1:]):
+            if b - a > 1:
+                known = [found[p] or self.part(p) for p in parts[a:b]]
+                ids, costs, gaps = zip(*known)
+                self.keep(unit, (b"".join(ids), sum(costs), min(gaps)))
+
+    def split(self, text: str) -> list[str]:
+        """The units of a text."""
+        return self.units(self.processor.normalize(text))
+
     def encode(self, text: str, n: int = NBEST) -> tuple[bytes, int, list[tuple[int, list[tuple[int, int, tuple]]]]]:
         """Best ids (packed), their cost, and up to ``n - 1`` further segmentations.
 
         Each of these is its cost and the edits that turn the best ids into its own: (first piece, pieces removed, ids put there).
         """
-        units = self.units(self.processor.normalize(text))
+        return self.encode_units(self.split(text), n)
+
+    def encode_units(self, units: list[str], n: int = NBEST) -> tuple[bytes, int, list[tuple[int, list[tuple[int, int, tuple]]]]]:
+        """``encode`` of a text's units."""
         if not units:
             return b"", 0, []
         known = list(map(self.memory.get, units))
         if None in known:
             known = [k or self.solved(u) for k, u in zip(known, units)]
-        cost = sum([k[1] for k in known])
-        ids = [k[0] for k in known]
+        ids, costs, gaps = zip(*known)
+        cost = sum(costs)
         if n < 2:
             return b"".join(ids), cost, []
-        gaps = np.array([k[2] for k in known])
+        gaps = np.array(gaps)
         if len(gaps) >= n:
             limit = np.partition(gaps, n - 2)[n - 2]
             near = np.flatnonzero(gaps <= limit)
@@ -268,6 +377,17 @@ def edited(best: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> li
     return out + list(best[at:])
 
 
+def in_runs(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
+    """Runs of consecutive texts of about so many characters."""
+    start = held = 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > chars:
+            yield texts[start:k]
+            start, held = k, 0
+        held += len(text)
+    yield texts[start:]
+
+
 @once_per_worker
 def model_of(path: str, remembered: int = CACHE) -> PieceModel:
     """The model, loaded once per worker process."""
@@ -290,7 +410,11 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_i
         loaded = model_of(model, remembered)
         for batch in texts_of(batches):
             given = [t or "" for t in batch.column(1).to_pylist()]
-            found = [loaded.encode(t, nbest) for t in given]
+            found = []
+            for some in in_runs(given):
+                units = list(map(loaded.split, some))
+                loaded.meet(units)
+                found += [loaded.encode_units(u, nbest) for u in units]
             values = np.frombuffer(b"".join([f[0] for f in found]), loaded.kind)
             ends = np.cumsum([0, *(len(f[0]) for f in found)]) // values.itemsize
             flat = values.tolist()

@@ -1,5 +1,6 @@
 """Line dedup, SimHash, language ID, token files, pieces: brute force on small tables, odd rows, empty tables."""
 
+import random
 import re
 import zlib
 
@@ -317,6 +318,29 @@ def test_nbest_equals_all_segmentations(model, text):
     assert model.decode(best) == text
 
 
+def test_new_parts_of_a_batch_are_solved_together(model, monkeypatch):
+    """The pass over arrays gives what the pass over one part gives, and parts of known characters need no pass of their own."""
+    draw, known = random.Random(5), sorted(model.vocabulary)
+    single = [p for p in known if len(p) == 1]
+    texts = ["".join(draw.choices(known, k=draw.randrange(9))) for _ in range(400)]
+    texts += ["".join(draw.choices([*single, " ", "\n", "\x01", "𝔘"], k=draw.randrange(60))) for _ in range(400)]
+    texts += ["a" * k for k in range(60)] + ["abc " * k for k in range(20)] + ["日" * k for k in range(5)]
+    alone, together = pieces.PieceModel(PIECES), pieces.PieceModel(PIECES, remembered=2_000)
+    wanted = [alone.encode(t) for t in texts]
+    assert [t for run in pieces.in_runs(texts, 500) for t in run] == texts
+    got = []
+    for some in pieces.in_runs(texts, 20_000):
+        units = list(map(together.split, some))
+        together.meet(units)
+        got += [together.encode_units(u) for u in units]
+    assert got == wanted
+    fresh = pieces.PieceModel(PIECES)
+    monkeypatch.setattr(fresh, "forward", None)
+    words = [[f"▁{a}{b}" for a in ("new", "der", "que", "the") for b in ("ing", "keit", "ción", "ment", "eaux", "ström", "ll", "xq", "zz")]]
+    fresh.meet(words)
+    assert all(fresh.memory[w] == alone.solved(w) for w in words[0])
+
+
 def test_pieces_odd_rows(docs_of, odd_rows):
     got = pieces.encode(docs_of(odd_rows), PIECES).collect()
     assert len(got) == len(odd_rows) and all(r.round_trip for r in got)
