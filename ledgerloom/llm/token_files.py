@@ -14,8 +14,10 @@ never looked at.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
+import operator
 import uuid
 import zlib
 from array import array
@@ -34,16 +36,18 @@ NULL_ID = -(2**63)
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the pre-tokenizer's pattern of the public byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A word with one of these behind it is two pieces.
+MARKS = frozenset(".,;:!?")
 #: Distinct units whose ids a worker remembers; a full memory is emptied, which costs time and changes nothing.
 CACHE = 1_000_000
 LONG_UNIT = 64
 
 
-def byte_alphabet() -> dict[int, int]:
+def byte_alphabet() -> str:
     """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
     kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in kept]
-    return {b: 256 + i for i, b in enumerate(others)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in kept else next(others)) for b in range(256))
 
 
 @functools.cache
@@ -68,7 +72,7 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
     memory: dict[str, bytes] = {}
-    code = "H" if width == "<u2" else "I"
+    code, id_of = "H" if width == "<u2" else "I", operator.attrgetter("id")
 
     def keep(unit: str, ids: bytes) -> bytes:
         if len(unit) <= LONG_UNIT:
@@ -80,8 +84,8 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
     def piece_ids(piece: str) -> bytes:
         ids = memory.get(piece)
         if ids is None:
-            tokens = model.tokenize(piece.encode().decode("latin-1").translate(alphabet))
-            ids = keep(piece, array(code, [t.id for t in tokens]).tobytes())
+            tokens = model.tokenize(codecs.charmap_decode(piece.encode(), "strict", alphabet)[0])
+            ids = keep(piece, array(code, map(id_of, tokens)).tobytes())
         return ids
 
     def unit_ids(unit: str) -> bytes:
@@ -89,7 +93,10 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
         if ids is None:
             if unit.removeprefix(" ").isalpha():
                 return piece_ids(unit)
-            ids = keep(unit, b"".join(map(piece_ids, pieces(unit))))
+            if unit[-1] in MARKS and unit[:-1].removeprefix(" ").isalpha():
+                ids = keep(unit, piece_ids(unit[:-1]) + piece_ids(unit[-1]))
+            else:
+                ids = keep(unit, b"".join(map(piece_ids, pieces(unit))))
         return ids
 
     def encode(text: str) -> bytes:
@@ -100,7 +107,7 @@ def bpe_encoder(path: str, end_id: int | None) -> Callable[[str], bytes]:
         try:
             return b"".join([memory[u] for u in found]) + end
         except KeyError:
-            return b"".join(map(unit_ids, found)) + end
+            return b"".join([memory.get(u) or unit_ids(u) for u in found]) + end
 
     return encode
 

@@ -283,6 +283,34 @@ def test_token_files_keep_added_tokens(spark, docs_of):
     assert got[1] == [64, 50256, 65]
 
 
+def test_units_are_cut_and_spelt_without_slow_steps(monkeypatch):
+    """Ids are the tokenizer's for words with marks and for all bytes, and a word with a mark needs no pattern of pieces."""
+    import regex
+    import tokenizers
+
+    draw = random.Random(7)
+    ends = ["", ",", ".", "!", "?", ";", ":", "'s", "'", "12", "!?", ".,", "\xad", "\u3000", "𝔘", "\x00", "³"]
+    words = ["e", "n", "ß", "ö", "日", "Я", "ing", "the", "que", "é", "\x7f", "\xa1"]
+    texts = ["".join(draw.choice([" ", " ", "\n", "  ", ""]) + "".join(draw.choices(words, k=draw.randrange(5))) + draw.choice(ends)
+                     for _ in range(draw.randrange(40))) for _ in range(400)]
+    texts += ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x3000, 64)] + [".", " .", "'", " ,"]
+    direct = tokenizers.Tokenizer.from_file(BPE)
+    token_files.bpe_encoder.cache_clear()
+    encode = token_files.bpe_encoder(BPE, None)
+    for _ in range(2):
+        assert [np.frombuffer(encode(t), "<u2").tolist() for t in texts] == [
+            direct.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class NoPattern:
+        findall = None
+
+    monkeypatch.setattr(regex, "compile", lambda pattern: NoPattern)
+    token_files.bpe_encoder.cache_clear()
+    plain = "the cat, sat. Where? Öde; so: no!"
+    assert np.frombuffer(token_files.bpe_encoder(BPE, None)(plain), "<u2").tolist() == direct.encode(plain).ids
+    token_files.bpe_encoder.cache_clear()
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.PieceModel(PIECES)
