@@ -11,8 +11,10 @@ The forward pass stores the least cost to every place (Viterbi). A* then runs ba
 costs are its exact heuristic, so complete paths leave the agenda best first. Of equal costs the one with the smaller
 ids, read from the end, is the best, and the others come in the order found. Pieces have the blank mark only in front and never a line feed inside, so every segmentation has
 cuts before a run of blank marks and around line feeds, and inside such a unit wherever no piece holds the two
-characters next to each other: the lattice is a chain of small ones, each solved once per distinct part and worker.
-The new parts of a batch of texts are solved together: one forward pass goes over all of them, place by place.
+characters next to each other: the lattice is a chain of small ones, each solved once per distinct unit and worker.
+Units are rows of a memory of arrays. The new ones of a batch of texts are solved together: one walk through the trie
+finds all their edges, and one forward pass goes over all of them, place by place. Long units and those with characters
+that are no pieces are solved one by one, in parts.
 A text's N best are found on the chain from the units where leaving the best costs least.
 
 Defined cases: a null text encodes like an empty one, to no pieces, with score 0 and no alternatives; a text that
@@ -25,10 +27,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,8 @@ NBEST = 4
 CACHE, LONG_UNIT = 1_000_000, 48
 #: Units whose N-best lists a worker remembers.
 WAYS = 20_000
-#: Parts of one forward pass over arrays, and the fewest that are worth one.
-TOGETHER, FEWEST = 8192, 32
+#: Units of texts looked up together, and the fewest new ones that are worth a pass over arrays.
+TOGETHER, FEWEST = 1 << 16, 32
 #: Characters of texts whose units are looked at together; a longer text stands alone.
 CHARS = 1 << 20
 NEVER = 1 << 62
@@ -58,6 +62,67 @@ def zipf_costs(scores: list[float]) -> list[int]:
     return [round(1e6 * (math.log(1 - s) + whole)) for s in scores]
 
 
+def gathered(values: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of values, given by where they start and how long they are, one after another."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(firsts - ends + counts, counts) + np.arange(total)]
+
+
+def with_room(column: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The column, or a larger copy if it can't take so many values more."""
+    if used + more <= len(column):
+        return column
+    larger = np.empty(max(2 * len(column), used + more), column.dtype)
+    larger[:used] = column[:used]
+    return larger
+
+
+class Rows(dict):
+    """Row of every unit; a unit that is looked up without one gets the next and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.used, self.new = 0, []
+
+    def __missing__(self, unit: str) -> int:
+        row = self[unit] = self.used + len(self.new)
+        self.new.append(unit)
+        return row
+
+
+class Memory:
+    """Solved units: their ids one after another, and by row where these start, how many, the cost, and what the second best costs more."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.stored = Rows(), 0
+        self.ids, self.firsts, self.costs, self.gaps = np.empty(0, self.kind), *np.empty((3, 0), np.int64)
+        self.counts = np.empty(0, np.int32)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, costs: np.ndarray, gaps: np.ndarray) -> None:
+        """Values of the new units, in their order."""
+        used, more, stored = self.rows.used, len(counts), self.stored
+        self.ids = with_room(self.ids, stored, len(ids))
+        self.ids[stored:stored + len(ids)] = ids
+        for name, values in (("firsts", np.cumsum(counts) - counts + stored), ("counts", counts), ("costs", costs), ("gaps", gaps)):
+            column = with_room(getattr(self, name), used, more)
+            column[used:used + more] = values
+            setattr(self, name, column)
+        self.stored += len(ids)
+        self.rows.used, self.rows.new = used + more, []
+
+    def __getitem__(self, unit: str) -> tuple[bytes, int, int]:
+        row = dict.get(self.rows, unit)
+        if row is None:
+            raise KeyError(unit)
+        first = self.firsts[row]
+        return self.ids[first:first + self.counts[row]].tobytes(), int(self.costs[row]), int(self.gaps[row])
+
+
 class PieceModel:
     """Pieces and costs of a SentencePiece file, with N-best encoding and decoding."""
 
@@ -77,8 +142,8 @@ class PieceModel:
                 children[symbol] = (known[0], piece, price) if k == len(text) else known
                 children = known[0]
         self.neighbours = {p[k:k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
-        self.tables()
         self.longest = max(map(len, self.vocabulary))
+        self.tables()
         self.unknown_cost = max(c for _, c in self.vocabulary.values()) + 10_000_000
         self.unknown = sp.unk_id()
         self.bytes = {int(sp.id_to_piece(i)[3:-1], 16): i for i in ids if sp.is_byte(i)}
@@ -90,33 +155,65 @@ class PieceModel:
             self.surface[i] = bytes([value])
         self.kind = "<i2" if len(ids) <= 2**15 else "<i4"
         self.code = "h" if self.kind == "<i2" else "i"
+        self.cut = None
         if any(BLANK in p.lstrip(BLANK) for p in self.vocabulary):
             self.units = lambda text: [text] if text else []  # pieces run across blanks: one lattice per text
         elif any("\n" in p for p in self.vocabulary):
-            self.units = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+            self.units, self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall, "\n"
         else:
-            self.units = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall
-        self.memory: dict[str, tuple[bytes, int, int]] = {}
+            self.units, self.cut = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall, "\0\n\0"
+        self.memory = Memory(self.kind)
+        self.parts: dict[str, tuple[bytes, int, int]] = {}
         self.remembered = remembered
         self.ways: dict[tuple[str, int], list] = {}
         self.prefix = sp.normalize("x").startswith(BLANK)
+        self.spelling = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.spelt_sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.spelt_firsts = np.cumsum(self.spelt_sizes) - self.spelt_sizes
 
     def tables(self) -> None:
-        """The trie and the neighbours as sorted arrays, over symbols numbered from 1; 0 is any other character."""
-        self.symbols = sorted({c for p in self.vocabulary for c in p})
-        self.base = len(self.symbols) + 1
-        number = {c: k for k, c in enumerate(self.symbols, 1)}
-        self.symbols = np.array([ord(c) for c in self.symbols], np.int64)
-        self.near = np.array(sorted(number[p[0]] * self.base + number[p[1]] for p in self.neighbours), np.int64)
-        self.single = np.array([False, *(chr(c) in self.vocabulary for c in self.symbols.tolist())])
-        nodes, edges, queue = [(-1, 0)], [], [(0, self.trie)]
-        for state, children in queue:
+        """The trie as a double array: a child of the node in cell ``c`` by symbol ``k`` is in cell ``offset[c] + k``, and ``parent`` there is ``c``.
+
+        Symbols are numbered from 1; 0 is any other character. ``ending`` holds cost and id of the piece that ends in
+        a cell as one number, whose order is that of the costs and then the ids.
+        """
+        symbols = sorted({c for p in self.vocabulary for c in p})
+        number = {c: k for k, c in enumerate(symbols, 1)}
+        self.numbers = np.zeros(0x110000, np.int32)
+        self.numbers[[ord(c) for c in symbols]] = np.arange(1, len(symbols) + 1)
+        self.single = np.array([False, *(c in self.vocabulary for c in symbols)])
+        self.shift = max(i for i, _ in self.vocabulary.values()).bit_length()
+        self.piece_sizes = np.zeros(1 << self.shift, np.int64)
+        for text, (piece, _) in self.vocabulary.items():
+            self.piece_sizes[piece] = len(text)
+        inner, edges = [self.trie], 0
+        for children in inner:
+            edges += len(children)
+            inner += [below for below, _, _ in children.values() if below]
+        room = 1 << (4 * edges).bit_length()
+        taken, offsets, draw = bytearray(room + len(symbols) + 1), {}, random.Random(0)
+        for children in sorted(inner, key=len, reverse=True):
+            steps, at = [number[c] for c in children], 0
+            while any(taken[at + k] for k in steps):
+                at = draw.randrange(room)
+            for k in steps:
+                taken[at + k] = 1
+            offsets[id(children)] = at
+        self.root = len(taken)
+        self.offset, self.parent = np.zeros(self.root + 1, np.int32), np.full(self.root + 1, -1, np.int32)
+        self.ending = np.full(self.root + 1, NEVER, np.int64)
+        todo = [(self.root, self.trie)]
+        for cell, children in todo:
+            self.offset[cell] = offsets[id(children)]
             for symbol, (below, piece, cost) in children.items():
-                edges.append((state * self.base + number[symbol], len(nodes)))
-                queue.append((len(nodes), below))
-                nodes.append((piece, cost))
-        self.steps, self.targets = np.array(sorted(edges) or [(-1, 0)], np.int64).T.copy()
-        self.node_piece, self.node_cost = np.array([n[0] for n in nodes], np.int32), np.array([n[1] for n in nodes], np.int64)
+                child = offsets[id(children)] + number[symbol]
+                self.parent[child] = cell
+                if piece >= 0:
+                    self.ending[child] = (cost << self.shift) + piece
+                if below:
+                    todo.append((child, below))
+        # Sums of costs over a unit must fit beside an id.
+        self.fits = LONG_UNIT * max(abs(c) for _, c in self.vocabulary.values()) < NEVER >> self.shift
 
     def spelt(self, symbol: str) -> tuple[int, ...]:
         """Ids, last first, of a character without a piece."""
@@ -170,11 +267,16 @@ class PieceModel:
         """Edges (start, id, cost) into every place; the id is null for a character without a piece."""
         into: list[list] = [[] for _ in range(len(unit) + 1)]
         for i in range(len(unit)):
-            for j in range(i + 1, min(len(unit), i + self.longest) + 1):
-                found = self.vocabulary.get(unit[i:j])
-                if found:
-                    into[j].append((i, *found))
-            if not self.vocabulary.get(unit[i]):
+            children, j = self.trie, i
+            for symbol in unit[i:i + self.longest]:
+                node = children.get(symbol)
+                if node is None:
+                    break
+                children, piece, cost = node
+                j += 1
+                if piece >= 0:
+                    into[j].append((i, piece, cost))
+            if unit[i] not in self.vocabulary:
                 into[i + 1].append((i, None, self.unknown_cost))
         return into
 
@@ -215,113 +317,135 @@ class PieceModel:
                 self.ways[unit, n] = found
         return found
 
-    def keep(self, unit: str, found: tuple[bytes, int, int]) -> tuple[bytes, int, int]:
-        if len(unit) <= LONG_UNIT:
-            if len(self.memory) >= self.remembered:
-                self.memory.clear()
-            self.memory[unit] = found
-        return found
-
     def part(self, unit: str) -> tuple[bytes, int, int]:
-        least, second, ids = self.forward(unit)
-        return self.keep(unit, (array(self.code, ids).tobytes(), least[-1], second - least[-1] if second < NEVER else NEVER))
-
-    def solved(self, unit: str) -> tuple[bytes, int, int]:
-        """Ids of the best segmentation as bytes, its cost, and what the second best costs more."""
-        found = self.memory.get(unit)
+        found = self.parts.get(unit)
         if found is None:
-            near = self.neighbours
-            cuts = [k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in near]
-            if not cuts:
-                return self.part(unit)
-            parts = [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
-            known = [self.memory.get(p) or self.part(p) for p in parts]
-            found = self.keep(unit, (b"".join([k[0] for k in known]), sum([k[1] for k in known]),
-                                     min([k[2] for k in known])))
+            least, second, ids = self.forward(unit)
+            found = (array(self.code, ids).tobytes(), least[-1], second - least[-1] if second < NEVER else NEVER)
+            if len(unit) <= LONG_UNIT:
+                if len(self.parts) + len(self.memory.rows) >= self.remembered:
+                    self.parts.clear()
+                self.parts[unit] = found
         return found
 
-    def forward_all(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, int, int]]:
-        """``part`` for parts of a row of symbols, longest first, all of whose characters are pieces: the passes of ``forward`` side by side."""
-        rows, longest = len(starts), int(sizes[0])
-        inside = np.arange(longest)[:, None] < sizes
-        text = np.where(inside, symbols[np.minimum(starts + np.arange(longest)[:, None], len(symbols) - 1)], 0)
-        least, second = np.full((2, longest + 1, rows), NEVER, np.int64)
-        least[0] = 0
-        back, came = np.zeros((longest + 1, rows), np.int32), np.zeros((longest + 1, rows), np.int32)
-        for i in range(longest):
-            at, state = np.arange(np.searchsorted(-sizes, -i)), 0
-            for j in range(i + 1, min(longest, i + self.longest) + 1):
-                # Symbol 0 is also what follows a part's end, and no step has it.
-                wanted = state * self.base + text[j - 1, at]
-                place = np.minimum(np.searchsorted(self.steps, wanted), len(self.steps) - 1)
-                known = self.steps[place] == wanted
-                at, state = at[known], self.targets[place[known]]
-                if not len(at):
-                    break
-                ends = self.node_piece[state] >= 0
-                to, piece, cost = at[ends], self.node_piece[state[ends]], self.node_cost[state[ends]]
-                done, best, before = least[i, to] + cost, least[j, to], back[j, to]
-                less = done < best
-                second[j, to] = np.where(less, np.minimum(best, second[i, to] + cost), np.minimum(second[j, to], done))
-                least[j, to] = np.minimum(done, best)
-                won = less | ((done == best) & (piece < before))
-                back[j, to] = np.where(won, piece, before)
-                came[j, to[won]] = i
-        ids, first = np.zeros((rows, longest), self.kind), np.full(rows, longest)
-        live, place = np.arange(rows), sizes.copy()
+    def solved(self, unit: str) -> tuple[bytes, int, int]:
+        """Ids of the best segmentation as bytes, its cost, and what the second best costs more."""
+        near = self.neighbours
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in near]
+        if not cuts:
+            return self.part(unit)
+        ids, costs, gaps = zip(*[self.part(unit[a:b]) for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+        return b"".join(ids), sum(costs), min(gaps)
+
+    def forward_all(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The passes of ``forward`` side by side: which units all of whose characters are pieces, and their ids, counts of ids, costs and gaps.
+
+        Every unit has a cell for each of its places, the last one holds no character. ``least`` and ``second`` hold
+        costs with an id behind them, in ``least`` that of the last piece; so the smaller id wins among equal costs.
+        """
+        shift, costs = self.shift, -1 << self.shift
+        codes = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = self.numbers[codes]
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        known = self.single[symbols]
+        known[ends] = True
+        symbols[ends] = 0
+        known = np.logical_and.reduceat(known, starts)
+        place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
+        at, cell, size = np.flatnonzero(symbols), self.root, 0
+        found = [(at[:0], self.ending[:0], place[:0].astype(np.int16))]
+        while len(at):
+            # Symbol 0 also stands behind a unit, and no cell is a child by it.
+            wanted = self.offset[cell] + symbols[at + size]
+            step = np.flatnonzero(self.parent[wanted] == cell)
+            at, cell, size = at[step], wanted[step], size + 1
+            ending = self.ending[cell]
+            whole = np.flatnonzero(ending < NEVER)
+            to = at[whole] + size
+            found.append((to, ending[whole], (place[to] * (LONG_UNIT + 1) + size).astype(np.int16)))
+        to, ending, group = map(np.concatenate, zip(*found))
+        order = np.argsort(group, kind="stable")
+        to, ending = to[order], ending[order]
+        stops = np.cumsum(np.bincount(group)).tolist()
+        least, second = np.full((2, len(codes)), NEVER, np.int64)
+        least[starts] = 0
+        for number, (a, b) in enumerate(zip([0, *stops], stops)):
+            if a < b:
+                new, more = to[a:b], ending[a:b]
+                old = new - number % (LONG_UNIT + 1)
+                done, best = (least[old] & costs) + more, least[new]
+                second[new] = np.minimum(np.minimum(np.maximum(done, best), second[new]), (second[old] & costs) + more)
+                least[new] = np.minimum(done, best)
+        starts, ends = starts[known], ends[known]
+        back = least & ~costs
+        last, live, begun = np.zeros(len(codes), bool), ends, starts
         while len(live):
-            first[live] -= 1
-            ids[live, first[live]] = back[place, live]
-            place = came[place, live]
-            live, place = live[place > 0], place[place > 0]
-        width = ids.itemsize
-        flat, every = ids.tobytes(), np.arange(rows)
-        cost, other = least[sizes, every], second[sizes, every]
-        gaps = np.where(other < NEVER, other - cost, NEVER)
-        stops = range(longest * width, (rows + 1) * longest * width, longest * width)
-        return [(flat[stop - (longest - a) * width:stop], c, g) for stop, a, c, g in zip(stops, first.tolist(), cost.tolist(), gaps.tolist())]
+            last[live] = True
+            live = live - self.piece_sizes[back[live]]
+            more = np.flatnonzero(live > begun)
+            live, begun = live[more], begun[more]
+        before = np.cumsum(last)
+        cost, other = least[ends] >> shift, second[ends]
+        gaps = np.where(other < NEVER, (other >> shift) - cost, NEVER)
+        return known, back[last].astype(self.kind), before[ends] - before[starts], cost, gaps
 
     def meet(self, texts: list[list[str]]) -> None:
-        """Solve the units of some texts that aren't remembered, all new parts together.
+        """Solve the units of some texts that aren't remembered, all new ones together; only what is remembered changes."""
+        self.rows_of(list(chain.from_iterable(texts)))
+
+    def rows_of(self, units: list[str]) -> np.ndarray:
+        """Row of every unit in the memory; those without one are solved together.
 
-        Only what is remembered changes; units that stay out (long ones, rare characters) are solved when they are encoded.
+        Long units are forgotten at once, but their rows can be read until the next call.
         """
         memory = self.memory
-        new = [u for u in set().union(*texts) if u not in memory and len(u) <= LONG_UNIT]
-        if len(new) < FEWEST:
-            return
-        whole = "".join(new)
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        symbols = np.minimum(np.searchsorted(self.symbols, codes), len(self.symbols) - 1)
-        symbols = np.where(self.symbols[symbols] == codes, symbols + 1, 0)
-        cut = np.ones(len(codes) + 1, bool)
-        cut[1:-1] = ~np.isin(symbols[:-1] * self.base + symbols[1:], self.near)
-        limits = np.cumsum([0, *map(len, new)])
-        cut[limits] = True
-        bounds = np.flatnonzero(cut)
-        listed = bounds.tolist()
-        parts = [whole[a:b] for a, b in zip(listed, listed[1:])]
-        found = {p: memory.get(p) for p in parts}
-        last = dict(zip(parts, range(len(parts))))
-        fresh = np.array([last[p] for p, f in found.items() if f is None], np.int64)
-        strange = np.concatenate([[0], np.cumsum(~self.single[symbols])])[bounds]
-        plain = fresh[strange[fresh] == strange[fresh + 1]]
-        sizes = np.diff(bounds)
-        plain = plain[np.argsort(-sizes[plain], kind="stable")]
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k:k + TOGETHER]
-            for at, ids in zip(some.tolist(), self.forward_all(symbols, bounds[some], sizes[some])):
-                found[parts[at]] = self.keep(parts[at], ids)
-        ends = np.searchsorted(bounds, limits).tolist()
-        for unit, a, b in zip(new, ends, ends[1:]):
-            if b - a > 1:
-                known = [found[p] or self.part(p) for p in parts[a:b]]
-                ids, costs, gaps = zip(*known)
-                self.keep(unit, (b"".join(ids), sum(costs), min(gaps)))
+        if len(memory.rows) + len(self.parts) >= self.remembered or memory.stored >= 8 * self.remembered:
+            memory.clear()
+            self.parts.clear()
+        try:
+            rows = np.fromiter(map(memory.rows.__getitem__, units), np.int64, len(units))
+            if memory.rows.new:
+                self.solve_new()
+        except BaseException:
+            memory.clear()
+            raise
+        return rows
+
+    def solve_new(self) -> None:
+        memory, new = self.memory, self.memory.rows.new
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        short = np.flatnonzero(sizes <= LONG_UNIT)
+        ids, counts, costs, gaps = np.empty(0, self.kind), *np.zeros((3, len(new)), np.int64)
+        alone = np.ones(len(new), bool)
+        if len(short) >= FEWEST and self.fits:
+            known, ids, *values = self.forward_all(new if len(short) == len(new) else [new[k] for k in short.tolist()], sizes[short])
+            short = short[known]
+            counts[short], costs[short], gaps[short] = values
+            alone[short] = False
+        alone = np.flatnonzero(alone).tolist()
+        if alone:
+            others = [self.solved(new[k]) for k in alone]
+            runs = [np.frombuffer(found[0], self.kind) for found in others]
+            firsts = np.cumsum(counts) - counts
+            counts[alone], costs[alone], gaps[alone] = list(map(len, runs)), [f[1] for f in others], [f[2] for f in others]
+            firsts[alone] = len(ids) + np.cumsum(counts[alone]) - counts[alone]
+            ids = gathered(np.concatenate([ids, *runs]), firsts, counts)
+        memory.add(ids, counts, costs, gaps)
+        if len(short) < len(new):
+            for unit in new:
+                if len(unit) > LONG_UNIT:
+                    del memory.rows[unit]
 
     def split(self, text: str) -> list[str]:
         """The units of a text."""
-        return self.units(self.processor.normalize(text))
+        text = self.processor.normalize(text)
+        if self.cut is None or "\0" in text:
+            return self.units(text)
+        text, apart = text.replace(BLANK, "\0" + BLANK).replace("\n", self.cut), f"{BLANK}\0{BLANK}"
+        while apart in text:
+            text = text.replace(apart, BLANK * 2)
+        return list(filter(None, text.split("\0")))
 
     def encode(self, text: str, n: int = NBEST) -> tuple[bytes, int, list[tuple[int, list[tuple[int, int, tuple]]]]]:
         """Best ids (packed), their cost, and up to ``n - 1`` further segmentations.
@@ -332,16 +456,29 @@ class PieceModel:
 
     def encode_units(self, units: list[str], n: int = NBEST) -> tuple[bytes, int, list[tuple[int, list[tuple[int, int, tuple]]]]]:
         """``encode`` of a text's units."""
-        if not units:
-            return b"", 0, []
-        known = list(map(self.memory.get, units))
-        if None in known:
-            known = [k or self.solved(u) for k, u in zip(known, units)]
-        ids, costs, gaps = zip(*known)
-        cost = sum(costs)
-        if n < 2:
-            return b"".join(ids), cost, []
-        gaps = np.array(gaps)
+        ids, _, costs, others = self.encode_all([units], n)
+        return ids.tobytes(), costs[0], others[0]
+
+    def encode_all(self, texts: list[list[str]], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, list[int], list[list]]:
+        """``encode`` of the units of some texts: all ids, how many each text has, costs, and further segmentations."""
+        units, memory, found = list(chain.from_iterable(texts)), self.memory, []
+        for k in range(0, len(units), TOGETHER):
+            rows = self.rows_of(units[k:k + TOGETHER])
+            counts = memory.counts[rows].astype(np.int64)
+            found.append((gathered(memory.ids, memory.firsts[rows], counts), counts, memory.costs[rows], memory.gaps[rows]))
+        if not found:
+            return np.empty(0, self.kind), np.zeros(len(texts), np.int64), [0] * len(texts), [[] for _ in texts]
+        ids, counts, costs, gaps = map(np.concatenate, zip(*found))
+        limits = np.cumsum([0, *map(len, texts)])
+        stops, sums = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(costs)])
+        totals = np.diff(sums[limits]).tolist()
+        listed = limits.tolist()
+        others = [self.others(units, cost, counts[a:b], stops[a:b], gaps[a:b], n) if b > a and n > 1 else []
+                  for units, cost, a, b in zip(texts, totals, listed, listed[1:])]
+        return ids, np.diff(stops[limits]), totals, others
+
+    def others(self, units: list[str], cost: int, counts: np.ndarray, firsts: np.ndarray, gaps: np.ndarray, n: int) -> list[tuple[int, list]]:
+        """Further segmentations of a text, from its units' pieces and gaps."""
         if len(gaps) >= n:
             limit = np.partition(gaps, n - 2)[n - 2]
             near = np.flatnonzero(gaps <= limit)
@@ -349,17 +486,25 @@ class PieceModel:
         else:
             near = np.arange(len(gaps))
         places = sorted(near[gaps[near] < NEVER].tolist())
-        chain: list[tuple[int, tuple]] = [(0, ())]
-        for place in places:
-            ways = self.segmentations(units[place], n)
-            chain = heapq.nsmallest(n, [(c + w[0] - ways[0][0], (*taken, k)) for c, taken in chain for k, w in enumerate(ways)])
-        stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // np.dtype(self.kind).itemsize
-        others = []
-        for more, taken in chain[1:]:
-            edits = [(int(stops[place - 1]) if place else 0, len(ids[place]) // np.dtype(self.kind).itemsize,
-                      self.segmentations(units[place], n)[k][1]) for place, k in zip(places, taken) if k]
-            others.append((cost + more, edits))
-        return b"".join(ids), cost, others
+        ways = [self.segmentations(units[place], n) for place in places]
+        best: list[tuple[int, tuple]] = [(0, ())]
+        for found in ways:
+            best = heapq.nsmallest(n, [(c + w[0] - found[0][0], (*taken, k)) for c, taken in best for k, w in enumerate(found)])
+        return [(cost + more, [(int(firsts[place] - firsts[0]), int(counts[place]), found[k][1])
+                               for place, found, k in zip(places, ways, taken) if k]) for more, taken in best[1:]]
+
+    def decoded_as(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> list[bool]:
+        """Whether every text is what its ids decode to; where bytes differ, ``decode`` has the last word."""
+        sizes = self.spelt_sizes[ids]
+        raw = gathered(self.spelling, self.spelt_firsts[ids], sizes).tobytes()
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[stops].tolist()
+        same = []
+        for text, a, b, first, last in zip(texts, ends, ends[1:], stops.tolist(), stops[1:].tolist()):
+            if self.prefix and raw[a:a + 1] == b" " and a < b:
+                a += 1
+            same.append(raw[a:b] == text.encode("utf-8", "surrogatepass") or self.decode(ids[first:last].tolist()) == text)
+        return same
 
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids."""
@@ -410,22 +555,22 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_i
         loaded = model_of(model, remembered)
         for batch in texts_of(batches):
             given = [t or "" for t in batch.column(1).to_pylist()]
-            found = []
+            values, counts, costs, more, same = [], [], [], [], []
             for some in in_runs(given):
-                units = list(map(loaded.split, some))
-                loaded.meet(units)
-                found += [loaded.encode_units(u, nbest) for u in units]
-            values = np.frombuffer(b"".join([f[0] for f in found]), loaded.kind)
-            ends = np.cumsum([0, *(len(f[0]) for f in found)]) // values.itemsize
-            flat = values.tolist()
-            same = [loaded.decode(flat[a:b]) == t for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), given)]
-            others = [[{"score": -cost / 1e6, "n_pieces": len(f[0]) // values.itemsize + sum(len(e[2]) - e[1] for e in edits),
-                        "edits": [{"first": e[0], "removed": e[1], "ids": list(e[2])} for e in edits]}
-                       for cost, edits in f[2]] for f in found]
+                ids, n_pieces, cost, others = loaded.encode_all(list(map(loaded.split, some)), nbest)
+                values.append(ids.astype(np.int32))
+                counts.append(n_pieces)
+                costs += cost
+                more += others
+                same += loaded.decoded_as(some, ids, n_pieces)
+            counts = np.concatenate(counts)
+            alternatives = [[{"score": -cost / 1e6, "n_pieces": n + sum(len(e[2]) - e[1] for e in edits),
+                              "edits": [{"first": e[0], "removed": e[1], "ids": list(e[2])} for e in edits]}
+                             for cost, edits in others] for n, others in zip(counts.tolist(), more)]
             yield pa.record_batch([
-                batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32))),
-                pa.array(np.diff(ends), pa.int64()), pa.array([-f[1] / 1e6 if f[1] else 0.0 for f in found], pa.float64()),
-                pa.array(others, ALTERNATIVES), pa.array(same, pa.bool_())],
+                batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(values))),
+                pa.array(counts, pa.int64()), pa.array([-c / 1e6 if c else 0.0 for c in costs], pa.float64()),
+                pa.array(alternatives, ALTERNATIVES), pa.array(same, pa.bool_())],
                 ["doc_id", "ids", "n_pieces", "score", "alternatives", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

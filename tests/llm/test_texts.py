@@ -369,6 +369,34 @@ def test_new_parts_of_a_batch_are_solved_together(model, monkeypatch):
     assert all(fresh.memory[w] == alone.solved(w) for w in words[0])
 
 
+def test_units_of_a_batch_are_looked_up_and_solved_over_arrays(model, monkeypatch):
+    """Every distinct unit of known characters is solved once and in no pass of its own; others, long units and forgetting change no result."""
+    draw, single = random.Random(6), [p for p in sorted(model.vocabulary) if len(p) == 1]
+    words = ["".join(draw.choices("abcdefghijklmnoprstuéß,.", k=draw.randrange(1, 12))) for _ in range(500)]
+    plain = [" ".join(draw.choices(words, k=draw.randrange(60))) for _ in range(80)]
+    odd = ["".join(draw.choices([*single, " ", "\n", "\x00", "\x01", "𝔘", "▁", "日本"], k=draw.randrange(90))) for _ in range(300)]
+    odd += ["", "▁", "\x00", "日" * 40, "".join(draw.choices(single, k=500)), "𝔘 " * 50, "a  b \n\n   c ", *(" " * k for k in range(9))]
+
+    def rows(model, texts):
+        ids, counts, costs, others = model.encode_all(list(map(model.split, texts)))
+        assert model.decoded_as(texts, ids, counts) == [model.decode(i.tolist()) == t for i, t in zip(np.split(ids, np.cumsum(counts)[:-1]), texts)]
+        return [(i.tobytes(), c, o) for i, c, o in zip(np.split(ids, np.cumsum(counts)[:-1]), costs, others)]
+
+    assert all(model.split(t) == model.units(model.processor.normalize(t)) for t in plain + odd)
+    alone, together, solved = pieces.PieceModel(PIECES), pieces.PieceModel(PIECES), []
+    with monkeypatch.context() as patch:
+        patch.setattr(pieces, "FEWEST", 1 << 30)
+        wanted = [alone.encode(t) for t in plain + odd]
+    with monkeypatch.context() as patch:
+        patch.setattr(together, "part", None)
+        patch.setattr(together, "forward_all", lambda units, sizes, inner=together.forward_all: (solved.extend(units), inner(units, sizes))[1])
+        assert rows(together, plain) + rows(together, plain) == wanted[:len(plain)] * 2
+        assert sorted(solved) == sorted({u for t in plain for u in together.split(t)})
+    assert rows(together, plain + odd) == wanted
+    monkeypatch.setattr(pieces, "TOGETHER", 100)
+    assert rows(pieces.PieceModel(PIECES, remembered=150), odd + plain) == wanted[len(plain):] + wanted[:len(plain)]
+
+
 def test_pieces_odd_rows(docs_of, odd_rows):
     got = pieces.encode(docs_of(odd_rows), PIECES).collect()
     assert len(got) == len(odd_rows) and all(r.round_trip for r in got)
