@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import align as al
 from ledgerloom.operators import layout as ly
 from ledgerloom.operators import tagging as tg
 from ledgerloom.operators import transactions as tx
@@ -47,3 +48,17 @@ def test_words_are_counted_in_the_pass_that_finds_low_pages(spark):
     at_once = spending.parse_results(txns, tokens, None, "v").filter("stem is not null").collect()
     assert sorted(map(repr, at_once)) == sorted(map(repr, apart))
     assert sorted((str(r.stem), r.page_count, r.word_count, r.n_low_pages) for r in at_once) == [("a", 2, 46, 1), ("b", 2, 46, 1)]
+
+
+def test_labels_meet_their_pages_without_dealing_words_again(spark):
+    tokens = pages(spark).drop("tag", "conf")
+    labels = spark.createDataFrame(
+        [(stem, page, n, "01/0%d" % (n + 1), n + 1.0, 90.0 - n) for stem in ("a", None, "gone") for page in (0, 1) for n in range(4)],
+        "stem string, page_index int, seq int, date string, amount double, balance_after double").withColumns(
+        {c: F.col(c).cast("decimal(18,2)") for c in ("amount", "balance_after")})
+    tagged = al.align_tokens(tokens.repartition(3, "stem"), labels.repartition(3, "stem"))
+    assert "ENSURE_REQUIREMENTS" not in plan_of(tagged)
+    found = tagged.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tag") == "B-DATE").alias("dates"),
+                                       F.count_if(F.col("tag") == "B-BALANCE").alias("balances")).collect()
+    # Labels of no page and labels without a statement tag nothing; pages without labels keep all their words.
+    assert sorted((str(r.stem), r.n, r.dates, r.balances) for r in found) == [("None", 46, 0, 0), ("a", 46, 8, 8), ("b", 46, 0, 0)]
