@@ -2,8 +2,10 @@
 
 import json
 
+import __spark_entry__ as entry
 from ledgerloom.sources import files as fs
 
+SMALL = "/root/testdata/sf0.001"
 WORD = {"text": "Hi", "bbox": [1, 2, 3, 4], "top": 5.5, "bottom": 6.5}
 PAGE = {"pdf": "é.pdf", "page_index": 0, "total_pages": 1, "used_ocr": False, "word_count": 1, "words": [WORD, WORD]}
 WHOLE, OTHER = json.dumps(PAGE, indent=1), json.dumps({**PAGE, "word_count": "x"})
@@ -49,3 +51,8 @@ def test_files_listed_by_tasks_are_those_of_the_reader(spark, tmp_path, monkeypa
     monkeypatch.setattr(fs, "_own_folder", lambda *_: None)
     by_reader = fs.list_statements(spark, str(tmp_path), content=True)
     assert by_tasks.schema.simpleString() == by_reader.schema.simpleString() and rows(by_tasks) == rows(by_reader) and by_tasks.count() == 4
+
+
+def test_listed_files_are_read_once(spark):
+    """What is joined was read before and holds the first bytes only."""
+    assert "binaryFile" not in (plan := plan_of(entry.queries()["src3_listed_files"](spark, SMALL))) and "MapInArrow" not in plan
