@@ -7,6 +7,7 @@ from ledgerloom.operators import layout as ly
 from ledgerloom.operators import tagging as tg
 from ledgerloom.operators import transactions as tx
 from ledgerloom.plans import spending
+from ledgerloom.sources import derive as dv
 
 
 def plan_of(frame):
@@ -62,3 +63,8 @@ def test_labels_meet_their_pages_without_dealing_words_again(spark):
                                        F.count_if(F.col("tag") == "B-BALANCE").alias("balances")).collect()
     # Labels of no page and labels without a statement tag nothing; pages without labels keep all their words.
     assert sorted((str(r.stem), r.n, r.dates, r.balances) for r in found) == [("None", 46, 0, 0), ("a", 46, 8, 8), ("b", 46, 0, 0)]
+
+
+def test_printed_lines_are_made_outside_the_generator(spark):
+    """A generator interprets its expressions row by row; the lines are a column that it only takes apart."""
+    assert "Generate inline(_lines" in plan_of(dv.statement_tokens(spark, "/root/testdata/sf0.001"))
